@@ -28,8 +28,6 @@ PATH_SAFE = "$&+,/:;=@~"
 USER_SAFE = "$&+,;=~"
 HOST_SAFE = "!$&'()*+,;=:[]<>\"~"
 
-_DOT_SEGMENT = r"r'(^|/)\.\.?(/|$)'"
-
 
 def trimmed(text: str) -> str:
     """SQL: ``text`` without surrounding Unicode white space."""
@@ -38,8 +36,11 @@ def trimmed(text: str) -> str:
 
 def navigational(href: str) -> Column:
     """True when an href may lead to a page: not empty, not a script, mail, phone or data link."""
-    schemes = "|".join(NON_NAVIGATIONAL)
-    return F.expr(f"{trimmed(href)} <> '' AND NOT {trimmed(href)} RLIKE '^({schemes})'")
+    return F.expr(_navigational(trimmed(href)))
+
+
+def _navigational(text: str) -> str:
+    return " AND ".join([f"{text} <> ''", *[f"NOT startswith({text}, '{p}')" for p in NON_NAVIGATIONAL]])
 
 
 def _quote(char: str) -> str:
@@ -69,8 +70,7 @@ def _reencoded(text: str, safe: str) -> str:
 def _encoded_path(path: str) -> str:
     """SQL: a path as it is when all its characters may stand in a path, else re-encoded."""
     return (
-        f"CASE WHEN {path} RLIKE r\"^[A-Za-z0-9\\-_.~!$&'()*+,;=:@\\[\\]%/]*$\" THEN {path} "
-        f"ELSE {_reencoded(path, PATH_SAFE)} END"
+        f"IF({path} RLIKE r'[^!$-;=@-\\[\\]_a-z~]', {_reencoded(path, PATH_SAFE)}, {path})"
     )
 
 
@@ -78,7 +78,7 @@ def _without_dot_segments(path: str) -> str:
     """SQL: RFC 3986 dot-segment removal by folding the segments onto an array."""
     return (
         f"CASE WHEN {path} = '' THEN '' "
-        f"WHEN NOT {path} RLIKE {_DOT_SEGMENT} THEN IF(startswith({path}, '/'), {path}, concat('/', {path})) "
+        f"WHEN instr(concat('/', {path}), '/.') = 0 THEN IF(startswith({path}, '/'), {path}, concat('/', {path})) "
         f"ELSE regexp_replace(concat('/', array_join(aggregate(split({path}, '/'), CAST(array() AS ARRAY<STRING>), "
         f"(kept, seg) -> CASE WHEN seg = '.' THEN kept "
         f"WHEN seg = '..' THEN slice(kept, 1, greatest(size(kept) - 1, 0)) "
@@ -99,32 +99,33 @@ def _parse_stages(source: str, p: str) -> list[dict[str, str]]:
         {
             f"{p}opaque": f"@{p}scheme <> '' AND NOT startswith(@{p}hier, '/')",
             f"{p}auth": f"IF(startswith(@{p}hier, '//') AND (@{p}scheme <> '' OR NOT startswith(@{p}hier, '///')), "
-            f"regexp_extract(@{p}hier, '^//([^/]*)', 1), NULL)",
+            f"substring_index(substr(@{p}hier, 3), '/', 1), NULL)",
         },
         {
             f"{p}path": f"CASE WHEN @{p}auth IS NOT NULL THEN substr(@{p}hier, length(@{p}auth) + 3) "
             f"WHEN @{p}opaque THEN '' ELSE @{p}hier END",
             f"{p}user": f"IF(instr(@{p}auth, '@') > 0, regexp_extract(@{p}auth, '^(.*)@', 1), NULL)",
-            f"{p}host": f"coalesce(regexp_extract(@{p}auth, '([^@]*)$', 1), '')",
+            f"{p}host": f"coalesce(substring_index(@{p}auth, '@', -1), '')",
         },
         {f"{p}ok": _well_formed(source, p)},
     ]
 
 
 def _well_formed(source: str, p: str) -> str:
-    escape = r"r'%(?![0-9A-Fa-f]{2})'"
-    host = (
-        r"""r"^(?:\[[^\]]*\](?::[0-9]*)?|(?![\[])(?:[A-Za-z0-9\-_.~!$&'()*+,;=:\[\]<>\x22]|[^\x00-\x7f]"""
-        r"""|%25|%[89A-Fa-f][0-9A-Fa-f])*)$" """
-    )
-    user = r"""r"^(?:[A-Za-z0-9\-._:~!$&'()*+,;=@]|%[0-9A-Fa-f]{2})*$" """
+    def escapes(text: str) -> str:
+        return f"(instr({text}, '%') = 0 OR NOT {text} RLIKE r'%(?![0-9A-Fa-f]{{2}})')"
+
+    plain = r"[^\x00-\x20#%/?@\\^`{|}\x7f]*+"
+    host = rf"r'^(?:\[[^\]]*+\](?::[0-9]*+)?|(?!\[){plain}(?:%(?:25|[89A-Fa-f][0-9A-Fa-f]){plain})*+)$'"
+    port = r"r':[^:\]]*[^0-9:\]][^:\]]*$'"
+    user = r"""r"^(?:[!$&-.0-;=@-Z_a-z~]|%[0-9A-Fa-f]{2})*+$" """
     return (
         f"NOT {source} RLIKE r'[\\x00-\\x1f\\x7f]' AND NOT startswith(@{p}main, ':') "
         f"AND NOT (@{p}scheme = '' AND NOT startswith(@{p}hier, '/') "
         f"AND instr(substring_index(@{p}hier, '/', 1), ':') > 0) "
-        f"AND NOT @{p}path RLIKE {escape} "
-        f"AND NOT substr({source}, length(@{p}main) + 2) RLIKE {escape} "
-        f"AND (@{p}host = '' OR (@{p}host RLIKE {host} AND NOT @{p}host RLIKE ':[^:\\\\]]*[^0-9:\\\\]][^:\\\\]]*$')) "
+        f"AND {escapes(f'@{p}path')} "
+        f"AND (instr({source}, '#') = 0 OR {escapes(f'substr({source}, length(@{p}main) + 2)')}) "
+        f"AND (@{p}host = '' OR (@{p}host RLIKE {host} AND (instr(@{p}host, ':') = 0 OR NOT @{p}host RLIKE {port}))) "
         f"AND coalesce(@{p}user RLIKE {user}, true)"
     )
 
@@ -142,7 +143,8 @@ def _resolve_stages() -> list[dict[str, str]]:
             "ELSE nullif(@b_query, '') END",
             "full": "CASE WHEN @own OR startswith(@r_path, '/') THEN @r_path_enc "
             "WHEN @r_path = '' THEN @b_path_enc "
-            "ELSE concat(regexp_replace(@b_path_enc, '[^/]*$', ''), @r_path_enc) END",
+            "ELSE concat(left(@b_path_enc, length(@b_path_enc) - length(substring_index(@b_path_enc, '/', -1))), "
+            "@r_path_enc) END",
         },
         {"path": _without_dot_segments("@full")},
     ]
@@ -150,12 +152,12 @@ def _resolve_stages() -> list[dict[str, str]]:
 
 def _host_form(scheme: str, host: str) -> str:
     """SQL: lower-case host, default port of the scheme dropped, non-ASCII percent-encoded."""
-    decoded = f"lower(coalesce(try_url_decode(replace({host}, '+', '%2B')), {host}))"
-    return (
-        f"regexp_replace(CASE WHEN {host} RLIKE r'^[\\x21-\\x24\\x26-\\x7e]*$' THEN lower({host}) "
-        f"ELSE {_encoded_run(decoded, HOST_SAFE)} END, "
-        f"CASE {scheme} WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE r'[^\\s\\S]' END, '')"
+    bare = (
+        f"CASE WHEN {scheme} = 'http' AND endswith({host}, ':80') THEN left({host}, length({host}) - 3) "
+        f"WHEN {scheme} = 'https' AND endswith({host}, ':443') THEN left({host}, length({host}) - 4) ELSE {host} END"
     )
+    decoded = f"lower(coalesce(try_url_decode(replace({bare}, '+', '%2B')), {bare}))"
+    return f"IF({host} RLIKE r'[^!-$&-~]', {_encoded_run(decoded, HOST_SAFE)}, lower({bare}))"
 
 
 def _user_form(user: str) -> str:
@@ -195,6 +197,10 @@ def _let(stages: list[dict[str, str]], names: dict[str, str], body: str, tag: st
 def _base_stages() -> list[dict[str, str]]:
     stages = _parse_stages("@base", "b_")
     stages[-1]["b_path_enc"] = _encoded_path("@b_path")
+    stages.append({
+        "b_origin": "IF(@b_ok AND @b_scheme IN ('http', 'https') AND @b_host <> '', concat(@b_scheme, '://', "
+        f"{_user_form('@b_user')}, {_host_form('@b_scheme', '@b_host')}), NULL)"
+    })
     return stages
 
 
@@ -204,27 +210,40 @@ def _reference_stages() -> list[dict[str, str]]:
     return stages + _resolve_stages()
 
 
+# Hrefs already in canonical form, and root-relative ones that need only the origin of the page:
+# no escapes, no dot segments, nothing to encode. Most links of a page are of these two kinds.
+_CLEAN_TAIL = r"(?!\.)(?!.*/\.)[!$&-;=@-\[\]_a-z~]*+(?:\?[!-\x22$-~]*+)?$"
+_CLEAN_ABSOLUTE = rf"r'^https?://[a-z0-9.-]+/{_CLEAN_TAIL}'"
+_CLEAN_ROOTED = rf"r'^/(?!/){_CLEAN_TAIL}'"
+
+
 def _canonical_body() -> str:
-    schemes = "|".join(NON_NAVIGATIONAL)
     return (
-        f"CASE WHEN @b_ok AND @r_ok AND @ref <> '' AND NOT @ref RLIKE '^({schemes})' "
+        f"CASE WHEN @b_ok AND @r_ok AND {_navigational('@ref')} "
         f"AND @scheme IN ('http', 'https') THEN {_rendered()} END"
     )
 
 
+def _canonical_href(names: dict[str, str], href: str) -> str:
+    names = {**names, "href": href}
+    general = _let(_reference_stages(), dict(names), _canonical_body(), "r")
+    return (
+        f"CASE WHEN {names['b_ok']} AND {href} RLIKE {_CLEAN_ABSOLUTE} THEN {href} "
+        f"WHEN {names['b_origin']} IS NOT NULL AND {href} RLIKE {_CLEAN_ROOTED} "
+        f"THEN concat({names['b_origin']}, {href}) ELSE {general} END"
+    )
+
+
 def canonical_url_sql(href: str, base: str) -> str:
     """SQL expression: canonical absolute URL of ``href`` on page ``base``; NULL when rejected."""
-    return _let(
-        _base_stages() + _reference_stages(), {"href": href, "base": base}, _canonical_body(), "u"
-    )
+    return _let(_base_stages(), {"base": base}, lambda names: _canonical_href(names, href), "b")
 
 
 def canonical_urls_sql(hrefs: str, base: str) -> str:
     """SQL expression: array of canonical URLs of an array of hrefs; the base is parsed once per row."""
 
     def per_href(names: dict[str, str]) -> str:
-        one = _let(_reference_stages(), {**names, "href": "h"}, _canonical_body(), "r")
-        return f"array_distinct(array_compact(transform({hrefs}, h -> {one})))"
+        return f"array_distinct(array_compact(transform({hrefs}, h -> {_canonical_href(names, 'h')})))"
 
     return _let(_base_stages(), {"base": base}, per_href, "b", of="ARRAY<STRING>")
 
@@ -239,7 +258,7 @@ def canonical_urls(hrefs: str, base: str) -> Column:
 
 def canonical_self(url: str) -> Column:
     """Canonical form of an absolute URL."""
-    return canonical_url(url, url)
+    return F.expr(f"IF({url} RLIKE {_CLEAN_ABSOLUTE}, {url}, {canonical_url_sql(url, url)})")
 
 
 def resolved_path(href: str, base: str) -> Column:

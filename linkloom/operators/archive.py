@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.operators.rows import per_element
+
 UNSORTED = "unsorted"
 CRLF = "\r\n"
 # Line limits of a preview.
@@ -91,7 +93,7 @@ def text_lines(df: DataFrame, key: str, text: str, start: int, end: int) -> Data
     """Lines ``start`` to ``end`` of a text column, numbered from 1, without line ends."""
     body = F.regexp_replace(text, r"\n\z", "")
     taken = F.slice(F.split(body, "\n"), start, end - start + 1)
-    return df.select(key, F.posexplode(taken).alias("pos", "line")).select(
+    return per_element(df, [key], taken, "line", "pos").select(
         key,
         (F.col("pos") + start).alias("line_no"),
         F.regexp_replace("line", r"\r\z", "").alias("line"),

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.dedup import not_seen
+from linkloom.operators.rows import per_element
 
 BLOCK_BITS = 32768  # size of the bitmaps of bitmap_construct_agg
 BROADCAST_BLOCKS = 2048  # 8 MB of bitmaps
@@ -39,46 +40,49 @@ class BloomSize:
         return math.ceil(self.bits / BLOCK_BITS)
 
 
-def _hash(url: Column, part: int) -> Column:
-    return F.conv(F.substring(F.md5(url), 8 * part + 1, 8), 16, 10).cast("bigint")
+def _hash(part: int) -> Column:
+    return F.conv(F.substring("_digest", 8 * part + 1, 8), 16, 10).cast("bigint")
 
 
 def _with_bits(df: DataFrame, size: BloomSize, key: str) -> DataFrame:
     """Add ``block`` and ``bits``, the k bit positions of the key in its block."""
-    url = F.col(key)
-    step = F.col("_h2").bitwiseOR(F.lit(1))
-    bits = F.transform(
-        F.sequence(F.lit(0), F.lit(size.hashes - 1)), lambda i: (F.col("_h1") + i * step) % BLOCK_BITS
-    )
-    return (
-        df.withColumn("block", _hash(url, 0) % size.blocks)
-        .withColumn("_h1", _hash(url, 1))
-        .withColumn("_h2", _hash(url, 2))
-        .withColumn("bits", bits)
-        .drop("_h1", "_h2")
+    hashed = df.withColumn("_digest", F.md5(key)).withColumns(
+        {"block": _hash(0) % size.blocks, "_h1": _hash(1), "_h2": _hash(2).bitwiseOR(F.lit(1))}
     )
+    bits = F.array(*[(F.col("_h1") + i * F.col("_h2")) % BLOCK_BITS for i in range(size.hashes)])
+    return hashed.withColumn("bits", bits).drop("_digest", "_h1", "_h2")
 
 
 def build(df: DataFrame, size: BloomSize, key: str = "url") -> DataFrame:
     """The filter: one row per non-empty block with its bitmap and the number of keys added."""
     hashed = _with_bits(df.select(key).distinct(), size, key)
-    bit = hashed.select("block", F.posexplode("bits").alias("i", "bit"))
+    bit = per_element(hashed, ["block"], F.col("bits"), "bit", "i")
     return bit.groupBy("block").agg(
         F.bitmap_construct_agg("bit").alias("bitmap"), F.count_if(F.col("i") == 0).alias("added")
     )
 
 
+def _words(bitmap: str) -> Column:
+    """The bitmap as 64-bit words, which can be tested without touching text."""
+    return F.expr(
+        f"transform(sequence(0, {BLOCK_BITS // 64 - 1}), "
+        f"w -> CAST(conv(hex(substring({bitmap}, w * 8 + 1, 8)), 16, -10) AS BIGINT))"
+    )
+
+
 def might_contain(df: DataFrame, bloom: DataFrame, size: BloomSize, key: str = "url") -> DataFrame:
     """Add ``maybe``: False means the key is certainly not in the filter."""
-    side = bloom.select("block", "bitmap")
+    side = bloom.select("block", _words("bitmap").alias("words"))
     if size.blocks <= BROADCAST_BLOCKS:
         side = F.broadcast(side)
-    test = F.expr(
-        "forall(bits, b -> (CAST(conv(hex(substring(bitmap, CAST(b div 8 + 1 AS INT), 1)), 16, 10) AS INT) "
-        "& shiftleft(1, CAST(b % 8 AS INT))) <> 0)"
-    )
     probed = _with_bits(df, size, key).join(side, "block", "left")
-    return probed.withColumn("maybe", F.coalesce(test, F.lit(False))).select(*df.columns, "maybe")
+    # Bitmaps number bits from the low end of each byte, words from the high end of the first byte.
+    hit = F.lit(True)
+    for i in range(size.hashes):
+        bit = f"bits[{i}]"
+        shift = f"(7 - ({bit} div 8) % 8) * 8 + {bit} % 8"
+        hit = hit & F.expr(f"shiftright(words[CAST({bit} div 64 AS INT)], CAST({shift} AS INT)) & 1 = 1")
+    return probed.withColumn("maybe", F.coalesce(hit, F.lit(False))).select(*df.columns, "maybe")
 
 
 def dedup(new: DataFrame, seen: DataFrame, size: BloomSize, key: str = "url", exact: bool = True) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.urls import decoded, url_hostname, url_path
 from linkloom.operators.dedup import first_per_key
+from linkloom.operators.rows import per_element
 
 # Fixed value: a robots text above 1 MB counts as not fetched.
 MAX_ROBOTS_BYTES = 1024 * 1024
@@ -28,7 +29,7 @@ def parse_robots(texts: DataFrame, agent: str) -> DataFrame:
     """
     usable = texts.filter((F.col("status_code") == 200) & (F.octet_length("body") <= MAX_ROBOTS_BYTES))
     one_text = first_per_key(usable.select("domain", "body"), ["domain"], ["body"])
-    raw = one_text.select("domain", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("pos", "line"))
+    raw = per_element(one_text, ["domain"], F.split("body", r"\r\n|\r|\n"), "line", "pos")
     text = F.regexp_replace("line", r"#.*$", "")
     lines = raw.select(
         "domain",

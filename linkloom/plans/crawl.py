@@ -12,6 +12,7 @@ from linkloom.functions.urls import url_hostname
 from linkloom.operators.dedup import not_seen
 from linkloom.operators.fetch import is_error, outcome
 from linkloom.operators.robots import test_urls
+from linkloom.operators.rows import per_element
 from linkloom.session import materialized
 
 SMALL_LEVEL_ROWS = 100_000
@@ -20,7 +21,8 @@ DEFAULT_DEPTH = 3
 
 def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Edges ``(src_url, dst_url)``: the distinct canonical links of each page, found without a shuffle."""
-    return pages.select(F.col(url).alias("src_url"), F.explode(extract_links(html, url)).alias("dst_url"))
+    named = pages.select(F.col(url).alias("src_url"), F.col(html).alias("html"))
+    return per_element(named, ["src_url"], extract_links("html", "src_url"), "dst_url")
 
 
 def _with_outcome(level: DataFrame, captured: DataFrame, hosts: DataFrame | None, small: bool) -> DataFrame:

@@ -18,8 +18,9 @@ from linkloom.operators import (
     robots,
     telemetry,
 )
+from linkloom.operators.rows import per_element
 from linkloom.plans import crawl, tables
-from linkloom.session import scratch_path
+from linkloom.session import materialized, scratch_path
 from linkloom.sources import seeds, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +72,7 @@ def domain_counts(pages: DataFrame) -> DataFrame:
 
 @_on("pages")
 def resolve_reference(pages: DataFrame) -> DataFrame:
-    hrefs = pages.select("page_id", "url", F.posexplode(html.extract_hrefs("html")).alias("pos", "href"))
+    hrefs = per_element(pages, ["page_id", "url"], html.extract_hrefs("html"), "href", "pos")
     form = F.col("pos") % 5
     ref = (
         F.when(form == 0, F.col("href"))
@@ -225,7 +226,7 @@ def frontier_upsert(pages: DataFrame) -> DataFrame:
 @_on("pages")
 def frontier_push(pages: DataFrame) -> DataFrame:
     own = pages.select(urls.canonical_self("url").alias("url"))
-    items = tables.frontier_items(pages).select("url", "seq", "depth")
+    items = materialized(tables.frontier_items(pages).select("url", "seq", "depth"))
     blank = items.filter("depth = 2").select(F.lit("").alias("url"), "seq", "depth")
     spam = own.filter(F.col("url").contains("spam-farm"))
     return dedup.flag_pushed(items.unionByName(blank.distinct()), spam, ["url"], "seq")
@@ -249,8 +250,7 @@ def session_dedup(events: DataFrame) -> DataFrame:
 
 @_on("pages")
 def robots_parse(pages: DataFrame) -> DataFrame:
-    rules = robots.parse_robots(tables.robots_texts(pages), AGENT)
-    return rules.withColumn("pos", F.col("pos").cast("bigint"))
+    return robots.parse_robots(tables.robots_texts(pages), AGENT)
 
 
 def _tested(pages: DataFrame) -> DataFrame:

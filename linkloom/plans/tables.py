@@ -9,6 +9,7 @@ from linkloom.functions.html import extract_links
 from linkloom.functions.urls import canonical_self, url_hostname
 from linkloom.operators import frontier
 from linkloom.operators.dedup import first_per_key
+from linkloom.operators.rows import per_element
 
 EPOCH = "timestamp'2024-01-01 00:00:00'"
 LINK_SEQ = 1_000_000_000_000
@@ -24,7 +25,7 @@ def seconds_after_epoch(seconds: str) -> Column:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """``(page_id, url, link)``: the distinct canonical links of each page."""
-    return pages.select("page_id", "url", F.explode(extract_links("html", "url")).alias("link"))
+    return per_element(pages, ["page_id", "url"], extract_links("html", "url"), "link")
 
 
 def frontier_items(pages: DataFrame) -> DataFrame:
