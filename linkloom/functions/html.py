@@ -86,7 +86,7 @@ def hrefs_sql(html: str) -> str:
     tags = f"filter(regexp_extract_all({html}, r'{_TOKENS}', 2), a -> a <> '')"
     values = f"filter(flatten(transform({tags}, a -> regexp_extract_all(a, r'{_HREFS}', 1))), v -> v <> '')"
     unquoted = "IF(v RLIKE r'^[\\x22\\x27]', substr(v, 2, length(v) - 2), v)"
-    return f"transform(array_distinct({values}), v -> {_bound(unquoted, 'w', attribute_text_sql('w'))})"
+    return f"array_distinct(transform({values}, v -> {_bound(unquoted, 'w', attribute_text_sql('w'))}))"
 
 
 def extract_hrefs(html: str) -> Column:

@@ -104,7 +104,7 @@ def _decision(rules: str, path: str) -> Column:
     )
 
 
-def test_urls(urls: DataFrame, hosts: DataFrame, url: str = "url") -> DataFrame:
+def check_urls(urls: DataFrame, hosts: DataFrame, url: str = "url") -> DataFrame:
     """Add ``allowed`` and ``crawl_delay`` to rows with a URL; no host, no rules or no match means allowed.
 
     The join has no hint: Spark broadcasts the host table while its measured

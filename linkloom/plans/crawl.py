@@ -11,7 +11,7 @@ from linkloom.functions.html import extract_links
 from linkloom.functions.urls import url_hostname
 from linkloom.operators.dedup import not_seen
 from linkloom.operators.fetch import is_error, outcome
-from linkloom.operators.robots import test_urls
+from linkloom.operators.robots import check_urls
 from linkloom.operators.rows import per_element
 from linkloom.session import materialized
 
@@ -31,7 +31,7 @@ def _with_outcome(level: DataFrame, captured: DataFrame, hosts: DataFrame | None
     known = level.join(near, "url", "left").withColumn("status_code", F.coalesce("status_code", F.lit(0))).withColumn(
         "error", F.when(F.col("has_body").isNull(), "fetch error: no response captured").otherwise(F.coalesce("error", F.lit("")))
     )
-    tested = known.withColumn("allowed", F.lit(True)) if hosts is None else test_urls(known, hosts)
+    tested = known.withColumn("allowed", F.lit(True)) if hosts is None else check_urls(known, hosts)
     return tested.withColumn("outcome", outcome(F.col("max_depth")))
 
 

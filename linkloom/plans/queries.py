@@ -255,7 +255,7 @@ def robots_parse(pages: DataFrame) -> DataFrame:
 
 def _tested(pages: DataFrame) -> DataFrame:
     hosts = robots.rules_by_host(robots.parse_robots(tables.robots_texts(pages), AGENT))
-    return robots.test_urls(tables.frontier_rows(pages).select("url", "domain", "depth"), hosts)
+    return robots.check_urls(tables.frontier_rows(pages).select("url", "domain", "depth"), hosts)
 
 
 @_on("pages")

@@ -12,9 +12,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.functions.urls import decoded
 from linkloom.operators.archive import UNSORTED, archive_domain, size_text, time_text, with_record_text
 from linkloom.operators.dedup import not_seen
 from linkloom.operators.fetch import archivable
@@ -63,10 +64,15 @@ def _listed(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", "modificationTime")
 
 
-def _domain_of(path: str, root: str):
+def _file_path() -> Column:
+    """Path of the file a row comes from, as binaryFile names it (the metadata column escapes it)."""
+    return decoded(F.col("_metadata.file_path"))
+
+
+def _domain_of(path: str, root: str) -> Column:
     inside = F.replace(F.regexp_replace(path, r"^[a-z0-9]+:/+", "/"), F.lit(root.rstrip("/") + "/"), F.lit(""))
     first = F.when(F.instr(inside, "/") > 0, F.substring_index(inside, "/", 1)).otherwise("")
-    return F.try_url_decode(F.replace(F.regexp_replace(first, "^domain=", ""), F.lit("+"), F.lit("%2B")))
+    return decoded(F.regexp_replace(first, "^domain=", ""))
 
 
 def _root(path: str) -> str:
@@ -103,9 +109,13 @@ def _records_of(stream: bytes) -> tuple[list[tuple], bytes]:
         if head_end < 0:
             return records, stream[at:]
         head = _headers(stream[start:head_end])
-        length = int(head.get("content-length", "0"))
+        if not head.get("content-length", "").isdigit():
+            at = head_end + 4
+            continue
+        length = int(head["content-length"])
         block_start = head_end + 4
-        if block_start + length > len(stream):
+        # The end of the record must be there too, else its last bytes may be missing.
+        if block_start + length + len(RECORD_END) > len(stream):
             return records, stream[at:]
         http, _, payload = stream[block_start : block_start + length].partition(b"\r\n\r\n")
         status = http.split(b" ", 2)[1:2]
@@ -136,7 +146,7 @@ def _cut_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cut, rest = _records_of(stream)
             out.extend((path, *record) for record in cut)
         frame = pd.DataFrame(out, columns=["path", *names])
-        frame["warc_date"] = pd.to_datetime(frame["warc_date"], utc=True)
+        frame["warc_date"] = pd.to_datetime(frame["warc_date"], utc=True, format="ISO8601", errors="coerce")
         yield frame
 
 
@@ -144,7 +154,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Response records of all archives below ``path``, cut by their Content-Length."""
     chunks = spark.read.option("lineSep", RECORD_END).option("recursiveFileLookup", "true").text(path)
     # Rows of a gzip file stay in file order within one task, files one after another.
-    pieces = chunks.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value"))
+    pieces = chunks.select(_file_path().alias("path"), F.col("value").cast("binary").alias("value"))
     schema = "path STRING, " + RECORD_SCHEMA.split(", ", 1)[1]
     records = pieces.mapInPandas(_cut_records, schema)
     return records.withColumn("domain", archive_domain(_domain_of("path", _root(path)))).withColumn(
@@ -167,5 +177,5 @@ def preview(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
                 yield frame[frame["line_no"].between(start, end)]
 
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
-    named = lines.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.make_valid_utf8("value"), r"\r\z", "").alias("line"))
+    named = lines.select(_file_path().alias("path"), F.regexp_replace(F.make_valid_utf8("value"), r"\r\z", "").alias("line"))
     return named.mapInPandas(numbered, "path STRING, line STRING, line_no BIGINT").select("path", "line_no", "line")
