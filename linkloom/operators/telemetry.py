@@ -84,7 +84,7 @@ def completions(
 
 
 def idle_sessions(log: DataFrame, crawl: str, at_us: str, gap_us: int) -> DataFrame:
-    """Activity sessions of each crawl: a gap of ``gap_us`` or more ends one.
+    """Activity sessions of each crawl: a gap longer than ``gap_us`` ends one.
 
     Rows are first merged per gap-long slot, inside which no gap can be that
     long. That is a map-side combine, and it bounds the rows of a crawl by its
@@ -94,7 +94,7 @@ def idle_sessions(log: DataFrame, crawl: str, at_us: str, gap_us: int) -> DataFr
         F.min(at_us).alias("lo"), F.max(at_us).alias("hi"), F.count(F.lit(1)).alias("n")
     )
     in_order = Window.partitionBy(crawl).orderBy("slot")
-    opens = F.coalesce(F.col("lo") - F.lag("hi").over(in_order) >= gap_us, F.lit(True)).cast("int")
+    opens = F.coalesce(F.col("lo") - F.lag("hi").over(in_order) > gap_us, F.lit(True)).cast("int")
     numbered = slots.withColumn("_opens", opens).withColumn("_session", F.sum("_opens").over(in_order))
     return numbered.groupBy(crawl, "_session").agg(
         F.min("lo").alias("start_us"), F.max("hi").alias("end_us"), F.sum("n").alias("pages")

@@ -193,6 +193,20 @@ ORACLE: dict[str, str] = {
           CASE WHEN d <= 0 THEN 3 ELSE d END::INT AS max_depth,
           CASE WHEN form = 3 THEN 'URL is required' WHEN form IN (2, 4) THEN 'Invalid URL format' ELSE '' END AS reason
         FROM requests""",
+    "seed_submit": r"""
+        WITH requests AS (
+          SELECT o_orderkey, o_orderstatus,
+            'https://shop' || (o_custkey % 100) || '.example.com/c/' || o_custkey AS site FROM orders),
+        seen AS (SELECT DISTINCT site FROM requests WHERE o_orderstatus = 'P'),
+        offered AS (
+          SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE site END AS url FROM requests),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY o_orderkey) AS nth FROM offered),
+        judged AS (SELECT *, url <> '' AND nth = 1 AND url NOT IN (SELECT site FROM seen) AS accepted FROM ranked)
+        SELECT o_orderkey, accepted,
+          CASE WHEN url = '' THEN 'URL is required' WHEN accepted THEN 'Seed URL queued: ' || url || ' (Depth: 2)'
+            ELSE 'URL already crawled or queued in frontier' END AS message,
+          CASE WHEN url = '' THEN NULL WHEN accepted THEN 'QUEUED' ELSE 'ALREADY IN FRONTIER' END AS log_status
+        FROM judged""",
     "frontier_dump": f"""WITH {_FRONTIER}
         SELECT row_number() OVER (ORDER BY url) AS n, 'url:' || url AS key,
           '{{"url":"' || url || '","domain":"' || domain || '","depth":' || depth || ',"priority":' || priority
@@ -326,7 +340,7 @@ ORACLE: dict[str, str] = {
     "stats_tumbling": f"WITH {_STATS} SELECT window_start, pages, errors, bytes FROM hours",
     "idle_sessions": f"""WITH {_LOG},
         steps AS (
-          SELECT *, CASE WHEN at_us - lag(at_us) OVER w >= 21600000000 OR lag(at_us) OVER w IS NULL THEN 1 ELSE 0 END
+          SELECT *, CASE WHEN at_us - lag(at_us) OVER w > 21600000000 OR lag(at_us) OVER w IS NULL THEN 1 ELSE 0 END
             AS opens FROM log WINDOW w AS (PARTITION BY domain ORDER BY at_us, event_id)),
         marked AS (
           SELECT *, sum(opens) OVER (PARTITION BY domain ORDER BY at_us, event_id) AS session FROM steps)

@@ -165,6 +165,16 @@ def seed_normalize(orders: DataFrame) -> DataFrame:
     return seeds.normalize(requests).drop("url", "depth")
 
 
+@_on("orders")
+def seed_submit(orders: DataFrame) -> DataFrame:
+    host = F.concat(F.lit("shop"), F.col("o_custkey") % 100, F.lit(".example.com/c/"), "o_custkey")
+    requests = orders.select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, "").otherwise(host).alias("url"), F.lit(2).alias("depth")
+    )
+    seen = orders.filter("o_orderstatus = 'P'").select(F.concat(F.lit("https://"), host).alias("url"))
+    return seeds.submit(requests, seen, "o_orderkey").select("o_orderkey", "accepted", "message", "log_status")
+
+
 # --- frontier ----------------------------------------------------------------------------------
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.urls import canonical_self, trimmed, url_hostname
+from linkloom.operators.dedup import flag_pushed
 
 # Depth of a request that names none, and the messages of rejected requests.
 DEFAULT_DEPTH = 3
 URL_REQUIRED, URL_INVALID = "URL is required", "Invalid URL format"
+ALREADY_KNOWN, QUEUED_AS = "URL already crawled or queued in frontier", "Seed URL queued: %s (Depth: %d)"
 
 REQUEST_SCHEMA = "url STRING, depth INT, workers INT"
 
@@ -50,3 +52,22 @@ def seed_items(normalized: DataFrame, added_at: str, canonical: bool = True) ->
         F.col(added_at).alias("added_at"),
         "max_depth",
     )
+
+
+def submit(requests: DataFrame, seen: DataFrame, seq: str) -> DataFrame:
+    """Answer each request: ``accepted``, ``message`` and the label of its log event.
+
+    A request is accepted when it is valid, the first for its URL by ``seq``,
+    and its URL is not in ``seen``. Rejected requests have no log event.
+    """
+    items = normalize(requests).withColumn("_valid", F.coalesce("seed_url", F.lit("")))
+    history = seen.select(F.col("url").alias("_valid"))
+    answered = flag_pushed(items, history, ["_valid"], seq, "accepted")
+    valid = F.col("reason") == ""
+    message = (
+        F.when(~valid, F.col("reason"))
+        .when(F.col("accepted"), F.format_string(QUEUED_AS, "seed_url", "max_depth"))
+        .otherwise(ALREADY_KNOWN)
+    )
+    label = F.when(valid & F.col("accepted"), "QUEUED").when(valid, "ALREADY IN FRONTIER")
+    return answered.select(*items.drop("_valid").columns, "accepted", message.alias("message"), label.alias("log_status"))

@@ -6,6 +6,7 @@ import json
 import pytest
 
 from linkloom.operators import fetch, frontier
+from linkloom.plans import overview
 from linkloom.sources import seeds, stores
 
 NOW = dt.datetime(2024, 1, 2, 3, 4, 5)
@@ -139,3 +140,28 @@ def test_records_and_headers(spark, tmp_path):
     assert saved.count() == 2 and saved.first()["fetch_time_ms"] == 1 and saved.first()["created_at"] is not None
     entries = spark.createDataFrame([([("a", "1"), ("b", "2"), ("a", "3")],)], "e ARRAY<STRUCT<name: STRING, value: STRING>>")
     assert entries.select(fetch.headers_map(entries["e"])).first()[0] == {"a": "3", "b": "2"}
+
+
+def test_submitted_seeds(spark):
+    requests = spark.createDataFrame(
+        [(1, "h.com/a", 2), (2, "https://h.com/a", 2), (3, "h.com/b", 0), (4, "", 1)], "seq INT, url STRING, depth INT"
+    )
+    seen = spark.createDataFrame([("https://h.com/b",)], "url STRING")
+    rows = seeds.submit(requests, seen, "seq").orderBy("seq").collect()
+    assert [(r["accepted"], r["message"], r["log_status"]) for r in rows] == [
+        (True, "Seed URL queued: https://h.com/a (Depth: 2)", "QUEUED"),
+        (False, "URL already crawled or queued in frontier", "ALREADY IN FRONTIER"),
+        (False, "URL already crawled or queued in frontier", "ALREADY IN FRONTIER"),
+        (False, "URL is required", None),
+    ]
+
+
+def test_overview(spark, rows):
+    archive = spark.createDataFrame([("a.com", [("n", "0.00 MB", "t")]), ("unsorted", [])], "domain STRING, files ARRAY<STRUCT<name: STRING, size_mb: STRING, mod_time: STRING>>")
+    entries = {(r["section"], r["entry"]) for r in overview.overview(rows, archive, "QUEUED").collect()}
+    assert entries == {
+        ("pebble_domains", '{"domain":"a.com","count":2}'), ("pebble_domains", '{"domain":"a.com-b","count":1}'),
+        ("warc_domains", '{"domain":"a.com","files":[{"name":"n","size_mb":"0.00 MB","mod_time":"t"}]}'),
+        ("warc_domains", '{"domain":"unsorted","files":[]}'),
+    }
+    assert overview.overview(rows, archive).filter("section = 'pebble_domains'").count() == 3
