@@ -29,15 +29,16 @@ _ATTRIBUTE = rf"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:{_WS}*+={_WS}*+{_VALUE}?+)?+"
 _ATTRIBUTES = rf"(?:[ \t\n\r\f/]++|{_ATTRIBUTE})*+"
 _NAME_END = r"(?=[ \t\n\r\f/>])"
 
+# One leading "<" for all kinds of token, so that plain text is passed over with one test per character.
 _TOKENS = (
-    r"(?is)"
-    r"<!--(?:-?>|.*?(?:--!?>|\z))"
-    rf"|<({'|'.join(RAW_TEXT_ELEMENTS)}){_NAME_END}{_ATTRIBUTES}>(?:.*?(?=</\1{_NAME_END})|.*\z)"
-    rf"|<plaintext{_NAME_END}.*\z"
-    rf"|<a{_NAME_END}({_ATTRIBUTES})>"
-    rf"|</?[a-z][^ \t\n\r\f/>]*+{_ATTRIBUTES}>"
-    r"|<[!?][^>]*+>|</[^a-z>][^>]*+>"
-    r"|<(?:[a-z!?]|/[^>]).*\z"
+    r"(?is)<(?:"
+    r"!--(?:-?>|.*?(?:--!?>|\z))"
+    rf"|a{_NAME_END}({_ATTRIBUTES})>"
+    rf"|({'|'.join(RAW_TEXT_ELEMENTS)}){_NAME_END}{_ATTRIBUTES}>(?:.*?(?=</\2{_NAME_END})|.*\z)"
+    rf"|plaintext{_NAME_END}.*\z"
+    rf"|/?[a-z][^ \t\n\r\f/>]*+{_ATTRIBUTES}>"
+    r"|[!?][^>]*+>|/[^a-z>][^>]*+>"
+    r"|(?:[a-z!?]|/[^>]).*\z)"
 )
 _HREFS = rf"(?is)href(?=[ \t\n\r\f/>=]|\z)(?:{_WS}*+={_WS}*+({_VALUE})?+)?+|{_ATTRIBUTE}"
 
@@ -83,7 +84,7 @@ def attribute_text_sql(value: str) -> str:
 
 def hrefs_sql(html: str) -> str:
     """SQL: array of the distinct decoded ``href`` values of all ``a`` tags of a page."""
-    tags = f"filter(regexp_extract_all({html}, r'{_TOKENS}', 2), a -> a <> '')"
+    tags = f"filter(regexp_extract_all({html}, r'{_TOKENS}', 1), a -> a <> '')"
     values = f"filter(flatten(transform({tags}, a -> regexp_extract_all(a, r'{_HREFS}', 1))), v -> v <> '')"
     unquoted = "IF(v RLIKE r'^[\\x22\\x27]', substr(v, 2, length(v) - 2), v)"
     return f"array_distinct(transform({values}, v -> {_bound(unquoted, 'w', attribute_text_sql('w'))}))"

@@ -25,17 +25,19 @@ def normalize(requests: DataFrame) -> DataFrame:
     """Add ``seed_url``, ``domain``, ``max_depth`` and ``reason`` (empty when accepted)."""
     text = F.expr(trimmed("coalesce(url, '')"))
     schemed = F.when(text.rlike("^https?://"), text).otherwise(F.concat(F.lit("https://"), text))
-    checked = requests.withColumn("_text", text).withColumn("_seed", F.when(text != "", schemed))
     parses = canonical_self("_seed").isNotNull()
-    host = url_hostname(F.col("_seed"))
-    reason = F.when(F.col("_text") == "", URL_REQUIRED).when(~parses | (host == ""), URL_INVALID).otherwise("")
+    bad = F.when(F.col("_seed").isNull(), URL_REQUIRED).when(~parses | (F.col("_host") == ""), URL_INVALID).otherwise("")
     limit = F.when(F.coalesce("depth", F.lit(0)) <= 0, DEFAULT_DEPTH).otherwise(F.col("depth"))
-    return checked.select(
+    # One step per value: each is used several times by the next and should be computed once.
+    seeded = requests.withColumn("_seed", F.when(text != "", schemed))
+    judged = seeded.withColumn("_host", url_hostname(F.col("_seed"))).withColumn("reason", bad)
+    accepted = F.col("reason") == ""
+    return judged.select(
         *requests.columns,
-        F.when(reason == "", F.col("_seed")).alias("seed_url"),
-        F.when(reason == "", host).alias("domain"),
+        F.when(accepted, F.col("_seed")).alias("seed_url"),
+        F.when(accepted, F.col("_host")).alias("domain"),
         limit.alias("max_depth"),
-        reason.alias("reason"),
+        "reason",
     )
 
 
