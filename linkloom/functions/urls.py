@@ -119,8 +119,13 @@ def _well_formed(source: str, p: str) -> str:
     host = rf"r'^(?:\[[^\]]*+\](?::[0-9]*+)?|(?!\[){plain}(?:%(?:25|[89A-Fa-f][0-9A-Fa-f]){plain})*+)$'"
     port = r"r':[^:\]]*[^0-9:\]][^:\]]*$'"
     user = r"""r"^(?:[!$&-.0-;=@-Z_a-z~]|%[0-9A-Fa-f]{2})*+$" """
+    # Most references pass on sight: a plain host or none, no escapes, no control characters.
+    simple = (
+        r"r'^(?:https?://[A-Za-z0-9.-]+(?::[0-9]*+)?(?=[/?#]|$)|/(?!/)|[?#]|[^:/?#%\x00-\x1f\x7f]++(?=[/?#]|$))"
+        r"[^%\x00-\x1f\x7f]*+$'"
+    )
     return (
-        f"NOT {source} RLIKE r'[\\x00-\\x1f\\x7f]' AND NOT startswith(@{p}main, ':') "
+        f"{source} RLIKE {simple} OR NOT {source} RLIKE r'[\\x00-\\x1f\\x7f]' AND NOT startswith(@{p}main, ':') "
         f"AND NOT (@{p}scheme = '' AND NOT startswith(@{p}hier, '/') "
         f"AND instr(substring_index(@{p}hier, '/', 1), ':') > 0) "
         f"AND {escapes(f'@{p}path')} "
