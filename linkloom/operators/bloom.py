@@ -72,10 +72,12 @@ def _words(bitmap: str) -> Column:
 
 def might_contain(df: DataFrame, bloom: DataFrame, size: BloomSize, key: str = "url") -> DataFrame:
     """Add ``maybe``: False means the key is certainly not in the filter."""
-    side = bloom.select("block", _words("bitmap").alias("words"))
+    # A computed join key makes the filter side shuffle anew, so that adaptive execution can split a hot block.
+    side = bloom.select(F.col("block").cast("int").alias("_block"), _words("bitmap").alias("words"))
     if size.blocks <= BROADCAST_BLOCKS:
         side = F.broadcast(side)
-    probed = _with_bits(df, size, key).join(side, "block", "left")
+    hashed = _with_bits(df, size, key).withColumn("_block", F.col("block").cast("int"))
+    probed = hashed.join(side, "_block", "left")
     # Bitmaps number bits from the low end of each byte, words from the high end of the first byte.
     hit = F.lit(True)
     for i in range(size.hashes):

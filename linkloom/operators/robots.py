@@ -28,7 +28,7 @@ def parse_robots(texts: DataFrame, agent: str) -> DataFrame:
     without rules gives one row with a NULL path.
     """
     usable = texts.filter((F.col("status_code") == 200) & (F.octet_length("body") <= MAX_ROBOTS_BYTES))
-    one_text = first_per_key(usable.select("domain", "body"), ["domain"], ["body"])
+    one_text = first_per_key(usable.select(F.lower("domain").alias("domain"), "body"), ["domain"], ["body"])
     raw = per_element(one_text, ["domain"], F.split("body", r"\r\n|\r|\n"), "line", "pos")
     text = F.regexp_replace("line", r"#.*$", "")
     lines = raw.select(
@@ -107,10 +107,12 @@ def _decision(rules: str, path: str) -> Column:
 def check_urls(urls: DataFrame, hosts: DataFrame, url: str = "url") -> DataFrame:
     """Add ``allowed`` and ``crawl_delay`` to rows with a URL; no host, no rules or no match means allowed.
 
-    The join has no hint: Spark broadcasts the host table while its measured
-    size allows it and otherwise sort-merges, splitting a skewed host.
+    The join has no hint: Spark broadcasts the host table only while its
+    measured size allows it. Otherwise adaptive execution splits a hot host,
+    which it can only do when both sides come straight from a shuffle; joining
+    on a computed host, not the grouping column of the table, sees to that.
     """
-    hosts = hosts.select(F.col("domain").alias("_host"), "rules", "crawl_delay")
+    hosts = hosts.select(F.lower("domain").alias("_host"), "rules", "crawl_delay")
     keyed = urls.withColumn("_host", F.lower(url_hostname(F.col(url)))).withColumn("_path", url_path(F.col(url)))
     joined = keyed.join(hosts, "_host", "left")
     return joined.select(

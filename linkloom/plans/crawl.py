@@ -46,10 +46,12 @@ def crawl(
 
     ``seeds`` has ``url, max_depth``; ``captured`` has ``url, status_code,
     error, has_body``; ``links`` has ``src_url, dst_url``; ``hosts`` is the
-    robots table. A URL reached at one depth under several limits keeps the
+    robots table. Captured pages and links are read once per level, so they
+    should be stored tables. A URL reached at one depth under several limits keeps the
     largest. Each level is checkpointed, which cuts the plan and gives the row
     count that ends the loop and that allows a broadcast of a small level.
     """
+    hosts = None if hosts is None else materialized(hosts)
     level = (
         seeds.groupBy("url").agg(F.max("max_depth").alias("max_depth")).withColumn("depth", F.lit(1))
     )

@@ -21,11 +21,11 @@ page_links AS (
 _FRONTIER = rf"""
 {_LINKS},
 items AS (
-  SELECT page_id, regexp_replace(url, '#.*$', '') AS url, 1 AS depth FROM pages
-  UNION ALL SELECT page_id, link, 2 FROM page_links),
+  SELECT page_id, regexp_replace(url, '#.*$', '') AS url, 1 AS depth, starts_with(url, 'http:') AS plain FROM pages
+  UNION ALL SELECT page_id, link, 2, starts_with(url, 'http:') FROM page_links),
 numbered AS (
   SELECT *, page_id + (depth - 1) * 1000000000000 AS seq, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS domain,
-    depth AS priority, 0 AS retry_count, CASE WHEN page_id % 3 = 0 THEN 'QUEUED' ELSE 'CRAWLED' END AS status,
+    depth AS priority, 0 AS retry_count, CASE WHEN plain THEN 'QUEUED' ELSE 'CRAWLED' END AS status,
     epoch_us(TIMESTAMP '2024-01-01 00:00:00') + page_id * 1000000 AS added_at
   FROM items),
 frontier AS (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1)
@@ -58,7 +58,7 @@ tested AS (
 
 _SNAPSHOT = r"""
 snapshot AS (
-  SELECT regexp_replace(url, '#.*$', '') AS url, CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END AS status_code,
+  SELECT regexp_replace(url, '#.*$', '') AS url, CASE WHEN url LIKE '%utm_source%' THEN 404 ELSE 200 END AS status_code,
     octet_length(encode(html)) AS n_bytes, octet_length(encode(html)) * 1000 + 999999 AS fetch_time_ns
   FROM pages QUALIFY row_number() OVER (PARTITION BY regexp_replace(url, '#.*$', '') ORDER BY page_id) = 1)
 """
@@ -97,7 +97,7 @@ _RESULTS = r"""
 results AS (
   SELECT page_id, url, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS domain, html,
     octet_length(encode(html)) AS n_bytes, 1704067200 + page_id AS at_s
-  FROM pages WHERE page_id % 10 NOT IN (0, 1) AND html <> '')
+  FROM pages WHERE url NOT LIKE '%utm_source%' AND url NOT LIKE '%#top' AND html <> '')
 """
 
 _STATS = rf"""
@@ -223,10 +223,12 @@ ORACLE: dict[str, str] = {
     "frontier_lookup": f"""WITH {_FRONTIER}
         SELECT p.url, f.url IS NOT NULL AS found, f.depth, f.status FROM pages p LEFT JOIN frontier f ON p.url = f.url""",
     "frontier_decode": r"""
-        SELECT url, CASE WHEN page_id % 5 = 2 THEN '' ELSE 'd' END AS domain,
-          CASE WHEN page_id % 5 = 2 THEN 2 ELSE 1 END AS depth, CASE WHEN page_id % 5 = 2 THEN 0 ELSE 2 END AS priority,
-          0 AS retry_count, CASE WHEN page_id % 5 = 2 THEN '' ELSE 'QUEUED' END AS status
-        FROM pages WHERE page_id % 5 NOT IN (0, 1)""",
+        WITH stored AS (
+          SELECT url, ends_with(url, '.html') AS short FROM pages WHERE url NOT LIKE '%?page%' AND url NOT LIKE '%#top')
+        SELECT url, CASE WHEN short THEN '' ELSE 'd' END AS domain, CASE WHEN short THEN 2 ELSE 1 END AS depth,
+          CASE WHEN short THEN 0 ELSE 2 END AS priority, 0 AS retry_count,
+          CASE WHEN short THEN '' ELSE 'QUEUED' END AS status
+        FROM stored""",
     "domain_counts_status": f"""WITH {_FRONTIER}
         SELECT domain, count(*) AS count FROM frontier WHERE status = 'CRAWLED' GROUP BY 1""",
     "frontier_upsert": f"""WITH {_FRONTIER},

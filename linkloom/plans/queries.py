@@ -208,11 +208,11 @@ def frontier_lookup(pages: DataFrame) -> DataFrame:
 
 @_on("pages")
 def frontier_decode(pages: DataFrame) -> DataFrame:
-    form = F.col("page_id") % 5
+    page = F.col("url")
     value = (
-        F.when(form == 0, F.concat(F.lit('{"url":"'), "url"))
-        .when(form == 1, F.concat(F.lit('{"url":"'), "url", F.lit('","depth":"deep"}')))
-        .when(form == 2, F.concat(F.lit('{"depth":'), F.lit(2), F.lit(',"extra":[1],"url":"'), "url", F.lit('"}')))
+        F.when(page.contains("?page"), F.concat(F.lit('{"url":"'), "url"))
+        .when(page.endswith("#top"), F.concat(F.lit('{"url":"'), "url", F.lit('","depth":"deep"}')))
+        .when(page.endswith(".html"), F.concat(F.lit('{"depth":'), F.lit(2), F.lit(',"extra":[1],"url":"'), "url", F.lit('"}')))
         .otherwise(
             F.concat(F.lit('{"url":"'), "url", F.lit('","domain":"d","depth":1,"priority":2,"status":"QUEUED"}'))
         )
@@ -307,7 +307,8 @@ QUERIES["crawl_reachable"] = _crawl_reachable
 def _results(pages: DataFrame) -> DataFrame:
     captured = pages.select(
         "page_id", "url", urls.url_hostname(F.col("url")).alias("domain"), F.lit(1).alias("depth"),
-        F.when(F.col("page_id") % 10 == 0, 404).when(F.col("page_id") % 10 == 1, 0).otherwise(200).alias("status_code"),
+        F.when(F.col("url").contains("utm_source"), 404).when(F.col("url").endswith("#top"), 0).otherwise(200)
+        .alias("status_code"),
         F.lit("text/html").alias("content_type"), F.col("html").cast("binary").alias("body"),
         F.lit("").alias("error"), tables.seconds_after_epoch("page_id").alias("at"),
     )

@@ -29,9 +29,13 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def frontier_items(pages: DataFrame) -> DataFrame:
-    """Frontier items of a crawl of the pages: each page at depth 1, its links at depth 2."""
-    own = pages.select("page_id", canonical_self("url").alias("url"), F.lit(1).alias("depth"))
-    linked = page_links(pages).select("page_id", F.col("link").alias("url"), F.lit(2).alias("depth"))
+    """Frontier items of a crawl of the pages: each page at depth 1, its links at depth 2.
+
+    Items of pages fetched in plain http are still queued, the others crawled.
+    """
+    plain = F.col("url").startswith("http://").alias("plain")
+    own = pages.select("page_id", canonical_self("url").alias("url"), F.lit(1).alias("depth"), plain)
+    linked = page_links(pages).select("page_id", F.col("link").alias("url"), F.lit(2).alias("depth"), plain)
     items = own.unionByName(linked)
     return items.select(
         "url",
@@ -39,7 +43,7 @@ def frontier_items(pages: DataFrame) -> DataFrame:
         "depth",
         F.col("depth").alias("priority"),
         F.lit(0).alias("retry_count"),
-        F.when(F.col("page_id") % 3 == 0, frontier.QUEUED).otherwise(frontier.CRAWLED).alias("status"),
+        F.when(F.col("plain"), frontier.QUEUED).otherwise(frontier.CRAWLED).alias("status"),
         seconds_after_epoch("page_id").alias("added_at"),
         (F.col("page_id") + (F.col("depth") - 1) * F.lit(LINK_SEQ)).alias("seq"),
     )
@@ -51,11 +55,11 @@ def frontier_rows(pages: DataFrame) -> DataFrame:
 
 
 def snapshot(pages: DataFrame) -> DataFrame:
-    """Captured responses: one per canonical page URL, every tenth a 404, fetch time from its size."""
+    """Captured responses: one per canonical page URL, feed links a 404, fetch time from its size."""
     captured = pages.select(
         "page_id",
         canonical_self("url").alias("url"),
-        F.when(F.col("page_id") % 10 == 0, 404).otherwise(200).alias("status_code"),
+        F.when(F.col("url").contains("utm_source"), 404).otherwise(200).alias("status_code"),
         F.lit("text/html; charset=utf-8").alias("content_type"),
         F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8")).alias("headers"),
         F.col("html").cast("binary").alias("body"),

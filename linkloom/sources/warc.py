@@ -70,9 +70,11 @@ def _file_path() -> Column:
 
 
 def _domain_of(path: str, root: str) -> Column:
+    """Domain of a file below the root: its ``domain=`` folder, else its first folder, else ''."""
     inside = F.replace(F.regexp_replace(path, r"^[a-z0-9]+:/+", "/"), F.lit(root.rstrip("/") + "/"), F.lit(""))
+    named = F.regexp_extract(inside, r"(?:^|/)domain=([^/]*)/", 1)
     first = F.when(F.instr(inside, "/") > 0, F.substring_index(inside, "/", 1)).otherwise("")
-    return decoded(F.regexp_replace(first, "^domain=", ""))
+    return decoded(F.when(named != "", named).otherwise(first))
 
 
 def _root(path: str) -> str:
@@ -88,13 +90,14 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def list_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per domain with its files in order of name; ``unsorted`` is always present."""
-    domain = archive_domain(_domain_of("path", _root(path)))
+    domain = _domain_of("path", _root(path))
     file = F.struct(
         F.regexp_extract("path", r"[^/]+$", 0).alias("name"),
         size_text(F.col("length")).alias("size_mb"),
         time_text(F.col("modificationTime")).alias("mod_time"),
     )
-    groups = _listed(spark, path).groupBy(domain.alias("domain")).agg(F.sort_array(F.collect_list(file)).alias("files"))
+    inside = _listed(spark, path).withColumn("domain", domain).filter("domain <> ''")
+    groups = inside.groupBy("domain").agg(F.sort_array(F.collect_list(file)).alias("files"))
     none = F.array().cast("array<struct<name:string,size_mb:string,mod_time:string>>")
     always = spark.range(1).select(F.lit(UNSORTED).alias("domain"), none.alias("files"))
     return groups.unionByName(not_seen(always, groups, ["domain"]))
@@ -162,6 +165,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     ).select("domain", *[part.split(" ")[0] for part in schema.split(", ")[1:]])
 
 
+def archive_file(root: str, domain: str, file: str) -> str:
+    """Path of one archive file; domain and file count by their last path part only."""
+    domain, file = domain.rstrip("/").rsplit("/", 1)[-1], file.rstrip("/").rsplit("/", 1)[-1]
+    if file in ("", "."):
+        raise ValueError("file is required")
+    return "/".join([root.rstrip("/"), *([domain] if domain not in ("", ".") else []), file])
+
+
 def preview(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
     """Lines ``start`` to ``end`` of every archive below ``path``, with path and line number."""
 

@@ -136,3 +136,21 @@ def test_text_lines(spark):
     df = spark.createDataFrame([(1, "a\r\nb\n\nd\n"), (2, ""), (3, "x")], "id INT, text STRING")
     got = archive.text_lines(df, "id", "text", 2, 3).collect()
     assert {tuple(r) for r in got} == {(1, 2, "b"), (1, 3, "")}
+
+
+def test_archive_file():
+    assert warc.archive_file("/w/", "../a.com", "../../x.gz") == "/w/a.com/x.gz"
+    assert warc.archive_file("/w", "", "x.gz") == "/w/x.gz"
+    with pytest.raises(ValueError):
+        warc.archive_file("/w", "a.com", "")
+
+
+def test_listing_passes_over_files_at_the_root(spark, results, tmp_path):
+    warc.write_warc(results.filter("domain = 'a.com'"), str(tmp_path / "batch=0"), "at")
+    (tmp_path / "stray.gz").write_bytes(gzip.compress(b"x"))
+    assert sorted(r["domain"] for r in warc.list_archive(spark, str(tmp_path)).collect()) == ["a.com", "unsorted"]
+
+
+def test_no_results(spark, results, tmp_path):
+    warc.write_warc(results.limit(0), str(tmp_path / "none"), "at")
+    assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0

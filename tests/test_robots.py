@@ -68,3 +68,31 @@ def test_too_large_text_counts_as_missing(spark):
 def test_many_stars_stay_fast(spark):
     body = "User-agent: *\nDisallow: /" + "*a" * 40 + "*b$"
     assert verdicts(spark, body, "x", ["/" + "a" * 3000, "/" + "a" * 3000 + "b"])[0] == [True, False]
+
+
+def test_a_hot_host_is_split(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k) for k in settings if k != "spark.sql.adaptive.autoBroadcastJoinThreshold"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        urls = spark.range(0, 40_000, 1, 8).selectExpr(
+            "concat('https://', if(id % 2 = 0, 'hot', concat('h', id)), '.com/admin/', id, uuid()) AS url"
+        )
+        texts = spark.createDataFrame([("hot.com", 200, SIMPLE)], "domain STRING, status_code INT, body STRING")
+        tested = robots.check_urls(urls, robots.rules_by_host(robots.parse_robots(texts, "x")))
+        counted = tested.selectExpr("allowed", "crawl_delay")
+        rows = counted.collect()
+        assert sum(not r["allowed"] for r in rows) == 20_000 and len(rows) == 40_000
+        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
