@@ -15,7 +15,7 @@ from linkloom.operators.robots import check_urls
 from linkloom.operators.rows import per_element
 from linkloom.session import materialized
 
-SMALL_LEVEL_ROWS = 100_000
+SMALL_LEVEL_BYTES = 32 << 20
 DEFAULT_DEPTH = 3
 
 
@@ -40,7 +40,7 @@ def crawl(
     captured: DataFrame,
     links: DataFrame,
     hosts: DataFrame | None = None,
-    small_level_rows: int = SMALL_LEVEL_ROWS,
+    small_level_bytes: int = SMALL_LEVEL_BYTES,
 ) -> DataFrame:
     """Every URL reached from the seeds with its least depth and its outcome.
 
@@ -49,7 +49,7 @@ def crawl(
     robots table. Captured pages and links are read once per level, so they
     should be stored tables. A URL reached at one depth under several limits keeps the
     largest. Each level is checkpointed, which cuts the plan and gives the row
-    count that ends the loop and that allows a broadcast of a small level.
+    count that ends the loop and the bytes that allow a broadcast of a small level.
     """
     hosts = None if hosts is None else materialized(hosts)
     level = (
@@ -58,10 +58,10 @@ def crawl(
     levels: list[DataFrame] = []
     while True:
         level = materialized(level)
-        rows = level.count()
+        rows, url_bytes = level.agg(F.count(F.lit(1)), F.sum(F.octet_length("url").cast("bigint"))).first()
         if rows == 0:
             break
-        small = rows <= small_level_rows
+        small = url_bytes + 32 * rows <= small_level_bytes
         visited = materialized(_with_outcome(level, captured, hosts, small).select(
             "url", "depth", "max_depth", "status_code", "error", "has_body", "outcome"
         ))

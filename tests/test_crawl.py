@@ -13,7 +13,7 @@ LINKS = {
 }
 
 
-def run(spark, seeds, hosts=None, small=crawl.SMALL_LEVEL_ROWS):
+def run(spark, seeds, hosts=None, small=crawl.SMALL_LEVEL_BYTES):
     captured = spark.createDataFrame(
         [(u, 500 if u.endswith("err") else 200, "", not u.endswith("empty")) for u in LINKS],
         "url STRING, status_code INT, error STRING, has_body BOOLEAN",
@@ -23,7 +23,7 @@ def run(spark, seeds, hosts=None, small=crawl.SMALL_LEVEL_ROWS):
     return {r["url"][10:]: (r["depth"], r["outcome"]) for r in crawl.crawl(start, captured, links, hosts, small).collect()}
 
 
-@pytest.mark.parametrize("small", [crawl.SMALL_LEVEL_ROWS, 0])
+@pytest.mark.parametrize("small", [crawl.SMALL_LEVEL_BYTES, 0])
 def test_least_depth(spark, small):
     assert run(spark, [("https://h/a", 9)], small=small) == {
         "a": (1, "200"), "b": (2, "200"), "c": (2, "200"), "d": (3, "200"), "gone": (3, "ERROR"), "err": (3, "ERROR"), "e": (4, "200")
