@@ -36,7 +36,7 @@ def record_header(url: Column, at: Column, http: Column, body: Column) -> Column
         F.lit("WARC/1.0" + CRLF + "WARC-Type: response" + CRLF + "WARC-Record-ID: <urn:uuid:"),
         record_id(url, at),
         F.lit(">" + CRLF + "WARC-Date: "),
-        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         F.lit(CRLF + "WARC-Target-URI: "),
         url,
         F.lit(CRLF + "Content-Type: application/http; msgtype=response" + CRLF + "Content-Length: "),

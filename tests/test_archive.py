@@ -154,3 +154,13 @@ def test_listing_passes_over_files_at_the_root(spark, results, tmp_path):
 def test_no_results(spark, results, tmp_path):
     warc.write_warc(results.limit(0), str(tmp_path / "none"), "at")
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_record_dates_are_utc_in_any_session(spark, results):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        at = spark.sql("SELECT timestamp'2024-05-06 03:08:09' AS at")
+        one = results.limit(1).drop("at").join(at)
+        assert "WARC-Date: 2024-05-06T07:08:09Z" in archive.with_record_text(one, "at").first()["header"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
