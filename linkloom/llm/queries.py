@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, fingerprint, packing
-from linkloom.llm.common import table
+from linkloom.llm import bpe, fingerprint, langid, licenses, packing, quality, toxicity, urlfilter
+from linkloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,8 +27,41 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _marked(scores: DataFrame, fold: tuple[int, int]) -> DataFrame:
+    return scores.withColumn("held_out", held_out(F.col("doc_id"), *fold))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = _marked(langid.predict(docs, langid.train_on(docs)), langid.HELD_OUT)
+    return rows.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = _marked(toxicity.predict(docs, toxicity.train(docs, labels)), toxicity.HELD_OUT)
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = _marked(quality.predict(docs, quality.train(docs, labels)), quality.HELD_OUT)
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.classify(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_document_fingerprints, op2_byte_bpe, op4_best_fit_packing)
+    for f in (
+        op1_document_fingerprints, op2_byte_bpe, op4_best_fit_packing, op6_language_id, op7_license_scan, op8_toxicity,
+        op9_quality, op10_url_filter,
+    )
 }
 ORACLE: dict[str, str] = {}
