@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, fingerprint, langid, licenses, packing, quality, toxicity, urlfilter
+from linkloom.llm import bpe, fingerprint, hnsw, langid, licenses, minhash, packing, quality, toxicity, urlfilter
 from linkloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,10 +23,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"))
+
+
 def _marked(scores: DataFrame, fold: tuple[int, int]) -> DataFrame:
     return scores.withColumn("held_out", held_out(F.col("doc_id"), *fold))
 
@@ -60,8 +68,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_document_fingerprints, op2_byte_bpe, op4_best_fit_packing, op6_language_id, op7_license_scan, op8_toxicity,
-        op9_quality, op10_url_filter,
+        op1_document_fingerprints, op2_byte_bpe, op3_embedding_near_dedup, op4_best_fit_packing,
+        op5_minhash_near_dedup, op6_language_id, op7_license_scan, op8_toxicity, op9_quality, op10_url_filter,
     )
 }
 ORACLE: dict[str, str] = {}
