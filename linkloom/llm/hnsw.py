@@ -320,13 +320,13 @@ def near_duplicates(
 
     dealt = searched.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     graphs = dealt.groupBy("shard").applyInArrow(build, "shard int, graph binary")
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<int>"))
     asked = searched.select(
-        every.cast("int").alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"),
+        every.alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"),
         F.lit(None).cast("binary").alias("graph"), "id", "v",
     )
     given = graphs.select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).cast("int").alias("chunk"), "graph",
+        "shard", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<int>")).alias("chunk"), "graph",
         F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("array<double>").alias("v"),
     )
     work = given.unionByName(asked).repartition(shards * chunks, "shard", "chunk")
