@@ -316,7 +316,7 @@ def near_duplicates(
         order = np.argsort(group.column("id").to_numpy()[good])
         graph = Graph(unit[order], group.column("id").to_numpy()[good][order])
         body = pickle.dumps((graph, group.column("copies").to_numpy()[good][order]))
-        return pa.table({"shard": [group.column("shard")[0].as_py()], "graph": pa.array([body], pa.large_binary()).cast(pa.binary())})
+        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "graph": pa.array([body], pa.binary())})
 
     dealt = searched.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     graphs = dealt.groupBy("shard").applyInArrow(build, "shard int, graph binary")
