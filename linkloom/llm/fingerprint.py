@@ -53,15 +53,24 @@ def code_points(text: str) -> np.ndarray:
 
 
 class Prefixes:
-    """Modular prefix arrays of one text."""
+    """Modular prefix arrays of one text; of an edited text when ``base`` is given, whose first ``kept`` points it shares."""
 
-    def __init__(self, points: np.ndarray):
-        self.n = len(points)
-        self.sums = []
-        for powers in _POWERS:
+    def __init__(self, points: np.ndarray, base: Prefixes | None = None, kept: int = 0):
+        self.n, self.sums, self._hashes = len(points), [], {}
+        self._base, self._kept = base, kept
+        for k, powers in enumerate(_POWERS):
             p = np.uint64(powers.p)
-            terms = (points.astype(np.uint64) + np.uint64(1)) * powers.upto(self.n)[0] % p
-            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64) % p]))
+            terms = (points[kept:].astype(np.uint64) + np.uint64(1)) * powers.upto(self.n)[0][kept:] % p
+            known = base.sums[k][: kept + 1] if base else np.zeros(1, np.uint64)
+            self.sums.append(np.concatenate([known, (known[-1] + np.cumsum(terms, dtype=np.uint64)) % p]))
+
+    def hashes(self, width: int) -> np.ndarray:
+        """Scrambled 32-bit hashes of all spans of one width; those of a shared beginning are taken over."""
+        if width not in self._hashes:
+            known = self._base.hashes(width)[: max(0, self._kept - width + 1)] if self._base else np.zeros(0, np.uint64)
+            starts = np.arange(len(known), self.n - width + 1)
+            self._hashes[width] = np.concatenate([known, mix(self.spans(starts, starts + width)) >> np.uint64(32)])
+        return self._hashes[width]
 
     def spans(self, start, stop) -> np.ndarray:
         """62-bit hashes of spans ``[start, stop)``; equal for equal spans wherever they stand."""
@@ -89,8 +98,7 @@ class Prefixes:
 
 
 def _least(prefixes: Prefixes, width: int) -> list[str]:
-    starts = np.arange(prefixes.n - width + 1)
-    hashes = mix(prefixes.spans(starts, starts + width)) >> np.uint64(32)
+    hashes = prefixes.hashes(width)
     if len(hashes) > 64 * SKETCH:
         low = np.unique(hashes[hashes < np.uint64((8 * SKETCH << 32) // len(hashes))])
         if len(low) >= SKETCH:
@@ -224,7 +232,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             ahead = Prefixes(after)
             m = len(points) // 4
             changed = edited(body, following)
-            other = Prefixes(np.concatenate([points[: len(points) - m], after[:m]]))
+            other = Prefixes(np.concatenate([points[: len(points) - m], after[:m]]), prefixes, len(points) - m)
             mark_edited, mark_next = of(other), of(ahead)
             out.append((
                 key, len(points), hashlib.sha256(changed.encode()).hexdigest(), mark, mark_edited,
