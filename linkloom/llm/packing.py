@@ -19,6 +19,17 @@ END_ID = 0
 CACHE_CHUNKS = 600_000
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are below U+0100, whose lower case depends on nothing else."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, remembered by stretches between single spaces and line ends.
 
@@ -30,7 +41,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
 
     def _fresh(self, chunks: list[str]) -> None:
@@ -40,7 +51,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) >= CACHE_CHUNKS:
             self.known.clear()
-        cut = [[t] if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
+        # The tokenizer lower-cases anyway; where that is plain, doing it first makes stretches recur.
+        cut = [(t.lower() if _latin(t) else t).replace("\n", " ").split(" ") for t in texts]
         missing = {chunk for chunks in cut for chunk in chunks} - self.known.keys()
         # A word before one final stop or comma is a word of the tokenizer of its own.
         split = {c for c in missing if len(c) > 1 and c[-1] in ".," and c[:-1].lower().isalpha()}
