@@ -198,8 +198,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     id_type = to_arrow_type(docs.schema[doc_id].dataType)
     # ids as numbers with null first
     ids = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_MIN_ID)).alias("k"))
-    steps = [i / parts for i in range(1, parts)] or [0.5]
-    least, cuts = ids.agg(F.min("k"), F.percentile_approx("k", steps, 100 * parts)).first()
+    ranges = 8 * parts  # several to a task, which evens out how many each gets
+    steps = [i / ranges for i in range(1, ranges)]
+    least, cuts = ids.agg(F.min("k"), F.percentile_approx("k", steps, 50 * ranges)).first()
     bounds = np.array(sorted({*(cuts or [])} - {least}), np.int64)
 
     def place(batches):
