@@ -170,7 +170,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _described(docs: DataFrame, idf, doc_id: str, text: str) -> DataFrame:
-    """``(id, same, weight, drawn, bands)``: key of the shingle counts, total weight, 32-bit samples and band keys."""
+    """``(id, same, weight, drawn, bands)``: key of the shingle counts, total weight, 16-bit samples and band keys."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         row, shingle, count = shingles(part.column(1))
@@ -187,10 +187,10 @@ def _described(docs: DataFrame, idf, doc_id: str, text: str) -> DataFrame:
         return pa.record_batch({
             "id": part.column(0).take(own), "k0": pa.array(keys[0].view(np.int64)), "k1": pa.array(keys[1].view(np.int64)),
             "weight": pa.array(np.add.reduceat(weight, start)),
-            "drawn": _lists((drawn >> np.uint64(32)).astype(np.uint32).view(np.int32)), "bands": _lists(bands.view(np.int64)),
+            "drawn": _lists((drawn >> np.uint64(48)).astype(np.uint16).view(np.int16)), "bands": _lists(bands.view(np.int64)),
         })
 
-    schema = "id bigint, k0 bigint, k1 bigint, weight double, drawn array<int>, bands array<bigint>"
+    schema = "id bigint, k0 bigint, k1 bigint, weight double, drawn array<smallint>, bands array<bigint>"
     return map_slices(docs.select(F.col(doc_id).cast("bigint").alias("id"), text), ["id", text], work, schema)
 
 
@@ -199,7 +199,7 @@ def _lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values).reshape(-1)))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, idf, threshold: float, parts: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float, parts: int) -> DataFrame:
     """The pairs ``(a, b)`` whose exact similarity reaches the threshold.
 
     The partners of a document are spread over salted groups. A group is
@@ -207,9 +207,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, idf, threshold: float, parts: i
     no group is held whole.
     """
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    heads = pairs.select("a", "salt").distinct().join(docs, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("bigint").alias("b"), "text")
-    tails = pairs.join(docs, F.col("b") == F.col("id")).select("a", "salt", "b", "text")
-    dealt = heads.unionByName(tails).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    heads = pairs.select(F.col("a").alias("id"), "a", "salt", F.lit(None).cast("bigint").alias("b")).distinct()
+    wanted = heads.unionByName(pairs.select(F.col("b").alias("id"), "a", "salt", "b"))
+    dealt = wanted.join(texts, "id").select("a", "salt", "b", "text")
+    dealt = dealt.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def compare(batches):
         own, key = None, None
@@ -255,15 +256,15 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id"
     idf = spark.sparkContext.broadcast(frequent(bodies, "text"))
     described = materialized(_described(bodies, idf, "id", "text"))
     classes = described.groupBy("k0", "k1").agg(F.min("id").alias("class"))
-    member = described.select("id", "k0", "k1").join(classes, ["k0", "k1"]).select("id", "class").distinct()
-    member = materialized(member)
-    first = described.join(member.filter("id = class").select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "k0", "k1"])
-    bands = materialized(first.select("id", "weight", F.explode("bands").alias("band")))
-
+    member = materialized(described.select("id", "k0", "k1").join(classes, ["k0", "k1"]).select("id", "class").distinct())
+    first = materialized(described.join(member.filter("id = class").select("id"), "id", "left_semi"))
+    bands = first.select("id", "weight", F.explode("bands").alias("band"))
     lead = bands.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    star = bands.join(lead, "band").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    star = materialized(star)
-    links = materialized(_verified(star, bodies, idf, threshold, parts))
+    bands = materialized(bands.join(lead, "band"))
+    star = materialized(bands.filter("id <> a").select("a", F.col("id").alias("b")).distinct())
+    # Every later pair is of members of one bucket too, so only their texts are fetched, once.
+    texts = materialized(bodies.join(bands.select("id").distinct(), "id", "left_semi"))
+    links = materialized(_verified(star, texts, idf, threshold, parts))
     near = components(links)
 
     placed = bands.join(near, bands["id"] == near["node"], "left").select(
@@ -279,9 +280,9 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id"
     drawn = first.select("id", "drawn")
     rest = rest.join(drawn.withColumnsRenamed({"id": "a", "drawn": "da"}), "a").join(drawn.withColumnsRenamed({"id": "b", "drawn": "db"}), "b")
     equal = F.aggregate(F.zip_with("da", "db", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
-    rest = materialized(rest.filter(equal >= LEAST_SHARED * BANDS * ROWS).select("a", "b"))
+    rest = materialized(rest.filter(equal >= LEAST_SHARED * BANDS * ROWS).select("a", "b").distinct())
     if not rest.isEmpty():
-        links = materialized(links.unionByName(_verified(rest, bodies, idf, threshold, parts)))
+        links = materialized(links.unionByName(_verified(rest, texts, idf, threshold, parts)))
         near = components(links)
 
     least = member.join(near, member["class"] == near["node"], "left").select(
