@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.session import materialized
+from linkloom.session import materialized, scratch_path
 
 #: Text bytes that a Python worker looks at in one go; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -74,6 +74,16 @@ def keep_rows(docs: DataFrame, text: str, keep: Callable[[pa.RecordBatch], np.nd
     return docs.mapInArrow(run, docs.schema)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to Parquet in the shared folder and read from there: cuts lineage as a checkpoint does.
+
+    Columnar and compressed, so it suits wide rows and texts better.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 class Words:
     """Words of a slice of texts: maximal runs of 0-9, a-z and non-ASCII bytes after lower-casing.
 

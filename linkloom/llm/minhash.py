@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Words, components, map_slices, mix, random_words, slices
+from linkloom.llm.common import Words, components, map_slices, mix, random_words, slices, stored
 from linkloom.session import materialized
 
 WIDTH = 5
@@ -254,16 +254,16 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id"
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bodies = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     idf = spark.sparkContext.broadcast(frequent(bodies, "text"))
-    described = materialized(_described(bodies, idf, "id", "text"))
+    described = stored(_described(bodies, idf, "id", "text"), "described")
     classes = described.groupBy("k0", "k1").agg(F.min("id").alias("class"))
-    member = materialized(described.select("id", "k0", "k1").join(classes, ["k0", "k1"]).select("id", "class").distinct())
-    first = materialized(described.join(member.filter("id = class").select("id"), "id", "left_semi"))
+    member = stored(described.select("id", "k0", "k1").join(classes, ["k0", "k1"]).select("id", "class").distinct(), "member")
+    first = stored(described.join(member.filter("id = class").select("id"), "id", "left_semi"), "first")
     bands = first.select("id", "weight", F.explode("bands").alias("band"))
     lead = bands.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    bands = materialized(bands.join(lead, "band"))
+    bands = stored(bands.join(lead, "band"), "bands")
     star = materialized(bands.filter("id <> a").select("a", F.col("id").alias("b")).distinct())
     # Every later pair is of members of one bucket too, so only their texts are fetched, once.
-    texts = materialized(bodies.join(bands.select("id").distinct(), "id", "left_semi"))
+    texts = stored(bodies.join(bands.select("id").distinct(), "id", "left_semi"), "texts")
     links = materialized(_verified(star, texts, idf, threshold, parts))
     near = components(links)
 
