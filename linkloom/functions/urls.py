@@ -282,6 +282,12 @@ def normalized_host(url: str) -> Column:
     )
 
 
+def parsable(url: str) -> Column:
+    """Whether the text in a column is a well-formed URL."""
+    stages, names = _parse_stages(f"`{url}`", "u_"), {}
+    return F.expr(_let(stages, names, "@u_ok", "q", "BOOLEAN"))
+
+
 def url_hostname(url: Column) -> Column:
     """Host of a URL without port, user-info or IPv6 brackets; case kept; '' if there is none."""
     host = F.regexp_extract(

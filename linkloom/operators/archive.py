@@ -9,8 +9,8 @@ from linkloom.operators.rows import per_element
 
 UNSORTED = "unsorted"
 CRLF = "\r\n"
-# Line limits of a preview.
-PREVIEW_LINES, PREVIEW_MAX = 100, 2000
+# Fixed value: lines of a preview that names no number.
+PREVIEW_LINES = 100
 
 
 def archive_domain(domain: Column) -> Column:
@@ -82,11 +82,11 @@ def publish_plan(manifest: DataFrame, bucket: str, scheme: str = "r2") -> DataFr
 
 
 def line_span(from_: int | None = None, to: int | None = None, lines: int | None = None) -> tuple[int, int]:
-    """First and last line of a preview, clamped: at most 2001 lines."""
+    """First and last line of a preview: what is asked for, else 100 lines."""
     start = from_ if from_ and from_ > 0 else 1
-    count = lines if lines and 0 < lines <= PREVIEW_MAX else PREVIEW_LINES
+    count = lines if lines and lines > 0 else PREVIEW_LINES
     end = to if to and to >= start else start + count - 1
-    return start, min(end, start + PREVIEW_MAX)
+    return start, end
 
 
 def text_lines(df: DataFrame, key: str, text: str, start: int, end: int) -> DataFrame:

@@ -16,9 +16,9 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) ->
     return df.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
 
 
-def last_per_key(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Last write wins: the row of each key with the highest version."""
-    return first_per_key(df, keys, [F.col(version).desc()])
+def last_per_key(df: DataFrame, keys: list[str], version: str, ties: list[str] | None = None) -> DataFrame:
+    """Last write wins: the row of each key with the highest version; ``ties`` decide between equal ones, highest first."""
+    return first_per_key(df, keys, [F.col(c).desc() for c in [version, *(ties or [])]])
 
 
 def not_seen(candidates: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,9 +35,11 @@ def push(items: DataFrame, seen: DataFrame, keys: list[str], seq: str) -> DataFr
 def flag_pushed(items: DataFrame, seen: DataFrame, keys: list[str], seq: str, flag: str = "pushed") -> DataFrame:
     """Every item with a flag telling whether ``push`` takes it.
 
-    The flag comes back over (key, seq), which is unique, so the copies of a
-    hot URL spread over all tasks.
+    The flag comes back over (key, seq), so the copies of a hot URL spread over
+    all tasks. Of rows that repeat a (key, seq) only one is flagged.
     """
     firsts = items.filter(F.col(keys[-1]) != "").groupBy(*keys).agg(F.min(seq).alias(seq))
     taken = not_seen(firsts, seen, keys).withColumn(flag, F.lit(True))
-    return items.join(taken, [*keys, seq], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy(*keys, seq).orderBy(F.lit(0)))
+    joined = items.withColumn("_nth", nth).join(taken, [*keys, seq], "left")
+    return joined.withColumn(flag, F.coalesce(F.col(flag) & (F.col("_nth") == 1), F.lit(False))).drop("_nth")

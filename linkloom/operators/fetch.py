@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest body kept, and its error texts.
-MAX_BODY_BYTES = 10 * 1024 * 1024
+# Error texts.
 NOT_CAPTURED = "fetch error: no response captured"
 TOO_LARGE = "fetch error: body size exceeds the given limit"
 
 
-def fetch(frontier: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Fetch result of each frontier row, from rows ``(url, status_code, content_type, headers, body, fetch_time_ns)``.
+def fetch(frontier: DataFrame, snapshot: DataFrame, max_body_bytes: int | None = None) -> DataFrame:
+    """Fetch result of each frontier row, from rows ``(url, status_code, content_type, headers, n_bytes, fetch_time_ns)``.
 
-    A URL without a captured response, or with a body over the limit, carries
-    an error text and neither headers nor body.
+    A URL without a captured response carries an error text and no headers; so
+    does one with a body over ``max_body_bytes``, if that is given. Sizes decide
+    everything, so bodies stay out of the join; a snapshot with a ``body``
+    column passes it on.
     """
-    captured = snapshot.select(
-        "url", "status_code", "content_type", "headers", "body", "fetch_time_ns", F.lit(True).alias("_hit")
+    bodies = ["body"] if "body" in snapshot.columns else []
+    sized = snapshot if "n_bytes" in snapshot.columns else snapshot.withColumn("n_bytes", F.octet_length("body").cast("bigint"))
+    captured = sized.select(
+        "url", "status_code", "content_type", "headers", "n_bytes", *bodies, "fetch_time_ns", F.lit(True).alias("_hit")
     )
     joined = frontier.join(captured, "url", "left")
-    large = F.coalesce(F.octet_length("body") > MAX_BODY_BYTES, F.lit(False))
+    large = F.lit(False) if max_body_bytes is None else F.coalesce(F.col("n_bytes") > max_body_bytes, F.lit(False))
     error = F.when(F.col("_hit").isNull(), NOT_CAPTURED).when(large, TOO_LARGE).otherwise("")
     ok = error == ""
     return joined.select(
@@ -29,7 +32,7 @@ def fetch(frontier: DataFrame, snapshot: DataFrame) -> DataFrame:
         F.coalesce("status_code", F.lit(0)).alias("status_code"),
         F.when(ok, F.col("content_type")).otherwise("").alias("content_type"),
         F.when(ok, F.col("headers")).alias("headers"),
-        F.when(ok, F.col("body")).alias("body"),
+        *[F.when(ok, F.col(c)).alias(c) for c in ["n_bytes", *bodies]],
         F.coalesce("fetch_time_ns", F.lit(0)).cast("bigint").alias("fetch_time_ns"),
         error.alias("error"),
     )

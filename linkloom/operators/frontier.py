@@ -14,8 +14,6 @@ QUEUED, FETCHING, CRAWLED, FAILED = "QUEUED", "FETCHING", "CRAWLED", "FAILED"
 SCHEMA = (
     "url STRING, domain STRING, depth INT, priority INT, retry_count INT, status STRING, added_at TIMESTAMP"
 )
-# Row limits of the scans.
-SCAN_LIMIT, DOMAIN_LIMIT, REQUEST_LIMIT = 500, 200, 2000
 
 
 def key() -> Column:
@@ -40,37 +38,39 @@ def _with_status(frontier: DataFrame, status: str) -> DataFrame:
     return frontier.filter(F.col("status") == status) if status else frontier
 
 
+def _first(rows: DataFrame, limit: int) -> DataFrame:
+    return rows.orderBy("url").limit(limit) if limit > 0 else rows.orderBy("url")
+
+
 def dump(frontier: DataFrame) -> DataFrame:
     """All keys in byte order, numbered from 1, with the total."""
     return numbered(encode(frontier), ["key"])
 
 
 def scan(frontier: DataFrame, status: str = "", limit: int = 0) -> DataFrame:
-    """Rows in key order; an empty status means all."""
-    return _with_status(frontier, status).orderBy("url").limit(limit if limit > 0 else SCAN_LIMIT)
+    """Rows in key order; an empty status means all, and no limit all rows."""
+    return _first(_with_status(frontier, status), limit)
 
 
 def scan_domain(frontier: DataFrame, domain: str, status: str = "", limit: int = 0) -> DataFrame:
-    """Rows of one domain in key order."""
+    """Rows of one domain in key order; all of them without a limit."""
     if not domain:
         raise ValueError("domain is required")
     rows = _with_status(frontier.filter(F.col("domain") == domain), status)
-    return rows.orderBy("url").limit(limit if limit > 0 else DOMAIN_LIMIT)
+    return _first(rows, limit)
 
 
 def requested_limit(text: str | None) -> int:
-    """Limit of a request: 1 to 2000, else the default."""
+    """Limit of a request: any positive number that it names, else 0 for none."""
     try:
-        wanted = int(text or "")
+        return max(int(text or ""), 0)
     except ValueError:
-        return DOMAIN_LIMIT
-    return wanted if 1 <= wanted <= REQUEST_LIMIT else DOMAIN_LIMIT
+        return 0
 
 
 def scan_prefix(frontier: DataFrame, prefix: str, limit: int = 0) -> DataFrame:
-    """Rows whose URL starts with a prefix, in key order."""
-    rows = frontier.filter(F.col("url").startswith(prefix))
-    return rows.orderBy("url").limit(limit if limit > 0 else SCAN_LIMIT)
+    """Rows whose URL starts with a prefix, in key order; all of them without a limit."""
+    return _first(frontier.filter(F.col("url").startswith(prefix)), limit)
 
 
 def get(frontier: DataFrame, url: str) -> DataFrame:
@@ -79,8 +79,12 @@ def get(frontier: DataFrame, url: str) -> DataFrame:
 
 
 def lookup(wanted: DataFrame, frontier: DataFrame) -> DataFrame:
-    """A batch of point lookups: each wanted URL with ``found`` and the stored columns."""
-    stored = frontier.withColumn("_hit", F.lit(True))
+    """A batch of point lookups: each wanted URL with ``found`` and the stored columns.
+
+    A semi-join first cuts the frontier down to what is wanted, so the outer
+    join, whose right side can't be pruned, never shuffles the whole of it.
+    """
+    stored = frontier.join(wanted.select("url"), "url", "left_semi").withColumn("_hit", F.lit(True))
     joined = wanted.join(stored, "url", "left")
     return joined.withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
@@ -97,8 +101,10 @@ def domain_counts_with_status(frontier: DataFrame, status: str) -> DataFrame:
 
 
 def upsert(current: DataFrame, changes: DataFrame, version: str = "version") -> DataFrame:
-    """Current rows with changes applied: the highest version of each URL stays."""
-    return last_per_key(current.unionByName(changes), ["url"], version)
+    """Current rows with changes applied: the highest version of each URL stays, on a tie the change."""
+    both = current.withColumn("_change", F.lit(0)).unionByName(changes.withColumn("_change", F.lit(1)))
+    rest = [c for c in current.columns if c not in ("url", version)]
+    return last_per_key(both, ["url"], version, ["_change", *rest]).drop("_change")
 
 
 def queued(items: DataFrame) -> DataFrame:

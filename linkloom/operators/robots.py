@@ -11,23 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.functions.urls import decoded, url_hostname, url_path
+from linkloom.functions.urls import decoded, parsable, url_hostname, url_path
 from linkloom.operators.dedup import first_per_key
 from linkloom.operators.rows import per_element
 
-# Fixed value: a robots text above 1 MB counts as not fetched.
-MAX_ROBOTS_BYTES = 1024 * 1024
 
-
-def parse_robots(texts: DataFrame, agent: str) -> DataFrame:
+def parse_robots(texts: DataFrame, agent: str, max_bytes: int | None = None) -> DataFrame:
     """Rules that apply to ``agent``, from rows ``(domain, status_code, body)``.
 
     Gives ``(domain, agent, pos, allow, path, crawl_delay)``: the group whose
     name is the longest prefix of the agent name, else ``*``. Hosts with a
     status other than 200 or without such a group give no rows; a group
-    without rules gives one row with a NULL path.
+    without rules gives one row with a NULL path. Texts are read whole; with
+    ``max_bytes`` a longer one counts as not fetched.
     """
-    usable = texts.filter((F.col("status_code") == 200) & (F.octet_length("body") <= MAX_ROBOTS_BYTES))
+    usable = texts.filter(F.col("status_code") == 200)
+    if max_bytes is not None:
+        usable = usable.filter(F.octet_length("body") <= max_bytes)
     one_text = first_per_key(usable.select(F.lower("domain").alias("domain"), "body"), ["domain"], ["body"])
     raw = per_element(one_text, ["domain"], F.split("body", r"\r\n|\r|\n"), "line", "pos")
     text = F.regexp_replace("line", r"#.*$", "")
@@ -105,7 +105,7 @@ def _decision(rules: str, path: str) -> Column:
 
 
 def check_urls(urls: DataFrame, hosts: DataFrame, url: str = "url") -> DataFrame:
-    """Add ``allowed`` and ``crawl_delay`` to rows with a URL; no host, no rules or no match means allowed.
+    """Add ``allowed`` and ``crawl_delay`` to rows with a URL; a malformed one, no host, no rules or no match means allowed.
 
     The join has no hint: Spark broadcasts the host table only while its
     measured size allows it. Otherwise adaptive execution splits a hot host,
@@ -113,7 +113,8 @@ def check_urls(urls: DataFrame, hosts: DataFrame, url: str = "url") -> DataFrame
     on a computed host, not the grouping column of the table, sees to that.
     """
     hosts = hosts.select(F.lower("domain").alias("_host"), "rules", "crawl_delay")
-    keyed = urls.withColumn("_host", F.lower(url_hostname(F.col(url)))).withColumn("_path", url_path(F.col(url)))
+    host = F.when(parsable(url), F.lower(url_hostname(F.col(url))))
+    keyed = urls.withColumn("_host", host).withColumn("_path", url_path(F.col(url)))
     joined = keyed.join(hosts, "_host", "left")
     return joined.select(
         *urls.columns,

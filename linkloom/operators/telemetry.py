@@ -52,21 +52,21 @@ def crawl_totals(log: DataFrame, at: str = "ts") -> DataFrame:
     )
 
 
-def gauge_last(ticks: DataFrame, at: str, every: str, values: list[str]) -> DataFrame:
-    """Last value of each gauge per time window."""
-    last = [F.max_by(F.col(v), F.col(at)).alias(v) for v in values]
-    windows = ticks.groupBy(F.window(at, every).alias("w")).agg(*last)
-    return windows.select(F.col("w.start").alias("window_start"), *values)
+def gauge_last(ticks: DataFrame, at: str, every: str, values: list[str], tie: str | None = None) -> DataFrame:
+    """The gauges of the last tick per time window; ``tie`` decides between ticks of one time, else the values do."""
+    order = F.struct(at, *([tie] if tie else []), *values)
+    windows = ticks.groupBy(F.window(at, every).alias("_window")).agg(F.max_by(F.struct(*values), order).alias("_last"))
+    return windows.select(F.col("_window.start").alias("window_start"), *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
 def stats_per_window(log: DataFrame, at: str, every: str) -> DataFrame:
     """Pages, errors and bytes per tumbling window; also a streaming aggregate when ``at`` has a watermark."""
-    windows = log.groupBy(F.window(at, every).alias("w")).agg(
+    windows = log.groupBy(F.window(at, every).alias("_window")).agg(
         F.count(F.lit(1)).alias("pages"),
         F.count_if(is_error()).alias("errors"),
         F.sum(F.col("bytes").cast("bigint")).alias("bytes"),
     )
-    return windows.select(F.col("w.start").alias("window_start"), "pages", "errors", "bytes")
+    return windows.select(F.col("_window.start").alias("window_start"), "pages", "errors", "bytes")
 
 
 def completions(

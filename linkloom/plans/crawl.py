@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.html import extract_links
 from linkloom.functions.urls import url_hostname
-from linkloom.operators.dedup import not_seen
-from linkloom.operators.fetch import is_error, outcome
+from linkloom.operators.dedup import first_per_key
+from linkloom.operators.fetch import NOT_CAPTURED, is_error, outcome
 from linkloom.operators.robots import check_urls
 from linkloom.operators.rows import per_element
 from linkloom.session import materialized
 
 SMALL_LEVEL_BYTES = 32 << 20
-DEFAULT_DEPTH = 3
 
 
 def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -29,7 +28,7 @@ def _with_outcome(level: DataFrame, captured: DataFrame, hosts: DataFrame | None
     # A small level first cuts the captured pages down by a broadcast, so they need no shuffle.
     near = captured.join(F.broadcast(level.select("url")), "url", "left_semi") if small else captured
     known = level.join(near, "url", "left").withColumn("status_code", F.coalesce("status_code", F.lit(0))).withColumn(
-        "error", F.when(F.col("has_body").isNull(), "fetch error: no response captured").otherwise(F.coalesce("error", F.lit("")))
+        "error", F.when(F.col("has_body").isNull(), NOT_CAPTURED).otherwise(F.coalesce("error", F.lit("")))
     )
     tested = known.withColumn("allowed", F.lit(True)) if hosts is None else check_urls(known, hosts)
     return tested.withColumn("outcome", outcome(F.col("max_depth")))
@@ -42,39 +41,53 @@ def crawl(
     hosts: DataFrame | None = None,
     small_level_bytes: int = SMALL_LEVEL_BYTES,
 ) -> DataFrame:
-    """Every URL reached from the seeds with its least depth and its outcome.
+    """Every URL reached from the seeds with its least depth, its outcome, and what was captured of it.
 
     ``seeds`` has ``url, max_depth``; ``captured`` has ``url, status_code,
-    error, has_body``; ``links`` has ``src_url, dst_url``; ``hosts`` is the
-    robots table. Captured pages and links are read once per level, so they
-    should be stored tables. A URL reached at one depth under several limits keeps the
-    largest. Each level is checkpointed, which cuts the plan and gives the row
-    count that ends the loop and the bytes that allow a broadcast of a small level.
+    error, has_body`` and any further columns, which are passed on; ``links``
+    has ``src_url, dst_url``; ``hosts`` is the robots table. Captured pages and
+    links are read once per level, so they should be stored tables.
+
+    A URL is followed again when it is reached with more depth left under
+    another seed's limit than before, so no seed takes results from another;
+    the depth left falls with each level, which ends the loop. A URL that a
+    limit skips counts as reached where another limit admits it. Each level is
+    checkpointed, which cuts the plan and gives the row count that ends the loop
+    and the bytes that allow a broadcast of a small level.
     """
     hosts = None if hosts is None else materialized(hosts)
     level = (
         seeds.groupBy("url").agg(F.max("max_depth").alias("max_depth")).withColumn("depth", F.lit(1))
     )
     levels: list[DataFrame] = []
+    seen: DataFrame | None = None
     while True:
         level = materialized(level)
         rows, url_bytes = level.agg(F.count(F.lit(1)), F.sum(F.octet_length("url").cast("bigint"))).first()
         if rows == 0:
             break
         small = url_bytes + 32 * rows <= small_level_bytes
-        visited = materialized(_with_outcome(level, captured, hosts, small).select(
-            "url", "depth", "max_depth", "status_code", "error", "has_body", "outcome"
-        ))
+        visited = materialized(_with_outcome(level, captured, hosts, small).drop("allowed", "crawl_delay"))
         levels.append(visited)
+        left = level.select("url", (F.col("max_depth") - F.col("depth")).alias("left"))
+        seen = left if seen is None else materialized(
+            seen.unionByName(left).groupBy("url").agg(F.max("left").alias("left"))
+        )
         ok = ~F.col("outcome").isin("SKIPPED", "BLOCKED", "ERROR")
         expand = visited.filter(ok & ~is_error() & F.col("has_body") & (F.col("depth") < F.col("max_depth")))
         sources = expand.select(F.col("url").alias("src_url"), "depth", "max_depth")
         reached = links.join(F.broadcast(sources) if small else sources, "src_url").groupBy(
             F.col("dst_url").alias("url")
         ).agg(F.max("max_depth").alias("max_depth"), (F.max("depth") + 1).alias("depth"))
-        seen = reduce(DataFrame.unionByName, [v.select("url") for v in levels])
-        level = not_seen(reached, seen, ["url"]).select("url", "max_depth", "depth")
+        known = seen.select(F.col("url").alias("_url"), "left")
+        covered = (F.col("url") == F.col("_url")) & (F.col("left") >= F.col("max_depth") - F.col("depth"))
+        level = reached.join(known, covered, "left_anti").select("url", "max_depth", "depth")
+    extra = [c for c in captured.columns if c not in ("url", "status_code", "error", "has_body")]
+    columns = ["url", "depth", "outcome", "status_code", "error", *extra]
     if not levels:
-        return level.select("url", F.lit("").alias("domain"), "depth", F.lit("").alias("outcome"))
-    visited = reduce(DataFrame.unionByName, levels)
-    return visited.select("url", url_hostname(F.col("url")).alias("domain"), "depth", "outcome")
+        visited = _with_outcome(level, captured, hosts, True).limit(0)
+    else:
+        every = reduce(DataFrame.unionByName, levels)
+        visited = first_per_key(every, ["url"], [F.col("outcome") == "SKIPPED", "depth", F.col("max_depth").desc()])
+    host = url_hostname(F.col("url")).alias("domain")
+    return visited.select("url", host, *columns[1:])

@@ -56,6 +56,27 @@ tested AS (
   FROM frontier f LEFT JOIN decided d ON f.url = d.url LEFT JOIN delays w ON lower(f.domain) = w.domain)
 """
 
+_SITE = r"""
+        WITH RECURSIVE
+        page AS (
+          SELECT 'https://region.example.com/' || r_regionkey AS url, 200 AS code FROM region
+          UNION ALL SELECT 'https://nation.example.com/' || n_nationkey, 200 FROM nation
+          UNION ALL SELECT 'https://customer.example.com/' || c_custkey, 200 FROM customer
+          UNION ALL SELECT 'https://order.example.com/' || o_orderkey,
+            CASE o_orderstatus WHEN 'F' THEN 410 ELSE 200 END FROM orders
+          UNION ALL SELECT 'https://part.example.com/' || p_partkey, 200 FROM part),
+        link AS (
+          SELECT 'https://region.example.com/' || n_regionkey AS src, 'https://nation.example.com/' || n_nationkey AS dst
+            FROM nation
+          UNION SELECT 'https://nation.example.com/' || n_nationkey, 'https://region.example.com/' || n_regionkey FROM nation
+          UNION SELECT 'https://nation.example.com/' || c_nationkey, 'https://customer.example.com/' || c_custkey
+            FROM customer
+          UNION SELECT 'https://customer.example.com/' || o_custkey, 'https://order.example.com/' || o_orderkey FROM orders
+          UNION SELECT 'https://order.example.com/' || o_orderkey, 'https://customer.example.com/' || o_custkey FROM orders
+          UNION SELECT 'https://order.example.com/' || l_orderkey, 'https://part.example.com/' || l_partkey FROM lineitem),
+        open_link AS (SELECT src, dst FROM link JOIN page ON src = url WHERE code < 400),
+"""
+
 _SNAPSHOT = r"""
 snapshot AS (
   SELECT regexp_replace(url, '#.*$', '') AS url, CASE WHEN url LIKE '%utm_source%' THEN 404 ELSE 200 END AS status_code,
@@ -217,9 +238,9 @@ ORACLE: dict[str, str] = {
         SELECT {_FRONTIER_COLUMNS} FROM frontier WHERE status = 'CRAWLED' ORDER BY url LIMIT 500""",
     "frontier_scan_domain": f"""WITH {_FRONTIER}
         SELECT {_FRONTIER_COLUMNS} FROM frontier WHERE domain = 'www.cheap-pills.example.com' AND status = 'QUEUED'
-        ORDER BY url LIMIT 200""",
+        ORDER BY url""",
     "frontier_prefix_scan": f"""WITH {_FRONTIER}
-        SELECT {_FRONTIER_COLUMNS} FROM frontier WHERE starts_with(url, 'https://blog.') ORDER BY url LIMIT 500""",
+        SELECT {_FRONTIER_COLUMNS} FROM frontier WHERE starts_with(url, 'https://blog.') ORDER BY url""",
     "frontier_lookup": f"""WITH {_FRONTIER}
         SELECT p.url, f.url IS NOT NULL AS found, f.depth, f.status FROM pages p LEFT JOIN frontier f ON p.url = f.url""",
     "frontier_decode": r"""
@@ -261,25 +282,7 @@ ORACLE: dict[str, str] = {
         SELECT t.url, t.depth, CASE WHEN NOT t.allowed THEN 'BLOCKED' WHEN s.url IS NULL OR s.status_code >= 400 THEN 'ERROR'
           ELSE s.status_code::VARCHAR END AS outcome
         FROM tested t LEFT JOIN snapshot s ON t.url = s.url""",
-    "crawl_reachable": r"""
-        WITH RECURSIVE
-        page AS (
-          SELECT 'https://region.example.com/' || r_regionkey AS url, 200 AS code FROM region
-          UNION ALL SELECT 'https://nation.example.com/' || n_nationkey, 200 FROM nation
-          UNION ALL SELECT 'https://customer.example.com/' || c_custkey, 200 FROM customer
-          UNION ALL SELECT 'https://order.example.com/' || o_orderkey,
-            CASE o_orderstatus WHEN 'F' THEN 410 ELSE 200 END FROM orders
-          UNION ALL SELECT 'https://part.example.com/' || p_partkey, 200 FROM part),
-        link AS (
-          SELECT 'https://region.example.com/' || n_regionkey AS src, 'https://nation.example.com/' || n_nationkey AS dst
-            FROM nation
-          UNION SELECT 'https://nation.example.com/' || n_nationkey, 'https://region.example.com/' || n_regionkey FROM nation
-          UNION SELECT 'https://nation.example.com/' || c_nationkey, 'https://customer.example.com/' || c_custkey
-            FROM customer
-          UNION SELECT 'https://customer.example.com/' || o_custkey, 'https://order.example.com/' || o_orderkey FROM orders
-          UNION SELECT 'https://order.example.com/' || o_orderkey, 'https://customer.example.com/' || o_custkey FROM orders
-          UNION SELECT 'https://order.example.com/' || l_orderkey, 'https://part.example.com/' || l_partkey FROM lineitem),
-        open_link AS (SELECT src, dst FROM link JOIN page ON src = url WHERE code < 400),
+    "crawl_reachable": rf"""{_SITE}
         walk AS (
           SELECT 'https://region.example.com/' || r_regionkey AS url, 1 AS depth FROM region
           UNION SELECT o.dst, w.depth + 1 FROM walk w JOIN open_link o ON w.url = o.src WHERE w.depth < 5),
@@ -287,6 +290,15 @@ ORACLE: dict[str, str] = {
         SELECT l.url, regexp_extract(l.url, '^https://([^/]+)', 1) AS domain, l.depth,
           CASE WHEN p.url IS NULL OR p.code >= 400 THEN 'ERROR' ELSE p.code::VARCHAR END AS outcome
         FROM least l LEFT JOIN page p ON l.url = p.url""",
+    "crawl_limits": rf"""{_SITE}
+        walk AS (
+          SELECT 'https://region.example.com/' || r_regionkey AS url, 1 AS depth, r_regionkey % 4 + 1 AS most FROM region
+          UNION SELECT 'https://nation.example.com/' || n_nationkey, 1, n_nationkey % 3 + 1 FROM nation
+          UNION SELECT o.dst, w.depth + 1, w.most FROM walk w JOIN open_link o ON w.url = o.src WHERE w.depth < w.most),
+        least AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url)
+        SELECT l.url, regexp_extract(l.url, '^https://([^/]+)', 1) AS domain, l.depth,
+          CASE WHEN p.url IS NULL OR p.code >= 400 THEN 'ERROR' ELSE p.code::VARCHAR END AS outcome
+        FROM least l LEFT JOIN page p ON l.url = p.url""",
     "bytes_fetched": "SELECT sum(octet_length(encode(html)))::BIGINT AS bytes_fetched FROM pages",
     "archive_sizes": "SELECT page_id, printf('%.2f MB', octet_length(encode(html)) / 1024 / 1024) AS size_mb FROM pages",
     "archive_select": f"WITH {_RESULTS} SELECT page_id, url, 200 AS status_code, n_bytes FROM results",

@@ -21,7 +21,7 @@ def overview(rows: DataFrame, archive: DataFrame, status: str = "") -> DataFrame
     """
     counts = frontier.domain_counts_with_status(rows, status) if status else frontier.domain_counts(rows)
     return (
-        json_rows(counts).withColumn("section", F.lit("pebble_domains"))
+        json_rows(counts).withColumn("section", F.lit("frontier_domains"))
         .unionByName(json_rows(archive).withColumn("section", F.lit("warc_domains")))
         .select("section", "entry")
     )

@@ -186,7 +186,7 @@ def frontier_dump(pages: DataFrame) -> DataFrame:
 
 @_on("pages")
 def frontier_scan_status(pages: DataFrame) -> DataFrame:
-    return _timed(frontier.scan(tables.frontier_rows(pages), frontier.CRAWLED), "added_at")
+    return _timed(frontier.scan(tables.frontier_rows(pages), frontier.CRAWLED, limit=500), "added_at")
 
 
 @_on("pages")
@@ -277,8 +277,7 @@ def robots_allowed(pages: DataFrame) -> DataFrame:
 def fetch_snapshot(pages: DataFrame) -> DataFrame:
     results = fetch.fetch(tables.frontier_rows(pages), tables.snapshot(pages))
     return results.select(
-        "url", "depth", "status_code", "content_type", F.octet_length("body").cast("bigint").alias("n_bytes"),
-        "fetch_time_ns", "error",
+        "url", "depth", "status_code", "content_type", "n_bytes", "fetch_time_ns", "error",
     )
 
 
@@ -295,12 +294,25 @@ def robots_blocked(pages: DataFrame) -> DataFrame:
 
 
 def _crawl_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.crawl(*tables.site(spark, sf_dir))
+    return crawl.crawl(*tables.site(spark, sf_dir)).select("url", "domain", "depth", "outcome")
 
 
 QUERIES["crawl_reachable"] = _crawl_reachable
 
 
+def _crawl_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site from a different seed limit for each region, and from its nations with another."""
+    seeds, captured, links = tables.site(spark, sf_dir)
+    region = F.regexp_extract("url", "([0-9]+)$", 1).cast("int")
+    own = seeds.select("url", (region % 4 + 1).alias("max_depth"))
+    nation = captured.filter(F.col("url").startswith("https://nation."))
+    more = nation.select("url", (F.regexp_extract("url", "([0-9]+)$", 1).cast("int") % 3 + 1).alias("max_depth"))
+    return crawl.crawl(own.unionByName(more), captured, links).select("url", "domain", "depth", "outcome")
+
+
+QUERIES["crawl_limits"] = _crawl_limits
+
+
 # --- archive -----------------------------------------------------------------------------------
 
 
@@ -395,7 +407,7 @@ def crawl_stats(events: DataFrame) -> DataFrame:
 
 @_on("events")
 def gauge_last(events: DataFrame) -> DataFrame:
-    last = telemetry.gauge_last(tables.ticks(events), "ts", "1 hour", ["active_workers", "queue_length"])
+    last = telemetry.gauge_last(tables.ticks(events), "ts", "1 hour", ["active_workers", "queue_length"], "event_id")
     return _timed(last, "window_start")
 
 

@@ -59,10 +59,11 @@ def seed_items(normalized: DataFrame, added_at: str, canonical: bool = True) ->
 def submit(requests: DataFrame, seen: DataFrame, seq: str) -> DataFrame:
     """Answer each request: ``accepted``, ``message`` and the label of its log event.
 
-    A request is accepted when it is valid, the first for its URL by ``seq``,
-    and its URL is not in ``seen``. Rejected requests have no log event.
+    A request is accepted when it is valid, the first for its canonical URL, the
+    form that is stored, by ``seq``, and that URL is not in ``seen``. Rejected
+    requests have no log event.
     """
-    items = normalize(requests).withColumn("_valid", F.coalesce("seed_url", F.lit("")))
+    items = normalize(requests).withColumn("_valid", F.coalesce(canonical_self("seed_url"), F.lit("")))
     history = seen.select(F.col("url").alias("_valid"))
     answered = flag_pushed(items, history, ["_valid"], seq, "accepted")
     valid = F.col("reason") == ""

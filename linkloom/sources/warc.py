@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,41 +22,26 @@ from linkloom.operators.dedup import not_seen
 from linkloom.operators.fetch import archivable
 
 RECORD_END = "\r\n\r\n"
-FILE_BYTES = 1 << 30
 RECORD_SCHEMA = (
     "domain STRING, warc_type STRING, record_id STRING, warc_date TIMESTAMP, target_uri STRING, "
     "content_length BIGINT, http_status INT, http_content_type STRING, payload BINARY"
 )
 
 
-def write_warc(results: DataFrame, path: str, at: str, file_bytes: int = FILE_BYTES, mode: str = "append") -> None:
-    """Write the archivable results under ``path/domain=<domain>/run=<YYYYMMDD_HHMMSS>/*.gz``.
+def write_warc(results: DataFrame, path: str, at: str, run: str | None = None, mode: str = "append") -> None:
+    """Write the archivable results under ``path/domain=<domain>/run=<YYYYMMDD_HHMMSS>/*.gz`` in one pass.
 
-    The run is the first time in ``at``. A domain goes to one file, or to as
-    many as its bytes need. The domains above the file size, at most total
-    bytes / file size of them, are the only ones to get a part number.
+    The run is the time of writing unless named. Rows are rebalanced by domain:
+    small domains share a task, and adaptive execution splits a domain above its
+    advisory partition size into several files, whatever its URLs.
     """
+    run = run or datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
     rows = archivable(results).withColumn("domain", archive_domain(F.col("domain")))
-    sizes = rows.groupBy("domain").agg(
-        F.sum(F.octet_length("body").cast("bigint")).alias("bytes"), F.min(at).alias("first")
-    )
-    sizes = sizes.persist()
-    started = sizes.agg(F.date_format(F.min("first"), "yyyyMMdd_HHmmss")).first()[0]
-    large = sizes.filter(F.col("bytes") > file_bytes).select(
-        "domain", F.ceil(F.col("bytes") / file_bytes).alias("_parts")
-    )
-    spread = rows.join(F.broadcast(large), "domain", "left").withColumn(
-        "_part", F.pmod(F.xxhash64("url"), F.coalesce("_parts", F.lit(1)))
-    )
-    text = with_record_text(spread, at)
     record = F.concat("header", "http", F.col("body").cast("string"))
-    placed = text.select("domain", "_part", "url", record.alias("value")).repartition("domain", "_part")
-    ready = placed.sortWithinPartitions("domain", "_part", "url").select(
-        "domain", F.lit(started or "empty").alias("run"), "value"
-    )
-    writer = ready.write.mode(mode).partitionBy("domain", "run")
+    text = with_record_text(rows, at).select("domain", "url", record.alias("value"))
+    placed = text.hint("rebalance", F.col("domain")).sortWithinPartitions("domain", "url")
+    writer = placed.select("domain", F.lit(run).alias("run"), "value").write.mode(mode).partitionBy("domain", "run")
     writer.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
-    sizes.unpersist()
 
 
 def _listed(spark: SparkSession, path: str) -> DataFrame:
@@ -71,7 +57,8 @@ def _file_path() -> Column:
 
 def _domain_of(path: str, root: str) -> Column:
     """Domain of a file below the root: its ``domain=`` folder, else its first folder, else ''."""
-    inside = F.replace(F.regexp_replace(path, r"^[a-z0-9]+:/+", "/"), F.lit(root.rstrip("/") + "/"), F.lit(""))
+    whole, start = F.regexp_replace(path, r"^[a-z0-9]+:/+", "/"), root.rstrip("/") + "/"
+    inside = F.when(F.startswith(whole, F.lit(start)), F.substring(whole, len(start) + 1, 1 << 30)).otherwise(whole)
     named = F.regexp_extract(inside, r"(?:^|/)domain=([^/]*)/", 1)
     first = F.when(F.instr(inside, "/") > 0, F.substring_index(inside, "/", 1)).otherwise("")
     return decoded(F.when(named != "", named).otherwise(first))
@@ -113,8 +100,7 @@ def _records_of(stream: bytes) -> tuple[list[tuple], bytes]:
             return records, stream[at:]
         head = _headers(stream[start:head_end])
         if not head.get("content-length", "").isdigit():
-            at = head_end + 4
-            continue
+            return records, stream[start:]
         length = int(head["content-length"])
         block_start = head_end + 4
         # The end of the record must be there too, else its last bytes may be missing.
@@ -136,7 +122,12 @@ def _headers(block: bytes) -> dict[str, str]:
     return {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in pairs}
 
 
-def _cut_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _ended(path: str | None, rest: bytes) -> None:
+    if bytes(rest).strip():
+        raise ValueError(f"{path} ends inside a record, or has one without a length: {bytes(rest)[:200]!r}")
+
+
+def _cut_records(batches: Iterator[pd.DataFrame], strict: bool) -> Iterator[pd.DataFrame]:
     names = ["warc_type", "record_id", "warc_date", "target_uri", "content_length", "http_status",
              "http_content_type", "payload"]
     path, rest = None, bytearray()
@@ -144,6 +135,8 @@ def _cut_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for file, rows in batch.groupby("path", sort=False):
             if file != path:
+                if strict:
+                    _ended(path, rest)
                 path, rest = file, b""
             stream = b"".join([rest, *[bytes(v) + b"\r\n\r\n" for v in rows["value"]]])
             cut, rest = _records_of(stream)
@@ -151,15 +144,31 @@ def _cut_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = pd.DataFrame(out, columns=["path", *names])
         frame["warc_date"] = pd.to_datetime(frame["warc_date"], utc=True, format="ISO8601", errors="coerce")
         yield frame
+    if strict:
+        _ended(path, rest)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of all archives below ``path``, cut by their Content-Length."""
-    chunks = spark.read.option("lineSep", RECORD_END).option("recursiveFileLookup", "true").text(path)
-    # Rows of a gzip file stay in file order within one task, files one after another.
-    pieces = chunks.select(_file_path().alias("path"), F.col("value").cast("binary").alias("value"))
+def _gzip_lines(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """Lines of the gzip files below ``path``, in file order within a task.
+
+    Spark would split a plain file over tasks that start inside a record, so
+    any other file is an error.
+    """
+    lines = spark.read.option("lineSep", separator).option("recursiveFileLookup", "true").text(path)
+    refused = F.raise_error(F.concat(F.lit("not a gzip archive: "), F.col("_metadata.file_path")))
+    value = F.when(F.endswith(F.col("_metadata.file_path"), F.lit(".gz")), F.col("value")).otherwise(refused)
+    return lines.select(_file_path().alias("path"), value.alias("value"))
+
+
+def read_warc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Response records of all gzip archives below ``path``, cut by their Content-Length.
+
+    A file that ends inside a record fails the read; with ``strict=False`` that
+    last record is passed over.
+    """
+    pieces = _gzip_lines(spark, path, RECORD_END).withColumn("value", F.col("value").cast("binary"))
     schema = "path STRING, " + RECORD_SCHEMA.split(", ", 1)[1]
-    records = pieces.mapInPandas(_cut_records, schema)
+    records = pieces.mapInPandas(lambda batches: _cut_records(batches, strict), schema)
     return records.withColumn("domain", archive_domain(_domain_of("path", _root(path)))).withColumn(
         "record_id", F.regexp_extract("record_id", r"^<urn:uuid:(.*)>$", 1)
     ).select("domain", *[part.split(" ")[0] for part in schema.split(", ")[1:]])
@@ -187,6 +196,6 @@ def preview(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
                 frame = rows.assign(line_no=numbers)
                 yield frame[frame["line_no"].between(start, end)]
 
-    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
-    named = lines.select(_file_path().alias("path"), F.regexp_replace(F.make_valid_utf8("value"), r"\r\z", "").alias("line"))
+    lines = _gzip_lines(spark, path, "\n")
+    named = lines.select("path", F.regexp_replace(F.make_valid_utf8("value"), r"\r\z", "").alias("line"))
     return named.mapInPandas(numbered, "path STRING, line STRING, line_no BIGINT").select("path", "line_no", "line")

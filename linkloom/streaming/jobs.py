@@ -32,19 +32,22 @@ def stats(log: DataFrame, at: str, every: str = "500 milliseconds", late: str =
 
 def idle_sessions(log: DataFrame, crawl: str, at: str, gap: str, late: str = "10 seconds") -> DataFrame:
     """Closed activity sessions per crawl."""
-    sessions = log.withWatermark(at, late).groupBy(crawl, F.session_window(at, gap).alias("s"))
+    sessions = log.withWatermark(at, late).groupBy(crawl, F.session_window(at, gap).alias("_session"))
     closed = sessions.agg(F.max(at).alias("end_at"), F.count(F.lit(1)).alias("pages"))
-    return closed.select(crawl, F.col("s.start").alias("start_at"), "end_at", "pages")
+    return closed.select(crawl, F.col("_session.start").alias("start_at"), "end_at", "pages")
 
 
 def url_status(changes: DataFrame, at: str = "ts") -> DataFrame:
-    """Latest status of each URL."""
-    return changes.groupBy("url").agg(F.max_by("status", at).alias("status"), F.max(at).alias(at))
+    """Latest status of each URL; of several at one time the last by name."""
+    return changes.groupBy("url").agg(F.max_by("status", F.struct(at, "status")).alias("status"), F.max(at).alias(at))
 
 
 def counters(log: DataFrame) -> DataFrame:
-    """Running pages and bytes by status label."""
-    return log.groupBy(status_label(F.col("status_code")).alias("status")).agg(
+    """Running pages and bytes by status label; rows with the outcome BLOCKED, if the log has outcomes, count as such."""
+    label = status_label(F.col("status_code"))
+    if "outcome" in log.columns:
+        label = F.when(F.col("outcome") == "BLOCKED", "BLOCKED").otherwise(label)
+    return log.groupBy(label.alias("status")).agg(
         F.count(F.lit(1)).alias("pages"), F.sum(F.col("bytes").cast("bigint")).alias("bytes")
     )
 
@@ -78,21 +81,22 @@ def releases(requests: DataFrame, host: str, arrival_us: str, tie: str, delay_us
 def completions(ticks: DataFrame, crawl: str, at: str, late: str = "10 seconds") -> DataFrame:
     """Ticks at which an active crawl is first found idle; the state of a crawl is one flag.
 
-    Ticks come at a fixed rate, so those of one crawl in one trigger are few,
-    and sorting them needs no more than that.
+    The ticks of a crawl are worked on chunk by chunk, so a backlog is never
+    held whole. Inside a chunk they are taken in order of time.
     """
 
     def edges(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(at)
-        active = (rows["active_workers"] > 0) | (rows["queue_length"] > 0)
-        settled = rows[active | (rows["in_flight"] == 0)]
-        if settled.empty:
-            return
-        now = active[settled.index]
-        before = now.shift(fill_value=state.get[0] if state.exists else False)
-        state.update((bool(now.iloc[-1]),))
-        ended = settled[~now & before]
-        yield pd.DataFrame({crawl: key[0], at: ended[at]})
+        for chunk in batches:
+            rows = chunk.sort_values([at, "active_workers", "queue_length", "in_flight"], ignore_index=True)
+            active = (rows["active_workers"] > 0) | (rows["queue_length"] > 0)
+            settled = rows[active | (rows["in_flight"] == 0)]
+            if settled.empty:
+                continue
+            now = active[settled.index]
+            before = now.shift(fill_value=state.get[0] if state.exists else False)
+            state.update((bool(now.iloc[-1]),))
+            ended = settled[~now & before]
+            yield pd.DataFrame({crawl: key[0], at: ended[at]})
 
     fields = {f.name: f.dataType.simpleString() for f in ticks.schema}
     return ticks.withWatermark(at, late).groupBy(crawl).applyInPandasWithState(

@@ -41,9 +41,8 @@ def read(spark, path):
     }
 
 
-@pytest.mark.parametrize("file_bytes", [warc.FILE_BYTES, 8])
-def test_round_trip(spark, results, tmp_path, file_bytes):
-    warc.write_warc(results, str(tmp_path), "at", file_bytes)
+def test_round_trip(spark, results, tmp_path):
+    warc.write_warc(results, str(tmp_path), "at")
     assert read(spark, str(tmp_path)) == kept(results)
     row = warc.read_warc(spark, str(tmp_path)).filter("target_uri = 'https://a.com/1'").first()
     assert row["warc_type"] == "response" and str(row["warc_date"]) == "2024-05-06 07:08:09"
@@ -51,7 +50,7 @@ def test_round_trip(spark, results, tmp_path, file_bytes):
 
 
 def test_files_are_plain_gzip(spark, results, tmp_path):
-    warc.write_warc(results, str(tmp_path), "at")
+    warc.write_warc(results, str(tmp_path), "at", "20240506_070809")
     files = sorted(Path(tmp_path).rglob("*.gz"))
     assert len(files) == 3 and all("run=20240506_070809" in str(f) for f in files)
     text = gzip.decompress(next(f for f in files if "domain=a.com" in str(f)).read_bytes())
@@ -70,10 +69,48 @@ def test_other_writers_files(spark, tmp_path):
     (tmp_path / "x.com").mkdir()
     (tmp_path / "x.com" / "crawl_1.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(one))
     (tmp_path / "x.com" / "crawl_2.warc.gz").write_bytes(gzip.compress(one + one[:90]))
-    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="ends inside a record"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+    rows = warc.read_warc(spark, str(tmp_path), strict=False).collect()
     assert [(r["domain"], r["payload"], r["content_length"]) for r in rows] == [("x.com", b"body", len(http))] * 3
 
 
+def test_plain_files_are_refused(spark, tmp_path):
+    (tmp_path / "x.com").mkdir()
+    (tmp_path / "x.com" / "a.warc").write_bytes(b"WARC/1.0\r\nContent-Length: 1\r\n\r\nx\r\n\r\n" * 200)
+    for read in (lambda: warc.read_warc(spark, str(tmp_path)), lambda: warc.preview(spark, str(tmp_path), 1, 3)):
+        with pytest.raises(Exception, match="not a gzip archive"):
+            read().collect()
+
+
+def test_record_without_length_is_an_error(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nx\r\n\r\n"))
+    with pytest.raises(Exception, match="without a length"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+
+
+def test_many_captures_of_one_url_make_several_files(spark, tmp_path):
+    rows = spark.range(3000).selectExpr(
+        "'https://hot/' AS url", "'hot' AS domain", "200 AS status_code", "'t' AS content_type",
+        "CAST(concat(id, repeat(sha2(string(id), 256), 20)) AS BINARY) AS body", "'' AS error", "timestamp'2024-01-01' AS at",
+    ).repartition(8)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "16k")
+    try:
+        warc.write_warc(rows, str(tmp_path), "at")
+    finally:
+        spark.conf.unset(size)
+    assert len(list(Path(tmp_path).rglob("*.gz"))) > 1
+    assert warc.read_warc(spark, str(tmp_path)).select("payload").distinct().count() == 3000
+
+
+def test_domain_below_a_root_that_recurs(spark, tmp_path):
+    root = tmp_path / "w"
+    (root / "a" / "w").mkdir(parents=True)
+    (root / "a" / "w" / "b.gz").write_bytes(gzip.compress(b"x"))
+    assert [r["domain"] for r in warc.manifest(spark, str(root)).collect()] == ["a"]
+
+
 def test_truncated_gzip_is_an_error(spark, tmp_path):
     data = gzip.compress(bytes(range(256)) * 50)
     (tmp_path / "t.gz").write_bytes(data[: len(data) // 2])
@@ -115,7 +152,7 @@ def test_colliding_names(spark):
 @pytest.mark.parametrize(
     ("args", "span"),
     [({}, (1, 100)), ({"from_": 0, "lines": 0}, (1, 100)), ({"from_": 5, "lines": 10}, (5, 14)), ({"from_": 5, "to": 7}, (5, 7)),
-     ({"from_": 5, "to": 4}, (5, 104)), ({"to": 9999}, (1, 2001)), ({"lines": 2001}, (1, 100)), ({"lines": 2000}, (1, 2000))],
+     ({"from_": 5, "to": 4}, (5, 104)), ({"to": 9999}, (1, 9999)), ({"lines": 2001}, (1, 2001)), ({"lines": 2000}, (1, 2000))],
 )
 def test_line_span(args, span):
     assert archive.line_span(**args) == span

@@ -40,6 +40,21 @@ def test_depth_limits(spark):
     }
 
 
+def test_a_seed_takes_no_results_from_another(spark):
+    # a (limit 2) reaches b before d (limit 5) does, and must not stop it there
+    links = {"https://h/a": ["https://h/x"], "https://h/b": ["https://h/y"], "https://h/y": ["https://h/x"], "https://h/x": ["https://h/z"], "https://h/z": []}
+    captured = spark.createDataFrame([(u, 200, "", True, 7) for u in links], "url STRING, status_code INT, error STRING, has_body BOOLEAN, n_bytes INT")
+    edges = spark.createDataFrame([(s, d) for s, ds in links.items() for d in ds], "src_url STRING, dst_url STRING")
+    seeds = spark.createDataFrame([("https://h/a", 2), ("https://h/b", 5)], "url STRING, max_depth INT")
+    for small in (crawl.SMALL_LEVEL_BYTES, 0):
+        got = {r["url"][10:]: (r["depth"], r["status_code"], r["n_bytes"]) for r in crawl.crawl(seeds, captured, edges, None, small).collect()}
+        assert got == {"a": (1, 200, 7), "b": (1, 200, 7), "x": (2, 200, 7), "y": (2, 200, 7), "z": (4, 200, 7)}
+
+
+def test_a_skipped_seed_can_be_reached(spark):
+    assert run(spark, [("https://h/b", 0), ("https://h/a", 2)])["b"] == (2, "200")
+
+
 def test_pages_without_body_are_not_followed(spark):
     assert run(spark, [("https://h/empty", 5)]) == {"empty": (1, "200")}
 

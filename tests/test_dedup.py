@@ -71,3 +71,10 @@ def test_bloom_dedup_is_exact_unless_told_otherwise(spark):
     assert exact.count() == exact.distinct().count() == 1000
     loose = bloom.dedup(new, seen, tiny, exact=False)
     assert loose.count() < 1000 and loose.join(seen, "url").count() == 0
+
+
+def test_repeated_sequence_numbers_flag_one_row(spark):
+    items = spark.createDataFrame([("u", 1), ("u", 1), ("v", 2)], "url STRING, seq INT")
+    seen = spark.createDataFrame([], "url STRING")
+    flagged = dedup.flag_pushed(items, seen, ["url"], "seq").filter("pushed")
+    assert sorted(r["url"] for r in flagged.collect()) == ["u", "v"] and dedup.push(items, seen, ["url"], "seq").count() == 2

@@ -5,6 +5,7 @@ import json
 
 import pytest
 
+
 from linkloom.operators import fetch, frontier
 from linkloom.plans import overview
 from linkloom.sources import seeds, stores
@@ -44,17 +45,17 @@ def test_scans(rows):
         frontier.scan_domain(rows, "")
 
 
-@pytest.mark.parametrize(("text", "limit"), [(None, 200), ("", 200), ("x", 200), ("0", 200), ("7", 7), ("2000", 2000), ("2001", 200)])
+@pytest.mark.parametrize(("text", "limit"), [(None, 0), ("", 0), ("x", 0), ("0", 0), ("7", 7), ("2000", 2000), ("2001", 2001)])
 def test_requested_limit(text, limit):
     assert frontier.requested_limit(text) == limit
 
 
-def test_default_limits(spark):
+def test_no_limit_gives_all_rows(spark):
     many = spark.range(600).selectExpr(
         "concat('https://h/', id) url", "'h' domain", "1 depth", "1 priority", "0 retry_count", "'QUEUED' status", "now() added_at"
     )
-    assert frontier.scan(many).count() == 500
-    assert frontier.scan_domain(many, "h").count() == 200
+    assert frontier.scan(many).count() == frontier.scan_domain(many, "h").count() == 600
+    assert frontier.scan_prefix(many, "https://").count() == 600 and frontier.scan(many, limit=500).count() == 500
 
 
 def test_lookup(spark, rows):
@@ -116,12 +117,14 @@ def test_seeds(spark, tmp_path):
 
 def test_fetch(spark):
     wanted = spark.createDataFrame([("u1", "d", 1), ("u2", "d", 2), ("u3", "d", 3), ("u4", "d", 9)], "url STRING, domain STRING, depth INT")
-    big = bytearray(fetch.MAX_BODY_BYTES + 1)
+    big = bytearray(12 << 20)
     snapshot = spark.createDataFrame(
         [("u1", 200, "text/html", {"A": "b"}, bytearray(b"x"), 5), ("u2", 200, "t", {}, big, 7), ("u4", 301, "t", {}, bytearray(b""), 1)],
         "url STRING, status_code INT, content_type STRING, headers MAP<STRING,STRING>, body BINARY, fetch_time_ns BIGINT",
     )
-    results = fetch.fetch(wanted, snapshot)
+    whole = {r["url"]: r for r in fetch.fetch(wanted, snapshot).collect()}
+    assert (len(whole["u2"]["body"]), whole["u2"]["n_bytes"], whole["u2"]["error"]) == (12 << 20, 12 << 20, "")
+    results = fetch.fetch(wanted, snapshot, max_body_bytes=10 << 20)
     got = {r["url"]: r for r in results.collect()}
     assert (got["u1"]["body"], got["u1"]["headers"], got["u1"]["error"]) == (b"x", {"A": "b"}, "")
     assert (got["u2"]["body"], got["u2"]["headers"], got["u2"]["status_code"]) == (None, None, 200)
@@ -160,8 +163,29 @@ def test_overview(spark, rows):
     archive = spark.createDataFrame([("a.com", [("n", "0.00 MB", "t")]), ("unsorted", [])], "domain STRING, files ARRAY<STRUCT<name: STRING, size_mb: STRING, mod_time: STRING>>")
     entries = {(r["section"], r["entry"]) for r in overview.overview(rows, archive, "QUEUED").collect()}
     assert entries == {
-        ("pebble_domains", '{"domain":"a.com","count":2}'), ("pebble_domains", '{"domain":"a.com-b","count":1}'),
+        ("frontier_domains", '{"domain":"a.com","count":2}'), ("frontier_domains", '{"domain":"a.com-b","count":1}'),
         ("warc_domains", '{"domain":"a.com","files":[{"name":"n","size_mb":"0.00 MB","mod_time":"t"}]}'),
         ("warc_domains", '{"domain":"unsorted","files":[]}'),
     }
-    assert overview.overview(rows, archive).filter("section = 'pebble_domains'").count() == 3
+    assert overview.overview(rows, archive).filter("section = 'frontier_domains'").count() == 3
+
+
+def test_upsert_ties(spark):
+    rows = lambda *r: spark.createDataFrame(r, "url STRING, status STRING, version BIGINT")
+    got = frontier.upsert(rows(("u", "QUEUED", 5), ("v", "QUEUED", 9)), rows(("u", "CRAWLED", 5), ("v", "FAILED", 8)))
+    assert {(r["url"], r["status"]) for r in got.collect()} == {("u", "CRAWLED"), ("v", "QUEUED")}
+
+
+def test_submit_compares_what_is_stored(spark):
+    requests = spark.createDataFrame([(1, "https://H.com/a#x", 1), (2, "https://n.com", 1), (3, "https://N.com/", 1)], "seq INT, url STRING, depth INT")
+    seen = spark.createDataFrame([("https://h.com/a",)], "url STRING")
+    got = {r["seq"]: r["accepted"] for r in seeds.submit(requests, seen, "seq").collect()}
+    assert got[1] is False and got[2] is True
+
+
+def test_bodies_stay_out_of_shuffles(spark):
+    from linkloom.plans import tables
+
+    pages = tables.table(spark, "/root/testdata/sf0.001", "pages")
+    plan = fetch.fetch(tables.frontier_rows(pages).select("url"), tables.snapshot(pages))._jdf.queryExecution().executedPlan().toString()
+    assert "body" not in plan

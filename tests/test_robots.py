@@ -61,8 +61,19 @@ def test_group_without_rules_keeps_its_delay(spark):
     assert verdicts(spark, "User-agent: *\nDisallow:\nCrawl-delay: 3", "x", ["/a"]) == ([True], {3.0})
 
 
-def test_too_large_text_counts_as_missing(spark):
-    assert verdicts(spark, SIMPLE + "#" * robots.MAX_ROBOTS_BYTES, "x", ["/admin/x"]) == ([True], {0.0})
+def test_long_text_is_read_whole(spark):
+    long = "User-agent: *\n" + "#" * (2 << 20) + "\nDisallow: /last\n"
+    assert verdicts(spark, long, "x", ["/last/x", "/other"])[0] == [False, True]
+    texts = spark.createDataFrame([("h", 200, long)], "domain STRING, status_code INT, body STRING")
+    assert robots.parse_robots(texts, "x", max_bytes=1 << 20).count() == 0
+
+
+def test_malformed_urls_are_allowed(spark):
+    texts = spark.createDataFrame([("h.com", 200, "User-agent: *\nDisallow: /admin/\nCrawl-delay: 2")], "domain STRING, status_code INT, body STRING")
+    hosts = robots.rules_by_host(robots.parse_robots(texts, "x"))
+    urls = spark.createDataFrame([("https://h.com/admin/%zz",), ("https://h.com:x/admin/a",), ("https://h.com/admin/a",)], "url STRING")
+    got = [(r["allowed"], r["crawl_delay"]) for r in robots.check_urls(urls, hosts).collect()]
+    assert sorted(got) == [(False, 2.0), (True, 0.0), (True, 0.0)]
 
 
 def test_many_stars_stay_fast(spark):
