@@ -29,9 +29,8 @@ CHUNK_DOCUMENTS = 4096
 CHUNK_BYTES = 32 << 20
 #: Parts that the candidates of one document are spread over.
 SALTS = 32
-#: Least share of equal samples of a pair of which only some members were compared with its group's first:
-#: five standard deviations below the threshold, so a link passes all but surely.
-LEAST_SHARED = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
+#: Documents of a bucket that are held while the others stream past.
+BLOCK_DOCUMENTS = 256
 
 _BITS = np.uint64(44)
 _MASK = np.uint64((1 << 44) - 1)
@@ -170,7 +169,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _described(docs: DataFrame, idf, doc_id: str, text: str) -> DataFrame:
-    """``(id, same, weight, drawn, bands)``: key of the shingle counts, total weight, 16-bit samples and band keys."""
+    """``(id, k0, k1, bands)``: two keys of the shingle counts, and the band keys."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         row, shingle, count = shingles(part.column(1))
@@ -186,11 +185,10 @@ def _described(docs: DataFrame, idf, doc_id: str, text: str) -> DataFrame:
         own = pa.array(row[start])
         return pa.record_batch({
             "id": part.column(0).take(own), "k0": pa.array(keys[0].view(np.int64)), "k1": pa.array(keys[1].view(np.int64)),
-            "weight": pa.array(np.add.reduceat(weight, start)),
-            "drawn": _lists((drawn >> np.uint64(48)).astype(np.uint16).view(np.int16)), "bands": _lists(bands.view(np.int64)),
+            "bands": _lists(bands.view(np.int64)),
         })
 
-    schema = "id bigint, k0 bigint, k1 bigint, weight double, drawn array<smallint>, bands array<bigint>"
+    schema = "id bigint, k0 bigint, k1 bigint, bands array<bigint>"
     return map_slices(docs.select(F.col(doc_id).cast("bigint").alias("id"), text), ["id", text], work, schema)
 
 
@@ -231,6 +229,90 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float, parts:
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
+class _Block:
+    """Documents held while others are compared with them, and which components their links have joined."""
+
+    def __init__(self, rows: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]]):
+        self.ids, self.components = [r[0] for r in rows], [r[1] for r in rows]
+        shingle = np.concatenate([r[2][0] for r in rows])
+        order = np.argsort(shingle, kind="stable")
+        self.shingle = shingle[order]
+        self.weight = np.concatenate([r[2][1] for r in rows])[order]
+        self.owner = np.repeat(np.arange(len(rows)), [len(r[2][0]) for r in rows])[order]
+        self.total = np.array([r[2][1].sum() for r in rows])
+        self.parent: dict[int, int] = {}
+
+    def _root(self, x: int) -> int:
+        while self.parent.get(x, x) != x:
+            x = self.parent[x]
+        return x
+
+    def links(self, own: int, component: int, document: tuple[np.ndarray, np.ndarray], threshold: float) -> list[tuple[int, int]]:
+        """Links of one more document to the block that join two components."""
+        shingle, weight = document
+        low, high = (np.searchsorted(self.shingle, shingle, side) for side in ("left", "right"))
+        size = high - low
+        at = np.repeat(low, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        shared = np.bincount(self.owner[at], np.minimum(self.weight[at], np.repeat(weight, size)), len(self.ids))
+        out = []
+        for k in np.flatnonzero(shared >= threshold * (self.total + weight.sum() - shared)).tolist():
+            a, b = self._root(component), self._root(self.components[k])
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                out.append((self.ids[k], own))
+        return out
+
+
+def _rest(bands: DataFrame, near: DataFrame, texts: DataFrame, idf, threshold: float, parts: int) -> DataFrame:
+    """Further links ``(a, b)`` within buckets that hold several components.
+
+    All but the documents of a bucket's largest component are dealt to blocks,
+    and every document of the bucket streams past each block. So all pairs of
+    different components are compared exactly, but only links that join
+    components, fewer than there are components, are ever rows. Buckets with
+    the same members are looked at once.
+    """
+    placed = bands.join(near, bands["id"] == near["node"], "left").select(
+        "id", "band", F.coalesce("component", "id").alias("component")
+    )
+    counts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    buckets = counts.groupBy("band").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.bit_xor("x").alias("x"),
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"),
+    ).filter("kinds > 1")
+    mixed = buckets.groupBy("x", "n", "kinds", "main", "n_main").agg(F.min("band").alias("band"))
+    blocks = F.ceil((F.col("n") - F.col("n_main")) / BLOCK_DOCUMENTS).cast("int")
+    rows = stored(placed.join(mixed.select("band", "main", blocks.alias("blocks")), "band"), "mixed")
+    held = rows.filter("component <> main").select(
+        "id", "band", "component", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind")
+    )
+    passing = rows.select(
+        "id", "band", "component", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(1).alias("kind")
+    )
+    dealt = held.unionByName(passing).join(texts, "id").select("band", "block", "kind", "id", "component", "text")
+    dealt = dealt.repartition(parts, "band", "block").sortWithinPartitions("band", "block", "kind", "id")
+
+    def compare(batches):
+        key, waiting, block = None, [], None
+        for part in slices(batches, "text"):
+            row, shingle, count = shingles(part.column(5))
+            weight = idf.value.weights(shingle, count)
+            bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
+            out = []
+            for k, (band, number, kind, own, component) in enumerate(zip(*(part.column(i).to_pylist() for i in range(5)), strict=True)):
+                this = shingle[bounds[k] : bounds[k + 1]], weight[bounds[k] : bounds[k + 1]]
+                if key != (band, number):
+                    key, waiting, block = (band, number), [], None
+                if kind == 0:
+                    waiting.append((own, component, this))
+                elif waiting:
+                    block = block or _Block(waiting)
+                    out += block.links(own, component, this, threshold)
+            yield pa.record_batch({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return dealt.mapInArrow(compare, "a bigint, b bigint")
+
+
 def groups(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, class_id, component_id, kept)`` of every document.
 
@@ -242,9 +324,9 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id"
     3. In every band bucket each class is paired with the bucket's first, and
        the pairs are verified: a bucket gives as many pairs as it has members.
     4. Members of a bucket that these links leave in different components are
-       paired too, if their samples allow the threshold, and verified. Members
-       already in one component need no further link. So every candidate pair
-       is either joined or compared, without all pairs of a group of copies.
+       compared too (``_rest``). Members already in one component need no
+       further link. So every candidate pair is either joined or compared, and
+       no pairs but links are rows.
 
     Null and empty texts, and texts without words, link with nothing and are
     kept; null ids likewise, with null columns. Rows that repeat an id share its
@@ -258,7 +340,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id"
     classes = described.groupBy("k0", "k1").agg(F.min("id").alias("class"))
     member = stored(described.select("id", "k0", "k1").join(classes, ["k0", "k1"]).select("id", "class").distinct(), "member")
     first = stored(described.join(member.filter("id = class").select("id"), "id", "left_semi"), "first")
-    bands = first.select("id", "weight", F.explode("bands").alias("band"))
+    bands = first.select("id", F.explode("bands").alias("band"))
     lead = bands.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     bands = stored(bands.join(lead, "band"), "bands")
     star = materialized(bands.filter("id <> a").select("a", F.col("id").alias("b")).distinct())
@@ -267,23 +349,8 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id"
     links = materialized(_verified(star, texts, idf, threshold, parts))
     near = components(links)
 
-    placed = bands.join(near, bands["id"] == near["node"], "left").select(
-        "id", "weight", "band", F.coalesce("component", "id").alias("component")
-    )
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    open_ = materialized(placed.join(mixed.select("band"), "band", "left_semi"))
-    x, y = open_.alias("x"), open_.alias("y")
-    limit = F.least("x.weight", "y.weight") >= threshold * F.greatest("x.weight", "y.weight") * (1 - 1e-9)
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & limit)
-    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    drawn = first.select("id", "drawn")
-    rest = rest.join(drawn.withColumnsRenamed({"id": "a", "drawn": "da"}), "a").join(drawn.withColumnsRenamed({"id": "b", "drawn": "db"}), "b")
-    equal = F.aggregate(F.zip_with("da", "db", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
-    rest = materialized(rest.filter(equal >= LEAST_SHARED * BANDS * ROWS).select("a", "b").distinct())
-    if not rest.isEmpty():
-        links = materialized(links.unionByName(_verified(rest, texts, idf, threshold, parts)))
-        near = components(links)
+    more = materialized(_rest(bands, near, texts, idf, threshold, parts))
+    near = components(links.unionByName(more))
 
     least = member.join(near, member["class"] == near["node"], "left").select(
         F.col("id").alias("_id"), F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id")

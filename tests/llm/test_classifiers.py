@@ -1,0 +1,232 @@
+"""Language ID, quality, toxicity, licences and URL filter."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from linkloom.llm import langid, licenses, quality, toxicity, urlfilter
+from linkloom.llm.contexts import ending
+
+ODD = [(1, None), (2, ""), (3, "123 ... !!"), (None, "the of and"), (4, "the " * 40_000), (5, "the of and"), (5, "the of and")]
+
+
+def fold(i, modulus):
+    return zlib.crc32(str(i).encode()) % modulus
+
+
+def test_language_id_on_held_out_documents(table):
+    docs = table("documents", "0.01")
+    model = langid.train_on(docs)
+    rows = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    aside = [r for r in rows if fold(r["doc_id"], 4) == 2]
+    assert np.mean([r["lang_pred"] == r["lang"] for r in aside]) > 0.98 and len(rows) == 1000
+
+
+def test_language_id_of_odd_rows(documents):
+    docs = documents(*ODD, *((100 + k, "the of and then there", "en") for k in range(20)), *((200 + k, "der die und nicht", "de") for k in range(20)))
+    got = langid.predict(docs, langid.train_on(docs)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append((r["lang_pred"], r["score"]))
+    assert len(got) == len(ODD) + 40 and len(by[5]) == 2
+    assert by[1] == by[2] == by[3] == [("und", 0.0)] and by[4][0][0] == by[5][0][0] == by[None][0][0] == "en"
+    assert all(0 <= s <= 1 for rows in by.values() for _, s in rows)
+    unknown = langid.Model([])
+    assert {r["lang_pred"] for r in langid.predict(docs, unknown).collect()} == {"und"}
+    assert langid.predict(documents(), langid.train_on(documents())).count() == 0
+    kept = langid.keep_known(docs, langid.train_on(docs))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()}.isdisjoint({1, 2, 3})
+
+
+def test_ppm_code_lengths_by_hand():
+    r = random.Random(2)
+    sample = ["".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(50)]
+    grams = [(0, w) for w in sample]
+    codes, n = [], {}
+    for _, w in grams:
+        text = "   " + w + " "
+        for k in range(3, len(text)):
+            n[text[k - 3 : k + 1]] = n.get(text[k - 3 : k + 1], 0) + 1
+    number = lambda g: int.from_bytes(g.encode(), "big")
+    codes = np.array([number(g) for g in n], np.uint64)
+    model = langid.Model.of(["x"], np.zeros(len(n), int), codes, np.array(list(n.values())))
+
+    def price(gram):
+        p = 1 / 256
+        for order in range(4):
+            context, byte = gram[3 - order : 3], gram[3]
+            after = {}
+            for g, c in n.items():
+                if g[3 - order : 3] == context:
+                    after[g[3]] = after.get(g[3], 0) + c
+            total, kinds = sum(after.values()), len(after)
+            if byte in after:
+                p = after[byte] / (total + kinds)
+            elif total:
+                p *= kinds / (total + kinds)
+        return -np.log2(p)
+
+    tried = [*list(n)[:20], "abcz", "zzzz", "  za"]
+    assert model.bits(np.array([number(g) for g in tried], np.uint64))[:, 0] == pytest.approx([price(g) for g in tried])
+
+
+def test_quality_on_held_out_documents(table):
+    docs, labels = table("documents", "0.01"), table("labels", "0.01")
+    rows = quality.predict(docs, quality.train(docs, labels)).join(labels, "doc_id").collect()
+    aside = [r for r in rows if fold(r["doc_id"], 5) == 0]
+    assert np.mean([(r["score"] >= 0.3) == (r["quality"] == 1) for r in aside]) > 0.95
+
+
+def test_coordinate_descent_separates():
+    r = np.random.default_rng(1)
+    x = r.integers(0, 2, (200, 12))
+    y = np.where(x[:, 0] + x[:, 1] - x[:, 2] > 0.5, 1.0, -1.0)
+    rows = [np.flatnonzero(row) for row in x]
+    start = np.cumsum([0, *map(len, rows)])
+    w, b = quality.coordinate_descent(start, np.concatenate(rows), np.ones(12), y, np.full(200, 10.0), 200)
+    assert (np.sign(x @ w + b) == y).mean() == 1
+
+
+def ranked(score, label):
+    pairs = [(s > t) + (s == t) / 2 for s, a in zip(score, label, strict=True) for t, b in zip(score, label, strict=True) if a == 1 and b == 0]
+    return np.mean(pairs)
+
+
+def test_toxicity_finds_new_forms_of_a_stem(spark, documents):
+    r = random.Random(4)
+    plain = lambda n: " ".join("".join(r.choice(["th", "er", "on", "an", "re"]) for _ in range(r.randrange(1, 5))) for _ in range(n))
+    rows, labels = [], []
+    for k in range(600):
+        bad = k % 2
+        words = plain(60).split()
+        for _ in range(4 * bad):
+            words.insert(r.randrange(60), "vex" + "".join(r.choice(["th", "er", "on", "an"]) for _ in range(2)))
+        rows.append((k, " ".join(words)))
+        labels.append((k, 1, bad))
+    docs, marks = documents(*rows), spark.createDataFrame(labels, "doc_id BIGINT, quality INT, toxic INT")
+    model = toxicity.train(docs, marks)
+    got = {g["doc_id"]: g["score"] for g in toxicity.predict(docs, model).collect()}
+    aside = [k for k in range(600) if fold(k, 3) == 1]
+    assert ranked([got[k] for k in aside], [k % 2 for k in aside]) > 0.97
+    odd = toxicity.predict(documents(*ODD), model).collect()
+    assert len(odd) == len(ODD) and all(0 <= g["score"] <= 1 for g in odd)
+
+
+def test_kneser_ney_by_hand():
+    shared = {b" aba": 3, b"  ab": 2, b"   a": 4, b"aba ": 3}
+    number = lambda g: int.from_bytes(g, "big")
+    own = {(0, b"    aba"): 2, (1, b"    abb"): 3, (1, b"    aba"): 1}
+    model = toxicity.Model.of(
+        (np.array([number(g) for g in shared], np.uint64), np.array(list(shared.values()))),
+        np.array([c for c, _ in own]), np.array([number(g) for _, g in own], np.uint64), np.array(list(own.values())),
+    )
+    gram = number(b"    aba")
+
+    def probability(column):
+        p = 1 / 256
+        for order, (level, d) in enumerate(zip([*model.shared, *model.own], model.discounts, strict=True)):
+            g = int(ending(np.array([gram], np.uint64), order)[0])
+            k = 0 if order <= toxicity.SHARED_ORDER else column
+            counts = {int(x): c[k] for x, c in zip(level.grams, level.counts, strict=True) if int(x) >> 8 == g >> 8}
+            total, kinds = sum(counts.values()), sum(c > 0 for c in counts.values())
+            if total:
+                p = (max(counts.get(g, 0) - d, 0) + d * kinds * p) / total
+        return p
+
+    assert model.ratio(np.array([gram], np.uint64))[0] == pytest.approx(np.log(probability(1)) - np.log(probability(0)))
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_training_without_labels(spark, documents, module):
+    labels = spark.createDataFrame([], "doc_id BIGINT, quality INT, toxic INT")
+    for docs in (documents(*ODD), documents()):
+        model = module.train(docs, labels)
+        assert {g["score"] for g in module.predict(docs, model).collect()} <= {0.5}
+
+
+def brute_scan(text):
+    words = licenses.words_of(text or "")
+    starts = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    whole = {
+        label for label, group in licenses.NOTICES.items() for t in group
+        if len(q := licenses.words_of(t)) <= licenses.PHRASE_WORDS and any(words[i : i + len(q)] == q for i in range(len(words)))
+    }
+    return len(words), sorted(i for i, _ in starts), {label for _, label in starts}, whole
+
+
+def test_license_scan_against_brute_force(documents):
+    r = random.Random(1)
+    common = "license the of mit apache general public gnu under licensed cc by nc sa 4 0 all rights reserved and".split()
+    rows = [(k, " ".join(r.choice(common) for _ in range(r.randrange(50)))) for k in range(1500)]
+    rows += [*((2000 + k, t) for k, t in enumerate(["", None, "MIT-License é General Public\nLICENSE."])), (None, "mit license")]
+    got = licenses.scan(documents(*rows)).collect()
+    assert len(got) == len(rows)
+    for g in got:
+        n, starts, base, whole = brute_scan(dict(rows)[g["doc_id"]])
+        assert (g["n_words"], g["n_base"], g["first_word"], g["last_word"]) == (n, len(starts), starts[0] if starts else None, starts[-1] if starts else None)
+        assert g["base_labels"] == ",".join(sorted(base)) and base | whole <= {*filter(None, g["labels"].split(","))}
+
+
+def test_license_notices_with_changes(documents):
+    bsd = licenses.NOTICES["bsd"][0].split()
+    bsd[20:20] = "inserted by someone".split()
+    rows = [(1, "head " + licenses.NOTICES["mit"][0].upper() + " tail"), (2, " ".join(bsd)), (3, " ".join(bsd[:12])), (4, "word " * 500)]
+    got = {g["doc_id"]: g for g in licenses.scan(documents(*rows)).collect()}
+    assert got[1]["labels"] == "mit" and got[1]["score"] == 1 and got[2]["labels"] == "bsd" and got[2]["score"] > 0.9
+    assert got[3]["labels"] == got[4]["labels"] == "" and got[4]["score"] == 0
+    span = licenses.spans(documents(*rows)).filter("doc_id = 1").first()
+    assert (span["label"], span["start"]) == ("mit", 1)
+
+
+def test_suffix_automaton_statistics():
+    r = random.Random(7)
+    for _ in range(30):
+        texts = [[r.randrange(3) for _ in range(r.randrange(1, 12))] for _ in range(3)]
+        automaton = licenses.Automaton()
+        for k, t in enumerate(texts):
+            automaton.add(k, t)
+        stream = [r.randrange(4) for _ in range(40)]
+        for i, (_, length) in enumerate(automaton.statistics(stream)):
+            stands = lambda n: any(stream[i + 1 - n : i + 1] == t[k : k + n] for t in texts for k in range(len(t) - n + 1))  # noqa: B023, E731
+            assert length == max(n for n in range(i + 2) if n == 0 or stands(n))
+
+
+URLS = [
+    ("https://A.example.ORG/en/1x?q", "a.example.org", "/en/1x", "example.org/en/1", "block"),
+    ("http://example.org/es/", "example.org", "/es/", "example.org/es/", "block"), ("https://x.org?y", "x.org", "", None, None),
+    ("https://x.org/", "x.org", "/", "org/", "allow"), ("ftp://shop.com/de/a#b", "shop.com", "/de/a", "com/de/", "block"),
+    ("https://notexample.org/es/", "notexample.org", "/es/", "org/", "allow"), (None, "", "", None, None), ("no scheme", "", "", None, None),
+    ("x://Ä.COM/fr/://y", "Ä.com", "/fr/://y", "com/fr/", "allow"), ("", "", "", None, None), ("https://x.net/" + "a" * 50_000, "x.net", "/" + "a" * 50_000, None, None),
+]
+
+
+def test_url_rules(spark):
+    pages = spark.createDataFrame([(k, u[0], "z", 1.0) for k, u in enumerate(URLS)] + [(None, URLS[0][0], "", 0.0)], "page_id BIGINT, url STRING, host STRING, score DOUBLE")
+    got = urlfilter.classify(pages).collect()
+    assert len(got) == len(URLS) + 1
+    for g in got:
+        _, host, path, rule, verdict = URLS[g["page_id"] or 0]
+        assert (g["host"], g["path"], g["rule"]) == (host, path, rule) and g["verdict"] in ({verdict} if verdict else {"allow", "block"})
+    undecided = pages.filter("url IS NULL OR url = ''")
+    assert {g["verdict"] for g in urlfilter.classify(undecided).collect()} == {"allow"} and urlfilter.classify(pages.limit(0)).count() == 0
+
+
+def test_url_trees_agree_with_rules_held_back(table):
+    pages = table("pages", "0.01")
+    fewer = [r for r in urlfilter.RULES if r[1] != "com"]
+    got = urlfilter.classify(pages, rules=urlfilter.RULES).filter("rule IS NULL")
+    assert {r["verdict"] for r in got.select("verdict").distinct().collect()} <= {"allow", "block"}
+    assert got.filter(F.col("score").isNull()).count() == 0 and urlfilter.classify(pages, rules=fewer).count() == pages.count()
+
+
+def test_indicators_are_distinct_pairs():
+    row, feature = quality.indicators(pa.array(["A b, B!! b b", None, "", "A b, B!! b b"]))
+    pairs = list(zip(row.tolist(), feature.tolist(), strict=True))
+    assert pairs == sorted(set(pairs)) and {r for r, _ in pairs} == {0, 3}
+    assert [f for r, f in pairs if r == 0] == [f for r, f in pairs if r == 3]
