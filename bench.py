@@ -12,8 +12,8 @@ from linkloom.session import build_session
 
 HEADLINE = [
     "extract_links", "canonicalize_url", "domain_counts", "frontier_push", "frontier_upsert", "frontier_dump",
-    "frontier_scan_status", "dedup_against_seen", "session_dedup", "bloom_build", "bloom_might_contain",
-    "bloom_dedup", "robots_allowed", "fetch_outcome", "crawl_reachable", "warc_roundtrip", "warc_record_format",
+    "frontier_scan_status", "frontier_lookup", "fetch_snapshot", "dedup_against_seen", "session_dedup", "bloom_build", "bloom_might_contain",
+    "bloom_dedup", "robots_allowed", "fetch_outcome", "crawl_reachable", "crawl_limits", "crawl_pages", "warc_roundtrip", "warc_record_format",
     "archive_line_range", "politeness_plan", "politeness_violations", "idle_sessions", "completion_events",
     "stats_tumbling", "latency_histogram", "crawl_stats", "log_events",
 ]

@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.operators.dedup import not_seen
 from linkloom.operators.rows import per_element
 
 BLOCK_BITS = 32768  # size of the bitmaps of bitmap_construct_agg
@@ -95,7 +94,7 @@ def dedup(new: DataFrame, seen: DataFrame, size: BloomSize, key: str = "url", ex
     would, at the rate of its false positives.
     """
     probed = might_contain(new.select(key).distinct(), build(seen, size, key), size, key)
-    certain = probed.filter(~F.col("maybe")).select(key)
     if not exact:
-        return certain
-    return certain.unionByName(not_seen(probed.filter("maybe").select(key), seen, [key]))
+        return probed.filter(~F.col("maybe")).select(key)
+    history = seen.select(F.col(key).alias("_seen"))
+    return probed.join(history, F.col("maybe") & (F.col(key) == F.col("_seen")), "left_anti").select(key)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.fetch import is_error, status_label
-from linkloom.operators.ordered import ROWS_PER_TASK, previous
+from linkloom.operators.ordered import ROWS_PER_TASK, previous, running_max
 
 # Default bounds of a latency histogram, in seconds.
 LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -83,22 +83,24 @@ def completions(
     return paired.filter(~F.col("_active") & F.col("_was_active")).select(crawl, at)
 
 
-def idle_sessions(log: DataFrame, crawl: str, at_us: str, gap_us: int) -> DataFrame:
+def idle_sessions(
+    log: DataFrame, crawl: str, at_us: str, gap_us: int, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Activity sessions of each crawl: a gap longer than ``gap_us`` ends one.
 
     Rows are first merged per gap-long slot, inside which no gap can be that
     long. That is a map-side combine, and it bounds the rows of a crawl by its
-    time span instead of its traffic.
+    time span instead of its traffic. A crawl of very many slots is worked on in
+    ordered blocks; a session is known by its start, the latest opening so far.
     """
     slots = log.groupBy(crawl, F.floor(F.col(at_us) / gap_us).alias("slot")).agg(
         F.min(at_us).alias("lo"), F.max(at_us).alias("hi"), F.count(F.lit(1)).alias("n")
     )
-    in_order = Window.partitionBy(crawl).orderBy("slot")
-    opens = F.coalesce(F.col("lo") - F.lag("hi").over(in_order) > gap_us, F.lit(True)).cast("int")
-    numbered = slots.withColumn("_opens", opens).withColumn("_session", F.sum("_opens").over(in_order))
-    return numbered.groupBy(crawl, "_session").agg(
-        F.min("lo").alias("start_us"), F.max("hi").alias("end_us"), F.sum("n").alias("pages")
-    ).drop("_session")
+    paired = previous(slots, [crawl], ["slot"], "hi", "_before", rows_per_task)
+    opens = F.when(F.coalesce(F.col("lo") - F.col("_before") > gap_us, F.lit(True)), F.col("lo"))
+    opened = paired.withColumn("_opened", opens)
+    runs = running_max(opened, [crawl], ["slot"], F.col("_opened"), "start_us", rows_per_task)
+    return runs.groupBy(crawl, "start_us").agg(F.max("hi").alias("end_us"), F.sum("n").alias("pages"))
 
 
 def log_events(log: DataFrame, at: str = "ts") -> DataFrame:

@@ -299,6 +299,24 @@ ORACLE: dict[str, str] = {
         SELECT l.url, regexp_extract(l.url, '^https://([^/]+)', 1) AS domain, l.depth,
           CASE WHEN p.url IS NULL OR p.code >= 400 THEN 'ERROR' ELSE p.code::VARCHAR END AS outcome
         FROM least l LEFT JOIN page p ON l.url = p.url""",
+    "crawl_pages": rf"""WITH RECURSIVE {_TESTED}, {_SNAPSHOT},
+        edges AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS src, link AS dst FROM page_links),
+        judged AS (
+          SELECT t.url, t.allowed, s.url IS NOT NULL AS hit, s.status_code, s.n_bytes
+          FROM tested t LEFT JOIN snapshot s ON t.url = s.url),
+        open_edge AS (
+          SELECT src, dst FROM edges JOIN judged ON src = url WHERE allowed AND hit AND status_code < 400 AND n_bytes > 0),
+        own AS (SELECT regexp_replace(url, '#.*$', '') AS url FROM pages),
+        walk AS (
+          SELECT min(url) AS url, 1 AS depth FROM own GROUP BY regexp_extract(url, '^https?://([^/?#:]+)', 1)
+          UNION SELECT o.dst, w.depth + 1 FROM walk w JOIN open_edge o ON w.url = o.src WHERE w.depth < 3),
+        least AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url)
+        SELECT l.url, regexp_extract(l.url, '^https?://([^/?#:]+)', 1) AS domain, l.depth,
+          CASE WHEN NOT allowed THEN 'BLOCKED' WHEN NOT hit OR status_code >= 400 THEN 'ERROR'
+            ELSE status_code::VARCHAR END AS outcome,
+          coalesce(status_code, 0) AS status_code,
+          CASE WHEN hit THEN '' ELSE 'fetch error: no response captured' END AS error, n_bytes
+        FROM least l JOIN judged j ON l.url = j.url""",
     "bytes_fetched": "SELECT sum(octet_length(encode(html)))::BIGINT AS bytes_fetched FROM pages",
     "archive_sizes": "SELECT page_id, printf('%.2f MB', octet_length(encode(html)) / 1024 / 1024) AS size_mb FROM pages",
     "archive_select": f"WITH {_RESULTS} SELECT page_id, url, 200 AS status_code, n_bytes FROM results",
@@ -323,6 +341,23 @@ ORACLE: dict[str, str] = {
         SELECT '/archive/' || domain || '/' || name AS path, domain, 'warc/' || domain || '/' || name AS key,
           'r2://web-archive/warc/' || domain || '/' || name AS uri, 'application/gzip' AS content_type,
           count(*) OVER (PARTITION BY name) > 1 AS collides FROM files""",
+    "archive_preview": rf"""WITH {_RESULTS},
+        firsts AS (SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY domain ORDER BY url, at_s) = 1),
+        named AS (SELECT domain, md5(url || ' ' || (at_s * 1000000)) AS d FROM firsts)
+        SELECT domain, 1::BIGINT AS line_no, 'WARC/1.0' AS line FROM named
+        UNION ALL SELECT domain, 2, 'WARC-Type: response' FROM named
+        UNION ALL SELECT domain, 3, 'WARC-Record-ID: <urn:uuid:' || substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-'
+          || substr(d, 13, 4) || '-' || substr(d, 17, 4) || '-' || substr(d, 21) || '>' FROM named""",
+    "archive_manifest": rf"""WITH {_RESULTS}
+        SELECT domain, count(*) AS records, sum(n_bytes + length('HTTP/1.1 200 OK') + length('Content-Type: text/html')
+          + length('Content-Length: ' || n_bytes) + 8)::BIGINT AS content_bytes FROM results GROUP BY domain""",
+    "archive_listing": rf"""WITH {_RESULTS}
+        SELECT DISTINCT domain, true AS has_files FROM results UNION ALL SELECT 'unsorted', false""",
+    "header_map": r"""
+        WITH last AS (
+          SELECT l_orderkey, l_returnflag || '-' || l_linestatus AS name, l_partkey::VARCHAR AS value FROM lineitem
+          QUALIFY row_number() OVER (PARTITION BY l_orderkey, name ORDER BY l_linenumber DESC, value DESC) = 1)
+        SELECT l_orderkey, string_agg(name || '=' || value, ';' ORDER BY name) AS headers FROM last GROUP BY 1""",
     "archive_line_range": r"""
         WITH split AS (
           SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS lines FROM documents),

@@ -313,6 +313,19 @@ def _crawl_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["crawl_limits"] = _crawl_limits
 
 
+@_on("pages")
+def crawl_pages(pages: DataFrame) -> DataFrame:
+    """A crawl of the pages from the first URL of each host, three levels deep, with robots and links from HTML."""
+    own = pages.select(urls.canonical_self("url").alias("url"), "html")
+    captured = tables.snapshot(pages).select(
+        "url", "status_code", F.lit("").alias("error"), (F.col("n_bytes") > 0).alias("has_body"), "n_bytes", "fetch_time_ns"
+    )
+    seeds_ = own.groupBy(urls.url_hostname(F.col("url"))).agg(F.min("url").alias("url")).select("url", F.lit(3).alias("max_depth"))
+    hosts = robots.rules_by_host(robots.parse_robots(tables.robots_texts(pages), AGENT))
+    visited = crawl.crawl(seeds_, materialized(captured), materialized(crawl.page_links(own).distinct()), hosts)
+    return visited.select("url", "domain", "depth", "outcome", "status_code", "error", "n_bytes")
+
+
 # --- archive -----------------------------------------------------------------------------------
 
 
@@ -375,6 +388,39 @@ def _warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["warc_roundtrip"] = _warc_roundtrip
 
 
+def _archived(spark: SparkSession, sf_dir: str) -> str:
+    """An archive of the pages in the shared folder."""
+    path = scratch_path(spark, "warc")
+    warc.write_warc(_results(tables.table(spark, sf_dir, "pages")), path, "at")
+    return path
+
+
+def _archive_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = warc.preview(spark, _archived(spark, sf_dir), 1, 3)
+    return lines.select(F.regexp_extract("path", "/domain=([^/]+)/", 1).alias("domain"), "line_no", "line")
+
+
+def _archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.record_counts(spark, _archived(spark, sf_dir))
+
+
+def _archive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.list_archive(spark, _archived(spark, sf_dir)).select("domain", (F.size("files") > 0).alias("has_files"))
+
+
+QUERIES |= {"archive_preview": _archive_preview, "archive_manifest": _archive_manifest, "archive_listing": _archive_listing}
+
+
+@_on("lineitem")
+def header_map(lineitem: DataFrame) -> DataFrame:
+    """Each order's lines as headers: later lines of a name win."""
+    name = F.concat("l_returnflag", F.lit("-"), "l_linestatus")
+    line = F.struct("l_linenumber", name.alias("name"), F.col("l_partkey").cast("string").alias("value"))
+    lines = lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    entries = F.array_sort(F.map_entries(fetch.headers_map(F.col("lines"))))
+    return lines.select("l_orderkey", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("headers"))
+
+
 # --- fetch log: records, telemetry, politeness --------------------------------------------------
 
 

@@ -38,8 +38,8 @@ def write_warc(results: DataFrame, path: str, at: str, run: str | None = None, m
     run = run or datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
     rows = archivable(results).withColumn("domain", archive_domain(F.col("domain")))
     record = F.concat("header", "http", F.col("body").cast("string"))
-    text = with_record_text(rows, at).select("domain", "url", record.alias("value"))
-    placed = text.hint("rebalance", F.col("domain")).sortWithinPartitions("domain", "url")
+    text = with_record_text(rows, at).select("domain", "url", F.col(at).alias("at"), record.alias("value"))
+    placed = text.hint("rebalance", F.col("domain")).sortWithinPartitions("domain", "url", "at")
     writer = placed.select("domain", F.lit(run).alias("run"), "value").write.mode(mode).partitionBy("domain", "run")
     writer.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
@@ -75,6 +75,12 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def record_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Records and their bytes per domain, counted by reading the archives."""
+    counts = read_warc(spark, path).groupBy("domain")
+    return counts.agg(F.count(F.lit(1)).alias("records"), F.sum("content_length").alias("content_bytes"))
+
+
 def list_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per domain with its files in order of name; ``unsorted`` is always present."""
     domain = _domain_of("path", _root(path))
