@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.session import materialized, scratch_path
@@ -141,8 +141,6 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 def sample_rows(rows: DataFrame, doc_id: str, label: str, per_label: int) -> DataFrame:
     """At most ``per_label`` rows of each label, those with the least hash of the id: the same rows at every run."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(label).orderBy(F.xxhash64(doc_id), doc_id)
     return rows.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= per_label).drop("_nth")
 
