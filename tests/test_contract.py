@@ -10,7 +10,7 @@ from linkloom.plans import tables
 from linkloom.plans.oracle import ORACLE
 from linkloom.plans.queries import QUERIES
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,10 @@ def engine():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_its_sql(spark, engine, name):
-    assert difference(spark, engine, name, FOLDER) == ""
+    said = difference(spark, engine, name, FOLDER)
+    if said == "no rows on either side":  # the smallest tables lack that domain
+        said = difference(spark, duck(LARGER), name, LARGER)
+    assert said == ""
 
 
 def test_every_query_has_sql():
