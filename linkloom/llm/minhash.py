@@ -207,7 +207,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float, parts:
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     heads = pairs.select(F.col("a").alias("id"), "a", "salt", F.lit(None).cast("bigint").alias("b")).distinct()
     wanted = heads.unionByName(pairs.select(F.col("b").alias("id"), "a", "salt", "b"))
-    dealt = wanted.join(texts, "id").select("a", "salt", "b", "text")
+    dealt = wanted.hint("merge").join(texts, "id").select("a", "salt", "b", "text")
     dealt = dealt.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def compare(batches):
@@ -289,7 +289,7 @@ def _rest(bands: DataFrame, near: DataFrame, texts: DataFrame, idf, threshold: f
     passing = rows.select(
         "id", "band", "component", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(1).alias("kind")
     )
-    dealt = held.unionByName(passing).join(texts, "id").select("band", "block", "kind", "id", "component", "text")
+    dealt = held.unionByName(passing).hint("merge").join(texts, "id").select("band", "block", "kind", "id", "component", "text")
     dealt = dealt.repartition(parts, "band", "block").sortWithinPartitions("band", "block", "kind", "id")
 
     def compare(batches):
@@ -328,6 +328,9 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id"
        further link. So every candidate pair is either joined or compared, and
        no pairs but links are rows.
 
+    Texts are joined by a sort-merge, not a broadcast of ids that happen to be
+    few, so the plan is the same at every size.
+
     Null and empty texts, and texts without words, link with nothing and are
     kept; null ids likewise, with null columns. Rows that repeat an id share its
     component. Columns other than id and text are ignored.
@@ -345,7 +348,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id"
     bands = stored(bands.join(lead, "band"), "bands")
     star = materialized(bands.filter("id <> a").select("a", F.col("id").alias("b")).distinct())
     # Every later pair is of members of one bucket too, so only their texts are fetched, once.
-    texts = stored(bodies.join(bands.select("id").distinct(), "id", "left_semi"), "texts")
+    texts = stored(bodies.join(bands.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
     links = materialized(_verified(star, texts, idf, threshold, parts))
     near = components(links)
 
