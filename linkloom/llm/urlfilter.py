@@ -15,6 +15,7 @@ ALLOW, BLOCK = "allow", "block"
 #: Training sample: URLs per verdict.
 ROWS_PER_VERDICT = 5000
 TREES, DEPTH = 20, 4
+TRAINING_PARTITIONS = 6
 
 # Verdict, host and path of each rule.
 RULES = [
@@ -104,7 +105,10 @@ def classify(
     suffix, section = materialized(suffix), materialized(section)
     decided = rows.filter("rule_verdict IS NOT NULL").dropDuplicates(["u"])
     sample = sample_rows(decided, "u", "rule_verdict", rows_per_verdict)
-    training = materialized(_described(sample, suffix, section).withColumn("label", known).select("label", *FEATURES))
+    # A bounded sample in a few partitions: every level of every tree is a pass over them.
+    training = materialized(
+        _described(sample, suffix, section).withColumn("label", known).select("label", *FEATURES).coalesce(TRAINING_PARTITIONS)
+    )
     classes = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
     base = ["page_id", "host", "path", "rule"]
     if len(classes) < 2:
