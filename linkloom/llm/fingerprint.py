@@ -108,7 +108,7 @@ def _least(prefixes: Prefixes, width: int) -> list[str]:
 
 def _rungs(n: int) -> list[int]:
     """Lengths of the hashed beginnings: four per doubling, none above ``n``."""
-    return sorted({int(2 ** (j / 4)) for j in range(4 * n.bit_length() + 1)} - {*range(n + 1, 4 * n + 8)})
+    return sorted({r for j in range(4 * n.bit_length() + 1) if (r := int(2 ** (j / 4))) <= n})
 
 
 def of(prefixes: Prefixes) -> str:
