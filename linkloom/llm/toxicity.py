@@ -142,19 +142,22 @@ def train(
     Of the sample (``rows_per_class`` rows a class, texts up to
     ``MAX_TRAINING_BYTES``) three quarters make the class models and one quarter
     the curve. The driver gets the grams of that sample, and those of the shared
-    model: at most one per four bytes, however large the corpus. With fewer than
-    eight rows of a class the score is the share of label 1 (0.5 without labels).
+    model: at most one per four bytes, however large the corpus. The sample is even
+    where the classes are large, so the curve is moved to the share of label 1
+    among all labelled documents that may be learnt from. With fewer than eight
+    rows of a class the score is that share (0.5 without labels).
     """
     spark = docs.sparkSession
     learn = ~held_out(F.col(doc_id), *HELD_OUT) & F.col(doc_id).isNotNull()
+    known = labels.filter(learn & F.col(label).cast("int").isin(0, 1)).groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("label"))
+    share = known.join(docs.select(doc_id), doc_id, "left_semi").agg(F.avg("label")).first()[0]
     sample = materialized(
         labelled_sample(docs, labels, label, learn, rows_per_class, MAX_TRAINING_BYTES, doc_id, text)
         .withColumn("part", F.pmod(F.xxhash64(doc_id, F.lit("curve")), F.lit(4)))
     )
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if min(sizes.get(0, 0), sizes.get(1, 0)) < 8:
-        n = sum(sizes.values())
-        return Model([], [], [], constant=sizes.get(1, 0) / n if n else 0.5)
+        return Model([], [], [], constant=0.5 if share is None else share)
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -185,8 +188,9 @@ def train(
     y = aside["label"].to_numpy(float)
     if 0 < y.sum() < len(y):
         model.curve = fit_logistic(aside.drop(columns="label").to_numpy(float), y)
+        model.curve[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     else:
-        model.constant = float(y.mean()) if len(y) else 0.5
+        model.constant = share
     return model
 
 

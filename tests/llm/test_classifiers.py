@@ -118,6 +118,18 @@ def test_toxicity_finds_new_forms_of_a_stem(spark, documents):
     assert len(odd) == len(ODD) and all(0 <= g["score"] <= 1 for g in odd)
 
 
+def test_toxicity_scores_do_not_depend_on_the_sample_size(spark, documents):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice(["th", "er", "on", "an", "re"]) for _ in range(r.randrange(1, 5)))
+    docs = documents(*((k, " ".join(word() for _ in range(30))) for k in range(2400)))  # one in nine, whatever the text
+    marks = spark.createDataFrame([(k, 1, int(k % 9 == 0)) for k in range(2400)], "doc_id BIGINT, quality INT, toxic INT")
+    for size in (150, 4000):
+        scores = toxicity.predict(docs, toxicity.train(docs, marks, rows_per_class=size)).agg(F.avg("score")).first()[0]
+        assert 0.02 < scores < 0.25
+    few = spark.createDataFrame([(k, 1, int(k < 5)) for k in range(2400)], "doc_id BIGINT, quality INT, toxic INT")
+    assert toxicity.train(docs, few, rows_per_class=20).constant < 0.01
+
+
 def test_kneser_ney_by_hand():
     shared = {b" aba": 3, b"  ab": 2, b"   a": 4, b"aba ": 3}
     number = lambda g: int.from_bytes(g, "big")
