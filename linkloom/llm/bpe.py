@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from functools import lru_cache
 from itertools import chain
@@ -33,6 +34,9 @@ def _byte_chars() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+#: A space after white space that more white space or the end follows: no pre-token ends before it.
+_INSIDE = re.compile(r" (?<=\s )(?=\s|\Z)")
+_SINGLE = re.compile(r"(?<=\S) (?=\S)")
 BYTE_CHARS = _byte_chars()
 _TO_CHARS = str.maketrans(dict(enumerate(BYTE_CHARS)))
 
@@ -113,11 +117,12 @@ class Codec:
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text.
 
-        The pattern always ends a pre-token before a single space that is
-        followed by a word, so the stretches between single spaces are encoded,
-        and remembered, one by one. A text with runs of spaces is one stretch.
+        The pattern ends a pre-token before every space but those inside or at
+        the end of a run of white space, so the stretches between spaces are
+        encoded, and remembered, one by one. A text with such a run is cut only
+        at spaces that have no white space on either side.
         """
-        cut = [[t] if "  " in t else t.split(" ") for t in texts]
+        cut = [_SINGLE.split(t) if _INSIDE.search(t) else t.split(" ") for t in texts]
         if len(self.known) >= CACHE_CHUNKS:
             self.known.clear()
         fresh = {chunk for chunks in cut for chunk in chunks[1:]} - self.known.keys()

@@ -91,6 +91,15 @@ def test_bpe_equals_the_rank_library(documents):
     assert sorted(bytes(g["bytes"]) for g in bpe.decode(encoded, RANKS, public_tokenizers.PATTERN).collect()) == sorted((t or "").encode() for _, t in TEXTS)
 
 
+def test_bpe_of_mixed_white_space_equals_the_rank_library():
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(RANKS, "rb"))}  # noqa: SIM115
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(11)
+    texts = ["a \u00a0 \u00a0 b", "a \u00a0 \u00a0", "a\u00a0 ", "a\t \n b", " \u00a0 a", "one two  three   four", "a \u2003 \u2003 b c"]
+    texts += ["".join(r.choice("ab'   \u00a0\u00a0\t\n\u3000\x1c\x85.1") for _ in range(r.randrange(40))) for _ in range(3000)]
+    assert bpe.codec(RANKS, public_tokenizers.PATTERN).encode(texts) == [library.encode_ordinary(t) for t in texts]
+
+
 def test_pieces_equal_the_tokenizer(documents):
     tool = Tokenizer.from_file(WORDS)
     tool.encode_special_tokens = True
