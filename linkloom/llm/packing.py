@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -54,8 +55,9 @@ class Encoder:
         # The tokenizer lower-cases anyway; where that is plain, doing it first makes stretches recur.
         cut = [(t.lower() if _latin(t) else t).replace("\n", " ").split(" ") for t in texts]
         missing = {chunk for chunks in cut for chunk in chunks} - self.known.keys()
-        # A word before one final stop or comma is a word of the tokenizer of its own.
-        split = {c for c in missing if len(c) > 1 and c[-1] in ".," and c[:-1].lower().isalpha()}
+        # A word before one final stop or comma is a word of the tokenizer of its own. The tokenizer
+        # composes first (NFC), which leaves some letters as letter and mark: marks go with the stop.
+        split = {c for c in missing if len(c) > 1 and c[-1] in ".," and unicodedata.normalize("NFC", c[:-1]).lower().isalpha()}
         self._fresh(sorted((missing - split | {c[:-1] for c in split} | {".", ","}) - self.known.keys()))
         known = self.known
         for chunk in split:

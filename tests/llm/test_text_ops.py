@@ -115,6 +115,14 @@ def test_pieces_equal_the_tokenizer(documents):
     assert got == want
 
 
+def test_stops_after_letters_that_do_not_compose():
+    tool = Tokenizer.from_file(WORDS)
+    tool.encode_special_tokens = True
+    texts = ["\u09b9\u09df,", "\u0915\u095c,", "\u09b9\u09df. \u0915\u095c.", "\ufb2a\ufb35,", "caf\u00e9, cafe\u0301. \u0130."]
+    got = packing.Encoder(WORDS).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tool.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_is_gapless_and_tight(documents, table):
     docs = table("documents").select("doc_id", "text")
     rows = packing.pack(docs, WORDS).toPandas()
