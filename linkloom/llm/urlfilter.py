@@ -92,8 +92,8 @@ def classify(
     A fitting rule decides; the trees, trained on URLs that rules decide, judge
     the others, ``score`` being their probability of ``block`` (null where a
     rule decides). Suffix statistics count all pages; the trees are fitted on at
-    most ``rows_per_verdict`` distinct URLs per verdict, those with the least hashes. A null
-    or malformed URL has an empty host and path and is judged by its features.
+    most ``rows_per_verdict`` distinct URLs per verdict, those with the least hashes, which
+    weigh as much as all distinct URLs of their verdict. A null or malformed URL has an empty host and path and is judged by its features.
     Repeated rows repeat; other columns are ignored. If rules decide only one
     way, so do the trees; without any decided page they allow.
     """
@@ -105,9 +105,14 @@ def classify(
     suffix, section = materialized(suffix), materialized(section)
     decided = rows.filter("rule_verdict IS NOT NULL").dropDuplicates(["u"])
     sample = sample_rows(decided, "u", "rule_verdict", rows_per_verdict)
+    full = decided.select("u", "rule_verdict").groupBy("rule_verdict").count().collect()
+    weight = F.lit(1.0)
+    for r in full:
+        weight = F.when(F.col("rule_verdict") == r["rule_verdict"], r["count"] / min(r["count"], rows_per_verdict)).otherwise(weight)
     # A bounded sample in a few partitions: every level of every tree is a pass over them.
     training = materialized(
-        _described(sample, suffix, section).withColumn("label", known).select("label", *FEATURES).coalesce(TRAINING_PARTITIONS)
+        _described(sample, suffix, section).withColumns({"label": known, "weight": weight})
+        .select("label", "weight", *FEATURES).coalesce(TRAINING_PARTITIONS)
     )
     classes = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
     base = ["page_id", "host", "path", "rule"]
@@ -116,7 +121,7 @@ def classify(
         return rows.select(*base, F.coalesce("rule_verdict", otherwise).alias("verdict"), F.lit(None).cast("double").alias("score"))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="_features")
     trees = GBTClassifier(
-        featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1
+        featuresCol="_features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=1
     ).fit(vectors.transform(training))
     open_ = _described(rows.filter("rule_verdict IS NULL"), suffix, section)
     scored = trees.transform(vectors.transform(open_)).withColumn("score", vector_to_array("probability")[1])

@@ -237,6 +237,16 @@ def test_url_trees_agree_with_rules_held_back(table):
     assert got.filter(F.col("score").isNull()).count() == 0 and urlfilter.classify(pages, rules=fewer).count() == pages.count()
 
 
+def test_url_scores_do_not_depend_on_the_sample_size(spark):
+    r = random.Random(3)
+    hosts = ["xa"] * 900 + ["xb"] * 100 + ["xc"] * 200  # one in ten is blocked, alike in all features
+    pages = spark.createDataFrame([(k, f"https://{h}.com/{r.randrange(10**7)}") for k, h in enumerate(hosts)], "page_id BIGINT, url STRING")
+    rules = [("allow", "xa.com", "/"), ("block", "xb.com", "/")]
+    for size in (60, 5000):
+        got = urlfilter.classify(pages, rules=rules, rows_per_verdict=size).filter("rule IS NULL")
+        assert got.agg(F.avg("score")).first()[0] < 0.3
+
+
 def test_indicators_are_distinct_pairs():
     row, feature = quality.indicators(pa.array(["A b, B!! b b", None, "", "A b, B!! b b"]))
     pairs = list(zip(row.tolist(), feature.tolist(), strict=True))
