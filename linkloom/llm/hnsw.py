@@ -3,7 +3,7 @@
 Vectors are dealt to shards, every shard builds its graph, and every vector is
 searched in every shard. Searches and insertions run for many vectors at a time
 as array operations. A search that fills its beam with links widens it; a block
-whose audit by brute force falls short of the recall widens it for all.
+in which a search audited by brute force falls short of the recall widens it for all.
 """
 
 from __future__ import annotations
@@ -202,8 +202,8 @@ class Graph:
         """Rows ``(query number, vector)`` of all pairs with a cosine of at least the threshold, in blocks.
 
         The beam doubles for queries whose beam is full of leaders within reach,
-        and for the whole block while an audited part of it recalls less than
-        ``RECALL``; a beam as wide as the shard is brute force.
+        and for the whole block while any audited query recalls less than
+        ``RECALL`` of its own links; a beam as wide as the shard is brute force.
         """
         out, n = [], len(self.vectors)
         reach = np.cos(min(np.arccos(min(threshold, 1)) + np.arccos(RADIUS), np.pi)) - 1e-4
@@ -214,7 +214,8 @@ class Graph:
             audited = np.linspace(0, len(part) - 1, min(AUDITED, len(part))).astype(int)
             true = (part[audited] @ self.exact.T >= threshold).sum(1)
             while len(left):
-                if beam >= n or len(self.layers) == 1:
+                every = beam >= n or len(self.layers) == 1
+                if every:
                     line, leader = np.nonzero(fast[left] @ self.vectors.T >= reach)
                     full = np.zeros(len(left), bool)
                 else:
@@ -230,7 +231,7 @@ class Graph:
                 line, node = line[sure], node[sure]
                 hits = np.bincount(left[line], minlength=len(part))[audited]
                 judged = np.isin(audited, left[~full])
-                if hits[judged].sum() < RECALL * true[judged].sum():
+                if not every and (hits < RECALL * true)[judged].any():
                     beam *= 2
                     continue
                 out.append((begin + left[line], node))

@@ -132,6 +132,33 @@ def test_graph_search_recalls_tight_groups():
     assert 0.99 * true <= pairs <= true
 
 
+def hot_group(n, hot, dimension, spread):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(n, dimension))
+    x[: n // 2] = x[n // 2 : 2 * (n // 2)] + 0.05 * r.normal(size=(n // 2, dimension))  # pairs
+    x = np.concatenate([x, np.ones(dimension) + spread * r.normal(size=(hot, dimension))])
+    x = r.permutation(x)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_audit_does_not_pool_searches():
+    unit = hot_group(3000, 1500, 32, 0.1)
+    graph = hnsw.Graph(unit, np.arange(len(unit)))
+    true = (unit @ unit.T >= 0.9).sum(1)
+    search = graph.search
+
+    def poor(query, beam):  # finds nothing outside the hot group with the first beam
+        found, score = search(query, beam)
+        cold = query @ np.ones(32) < 0.9 * 32**0.5
+        if beam <= hnsw.BEAM:
+            found[cold], score[cold] = -1, -2
+        return found, score
+
+    graph.search = poor
+    got = sum(np.bincount(line, minlength=len(unit)) for line, _ in graph.links(unit, 0.9))
+    assert (got <= true).all() and np.mean(got == true) > 0.99
+
+
 def test_no_vectors(spark):
     assert hnsw.near_duplicates(vectors(spark, [])).count() == 0
     assert [g["kept"] for g in hnsw.near_duplicates(vectors(spark, [(None, [1.0, 2.0], 0, ""), (None, None, 0, "")])).collect()] == [True, True]
