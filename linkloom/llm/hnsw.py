@@ -9,6 +9,7 @@ in which a search audited by brute force falls short of the recall widens it for
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ ENTRIES = 16  # nodes that a search enters a layer by
 BLOCK = 512  # vectors searched at a time
 AUDITED = 32  # searches of a block that are checked by brute force
 RECALL = 0.99
+WIDEST = 256  # beams beyond it cost more than comparing all leaders
+DENSE = 32  # queries near more than this part of a shard are compared with all of it
+CELLS = 1 << 22  # numbers of an array of candidates
 #: Vectors within this cosine of a leader are found through it, so that tight groups are no islands of a graph.
 RADIUS = 0.95
 #: Vectors of a shard at most, and shards at least.
@@ -198,14 +202,15 @@ class Graph:
             found, score = self._beam(query, entry, self.layers[level][1], beam if level == 0 else max(ENTRIES, beam // 2))
         return found, score
 
-    def links(self, query: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Rows ``(query number, vector)`` of all pairs with a cosine of at least the threshold, in blocks.
+    def links(self, query: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows ``(query number, vector)`` of all pairs with a cosine of at least the threshold, in bounded chunks.
 
         The beam doubles for queries whose beam is full of leaders within reach,
         and for the whole block while any audited query recalls less than
-        ``RECALL`` of its own links; a beam as wide as the shard is brute force.
+        ``RECALL`` of its own links. Beyond ``WIDEST`` all leaders are compared.
+        Queries near a large part of the shard are compared with all of it, by
+        matrix products of a few queries at a time.
         """
-        out, n = [], len(self.vectors)
         reach = np.cos(min(np.arccos(min(threshold, 1)) + np.arccos(RADIUS), np.pi)) - 1e-4
         for begin in range(0, len(query), BLOCK):
             part = query[begin : begin + BLOCK]
@@ -214,30 +219,59 @@ class Graph:
             audited = np.linspace(0, len(part) - 1, min(AUDITED, len(part))).astype(int)
             true = (part[audited] @ self.exact.T >= threshold).sum(1)
             while len(left):
-                every = beam >= n or len(self.layers) == 1
-                if every:
-                    line, leader = np.nonzero(fast[left] @ self.vectors.T >= reach)
-                    full = np.zeros(len(left), bool)
-                else:
-                    found, score = self.search(fast[left], beam)
-                    near = (found >= 0) & (score >= reach)
-                    full = near[:, -1]
-                    line, column = np.nonzero(near & ~full[:, None])
-                    leader = found[line, column]
-                size = self.size[leader]
-                within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                line, node = np.repeat(line, size), self.member[np.repeat(self.start[leader], size) + within]
-                sure = np.einsum("kd,kd->k", part[left[line]], self.exact[node]) >= threshold
-                line, node = line[sure], node[sure]
-                hits = np.bincount(left[line], minlength=len(part))[audited]
-                judged = np.isin(audited, left[~full])
-                if not every and (hits < RECALL * true)[judged].any():
+                every = beam > WIDEST or beam >= len(self.vectors) or len(self.layers) == 1
+                line, leader, full, many = self._within(fast[left], reach) if every else self._near(fast[left], beam, reach)
+                sure = list(self._verified(part[left], line, leader, threshold))
+                hits = np.zeros(len(part), np.int64)
+                for line, _ in sure:
+                    hits += np.bincount(left[line], minlength=len(part))
+                judged = np.isin(audited, left[~full & ~many])
+                if not every and (hits[audited] < RECALL * true)[judged].any():
                     beam *= 2
                     continue
-                out.append((begin + left[line], node))
-                left = left[full]
+                for line, node in sure:
+                    yield begin + left[line], node
+                few = max(1, CELLS // len(self.exact))
+                for k in range(0, int(many.sum()), few):
+                    these = left[many][k : k + few]
+                    line, node = np.nonzero(part[these] @ self.exact.T >= threshold)
+                    yield begin + these[line], node
+                left = left[full & ~many]
                 beam *= 2
-        return out
+
+    def _near(self, fast: np.ndarray, beam: int, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Leaders within reach that a search finds, as ``(query, leader)``; queries with a full beam, and near much of the shard.
+
+        Neither of these have rows.
+        """
+        found, score = self.search(fast, beam)
+        near = (found >= 0) & (score >= reach)
+        full, many = near[:, -1], np.where(near, self.size[found], 0).sum(1) > len(self.exact) // DENSE
+        line, column = np.nonzero(near & ~(full | many)[:, None])
+        return line, found[line, column], full, many
+
+    def _within(self, fast: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_near``, of all leaders, for a few queries at a time; no beam is full."""
+        lines, leaders, many = [], [], np.zeros(len(fast), bool)
+        few = max(1, CELLS // len(self.vectors))
+        for k in range(0, len(fast), few):
+            near = fast[k : k + few] @ self.vectors.T >= reach
+            many[k : k + few] = [self.size[row].sum() > len(self.exact) // DENSE for row in near]
+            line, leader = np.nonzero(near & ~many[k : k + few, None])
+            lines.append(k + line)
+            leaders.append(leader)
+        return np.concatenate(lines), np.concatenate(leaders), np.zeros(len(fast), bool), many
+
+    def _verified(self, part: np.ndarray, line: np.ndarray, leader: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows ``(query, vector)`` that reach the threshold, of the vectors that hang on the leaders."""
+        ends = np.cumsum(self.size[leader])
+        total, step = int(ends[-1]) if len(ends) else 0, max(1, CELLS // part.shape[1])
+        for k in range(0, total, step):
+            row = np.arange(k, min(k + step, total))
+            at = np.searchsorted(ends, row, side="right")
+            node = self.member[self.start[leader[at]] + row - (ends[at] - self.size[leader[at]])]
+            sure = np.einsum("kd,kd->k", part[line[at]], self.exact[node]) >= threshold
+            yield line[at][sure], node[sure]
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -259,24 +293,36 @@ def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return good, rows / np.linalg.norm(rows, axis=1)[:, None]
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Numbers of the edges that join two parts not yet joined."""
-    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = list(range(len(names)))
+class _Forest:
+    """Which of ``size`` nodes are joined so far; nodes that are have the same label."""
+
+    def __init__(self, size: int):
+        self.label = np.arange(size)
+
+    def joining(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Numbers of the edges that join two parts not yet joined."""
+        apart = np.flatnonzero(self.label[a] != self.label[b])
+        if not len(apart):
+            return apart
+        names, at = np.unique(np.concatenate([self.label[a[apart]], self.label[b[apart]]]), return_inverse=True)
+        parent = list(range(len(names)))
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
 
-    kept = []
-    for k, (x, y) in enumerate(zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True)):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append(k)
-    return np.array(kept, np.int64)
+        kept = []
+        for k, (x, y) in enumerate(zip(at[: len(apart)].tolist(), at[len(apart) :].tolist(), strict=True)):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                kept.append(k)
+        now = np.arange(len(self.label))
+        now[names] = names[[root(k) for k in range(len(names))]]
+        self.label = now[self.label]
+        return apart[kept]
 
 
 def near_duplicates(
@@ -363,17 +409,23 @@ def near_duplicates(
 
 
 def _found(graph: Graph, copies: np.ndarray, part: pa.RecordBatch, threshold: float):
-    """Rows of one block of searches: ``(a, null, links of a here)`` and the edges ``(a, b, null)`` of a forest."""
+    """Rows of one batch of searches: ``(a, null, links of a here)`` and the edges ``(a, b, null)`` of a forest."""
     _, unit = unit_rows(part.column("v"))
     ids = part.column("id").to_numpy()
+    names = np.union1d(ids, graph.ids)
+    a_at, b_at = np.searchsorted(names, ids), np.searchsorted(names, graph.ids)
+    forest, links = _Forest(len(names)), np.zeros(len(ids), np.int64)
     for line, node in graph.links(unit, threshold):
-        a, b = ids[line], graph.ids[node]
-        other = a != b
-        a, b, n = a[other], b[other], copies[node][other]
-        named, at = np.unique(a, return_inverse=True)
-        keep = _forest(a, b)
-        none = [None] * len(named)
-        yield pa.record_batch({
-            "a": pa.array(np.concatenate([named, a[keep]])), "b": pa.array([*none, *b[keep].tolist()], pa.int64()),
-            "n": pa.array([*np.bincount(at, n, len(named)).astype(int).tolist(), *[None] * len(keep)], pa.int64()),
-        })
+        other = ids[line] != graph.ids[node]
+        line, node = line[other], node[other]
+        links += np.bincount(line, copies[node], len(ids)).astype(np.int64)
+        keep = forest.joining(a_at[line], b_at[node])
+        if len(keep):
+            yield pa.record_batch({
+                "a": pa.array(ids[line[keep]]), "b": pa.array(graph.ids[node[keep]], pa.int64()),
+                "n": pa.nulls(len(keep), pa.int64()),
+            })
+    some = np.flatnonzero(links)
+    yield pa.record_batch({
+        "a": pa.array(ids[some]), "b": pa.nulls(len(some), pa.int64()), "n": pa.array(links[some], pa.int64()),
+    })

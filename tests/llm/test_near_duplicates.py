@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -159,6 +160,28 @@ def test_audit_does_not_pool_searches():
     assert (got <= true).all() and np.mean(got == true) > 0.99
 
 
+@pytest.mark.parametrize("spread", [0.1, 0.28])  # around one leader, and all of them leaders
+def test_hot_groups_are_verified_in_bounded_memory(spread):
+    unit = hot_group(3000, 3000, 64, spread)
+    ids = np.arange(len(unit))
+    graph = hnsw.Graph(unit, ids)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    part = pa.record_batch({"id": pa.array(ids), "v": pa.array(list(unit), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    got = pa.Table.from_batches(hnsw._found(graph, np.ones(len(unit), int), part, 0.9)).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    counts, edges = got[got["b"].isna()].set_index("a")["n"], got[got["b"].notna()]
+    assert np.mean([counts.get(k, 0) == n for k, n in enumerate(near.sum(1))]) > 0.99
+    want, last = ids, None
+    while last is None or (want != last).any():
+        want, last = np.minimum(want, np.where(near, want, len(ids)).min(1)), want
+    have = closure(ids.tolist(), [(int(a), int(b)) for a, b in zip(edges["a"], edges["b"], strict=True)])
+    assert len(edges) < len(unit) and np.mean([have[k] == want[k] for k in ids]) > 0.99
+
+
 def test_no_vectors(spark):
     assert hnsw.near_duplicates(vectors(spark, [])).count() == 0
     assert [g["kept"] for g in hnsw.near_duplicates(vectors(spark, [(None, [1.0, 2.0], 0, ""), (None, None, 0, "")])).collect()] == [True, True]
