@@ -1,7 +1,7 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the weighted set of its five-word shingles, weight
-``(1 + ln tf) * idf``. Two documents share a consistent weighted sample with the
+``(1 + ln tf) * idf``, the idf counted over distinct documents. Two documents share a consistent weighted sample with the
 probability of their weighted Jaccard similarity (sum of minima over sum of
 maxima). Samples are banded, documents that share a band are candidates, and a
 candidate pair is a link if its exact similarity reaches the threshold.
@@ -65,7 +65,7 @@ def _starts(row: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Idf:
-    """Document counts of the frequent shingles; all others are rare."""
+    """Document counts of the frequent shingles, copies counted once; all others are rare."""
 
     shingle: np.ndarray
     count: np.ndarray
@@ -79,8 +79,34 @@ class Idf:
         return (1 + np.log(count)) * np.log1p(self.documents / documents)
 
 
+def _keys(shingle: np.ndarray, count: np.ndarray, start: np.ndarray) -> list[pa.Array]:
+    """Two keys of the shingle counts of each text."""
+    keys = (np.add.reduceat(mix(shingle * np.uint64(2 * k + 3) + count.astype(np.uint64)), start) for k in range(2))
+    return [pa.array(k.view(np.int64)) for k in keys]
+
+
+def _keyed(docs: DataFrame, column: str, text: str = "text") -> DataFrame:
+    """The column, and two keys of the shingle counts, of every text that has words."""
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        row, shingle, count = shingles(part.column(part.num_columns - 1))
+        start = _starts(row)
+        if not len(start):
+            return None
+        k0, k1 = _keys(shingle, count, start)
+        return pa.record_batch({column: part.column(0).take(pa.array(row[start])), "k0": k0, "k1": k1})
+
+    columns = [column] if column == text else [column, text]
+    return map_slices(docs, columns, work, f"{column} {docs.schema[column].dataType.simpleString()}, k0 bigint, k1 bigint")
+
+
 def frequent(docs: DataFrame, text: str = "text") -> Idf:
-    """Exact document counts, over all documents, of every shingle in at least ``RARE`` of them.
+    """Counts of ``counted`` over the classes of equal shingle counts: copies count once, texts without words not at all."""
+    return counted(stored(_keyed(docs, text, text).dropDuplicates(["k0", "k1"]).select(text), "distinct"), text)
+
+
+def counted(docs: DataFrame, text: str = "text") -> Idf:
+    """Exact document counts, over all documents given, of every shingle in at least ``RARE`` of them.
 
     First each chunk of documents names the shingles in half that share of it.
     A shingle that is frequent in all has, over the chunks that name it, at
@@ -169,7 +195,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _described(docs: DataFrame, idf, doc_id: str, text: str) -> DataFrame:
-    """``(id, k0, k1, bands)``: two keys of the shingle counts, and the band keys."""
+    """``(id, bands)``: the band keys of every text that has words."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         row, shingle, count = shingles(part.column(1))
@@ -177,18 +203,14 @@ def _described(docs: DataFrame, idf, doc_id: str, text: str) -> DataFrame:
         start = _starts(row)
         if not len(start):
             return None
-        keys = [np.add.reduceat(mix(shingle * np.uint64(2 * k + 3) + count.astype(np.uint64)), start) for k in range(2)]
         drawn = samples(row, shingle, weight)
         bands = np.zeros((len(start), BANDS), np.uint64)
         for k in range(ROWS):
             bands = mix(bands * np.uint64(31) + drawn[:, k::ROWS]) + np.arange(BANDS, dtype=np.uint64)
         own = pa.array(row[start])
-        return pa.record_batch({
-            "id": part.column(0).take(own), "k0": pa.array(keys[0].view(np.int64)), "k1": pa.array(keys[1].view(np.int64)),
-            "bands": _lists(bands.view(np.int64)),
-        })
+        return pa.record_batch({"id": part.column(0).take(own), "bands": _lists(bands.view(np.int64))})
 
-    schema = "id bigint, k0 bigint, k1 bigint, bands array<bigint>"
+    schema = "id bigint, bands array<bigint>"
     return map_slices(docs.select(F.col(doc_id).cast("bigint").alias("id"), text), ["id", text], work, schema)
 
 
@@ -319,8 +341,9 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id"
     ``class_id`` is the smallest id with the same shingle counts, ``component_id``
     the smallest id that links reach, ``kept`` marks one document per component.
 
-    1. Shingle weights from counts over all documents (``frequent``).
-    2. Documents with equal shingle counts are one class; only classes go on.
+    1. Documents with equal shingle counts are one class; only classes go on.
+    2. Shingle weights from counts over all classes (``counted``), so that copies
+       do not make a passage look common.
     3. In every band bucket each class is paired with the bucket's first, and
        the pairs are verified: a bucket gives as many pairs as it has members.
     4. Members of a bucket that these links leave in different components are
@@ -338,17 +361,19 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id"
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bodies = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    idf = spark.sparkContext.broadcast(frequent(bodies, "text"))
-    described = stored(_described(bodies, idf, "id", "text"), "described")
-    classes = described.groupBy("k0", "k1").agg(F.min("id").alias("class"))
-    member = stored(described.select("id", "k0", "k1").join(classes, ["k0", "k1"]).select("id", "class").distinct(), "member")
-    first = stored(described.join(member.filter("id = class").select("id"), "id", "left_semi"), "first")
+    keyed = stored(_keyed(bodies, "id"), "keyed")
+    classes = keyed.groupBy("k0", "k1").agg(F.min("id").alias("class"))
+    member = stored(keyed.join(classes, ["k0", "k1"]).select("id", "class").distinct(), "member")
+    heads = stored(bodies.join(member.filter("id = class").select("id").hint("merge"), "id", "left_semi"), "heads")
+    repeated = member.filter("id = class").count() != heads.count()  # ids that come more than once
+    idf = spark.sparkContext.broadcast(frequent(heads) if repeated else counted(heads))
+    first = stored(_described(heads, idf, "id", "text"), "first")
     bands = first.select("id", F.explode("bands").alias("band"))
     lead = bands.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     bands = stored(bands.join(lead, "band"), "bands")
     star = materialized(bands.filter("id <> a").select("a", F.col("id").alias("b")).distinct())
     # Every later pair is of members of one bucket too, so only their texts are fetched, once.
-    texts = stored(bodies.join(bands.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
+    texts = stored(heads.join(bands.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
     links = materialized(_verified(star, texts, idf, threshold, parts))
     near = components(links)
 

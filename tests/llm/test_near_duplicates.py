@@ -99,6 +99,19 @@ def test_frequent_shingles_are_counted_exactly(documents):
     assert idf.documents == 300 and len(idf.shingle) >= 4 and set(idf.count.tolist()) == {300}
 
 
+def test_copies_do_not_devalue_their_shingles(documents):
+    r = random.Random(12)
+    text = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    hot, warm = text(100), text(60)
+    near, other = [*hot[:50], "changed", *hot[51:]], [*warm[:30], "changed", *warm[31:]]
+    rows = [(k, " ".join(hot)) for k in range(100)] + [(200, " ".join(near))] + [(300 + k, " ".join(warm)) for k in range(12)]
+    rows += [(400, " ".join(other))] + [(500 + k, " ".join(text(80))) for k in range(187)] + [(0, " ".join(hot))] * 40
+    by = {g["doc_id"]: g["component_id"] for g in minhash.groups(documents(*rows)).collect()}
+    assert by[99] == by[200] == 0 and by[400] == 300 and by[500] == 500
+    idf = minhash.frequent(documents(*rows))
+    assert idf.documents == 191 and idf.count.max(initial=0) == 2
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, n INT, component STRING")
 
