@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -111,19 +112,22 @@ class Words:
         self.start = np.flatnonzero(edge[places])
         n = len(places)
         self.length = np.diff(np.append(self.start, n))
-        at = np.arange(n) - np.repeat(self.start, self.length)
-        values = Words.BYTES[self.chars] * self._powers(int(self.length.max(initial=0)))[at]
-        self.hash = mix(np.add.reduceat(values, self.start) if n else np.zeros(0, np.uint64))
         self.byte_at = places[self.start]
         bounds = np.searchsorted(self.byte_at, ends)
         self.first, self.count = bounds[:-1], np.diff(bounds)
         self.row = np.repeat(np.arange(len(low)), self.count)
 
+    @cached_property
+    def hash(self) -> np.ndarray:
+        n = len(self.chars)
+        at = np.arange(n) - np.repeat(self.start, self.length)
+        values = Words.BYTES[self.chars] * self._powers(int(self.length.max(initial=0)))[at]
+        return mix(np.add.reduceat(values, self.start) if n else np.zeros(0, np.uint64))
+
     @classmethod
     def _powers(cls, n: int) -> np.ndarray:
-        if n > len(cls.POWERS):
-            cls.POWERS = random_words(1 << (n - 1).bit_length(), 7) | np.uint64(1)
-        return cls.POWERS
+        """Factors of the first ``n`` bytes of a word; those of a very long word are not kept."""
+        return cls.POWERS if n <= len(cls.POWERS) else random_words(n, 7) | np.uint64(1)
 
 
 _WORD = np.zeros(256, bool)
