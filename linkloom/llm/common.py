@@ -143,10 +143,41 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def sample_rows(rows: DataFrame, doc_id: str, label: str, per_label: int) -> DataFrame:
-    """At most ``per_label`` rows of each label, those with the least hash of the id: the same rows at every run."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(doc_id), doc_id)
-    return rows.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= per_label).drop("_nth")
+def _least(key: str, bounds: dict, label: str) -> Column:
+    """Whether the hash of a row's key is at most the bound of its label."""
+    bound = F.lit(None).cast("long")
+    for value, most in bounds.items():
+        bound = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(most)).otherwise(bound)
+    return F.xxhash64(key) <= bound
+
+
+def sample_rows(rows: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
+    """At most ``per_label`` rows of each label, those with the least hash of the key: the same rows at every run.
+
+    ``rows`` has a row per key and label. The size of a label gives a hash below
+    which there are little more rows than wanted; only these are ranked, so no
+    task gets a whole label. Should they be too few after all, the bound is raised.
+    """
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    room = {v: min(1.0, (per_label + 8 * per_label**0.5 + 16) / n) for v, n in sizes.items()}
+    while True:
+        bounds = {v: min((1 << 63) - 1, int(share * 2**64) - (1 << 63)) for v, share in room.items()}
+        few = rows.filter(_least(key, bounds, label))
+        short = [v for v, share in room.items() if share < 1]
+        if short:
+            found = {r[0]: r[1] for r in few.groupBy(label).agg(F.count(F.lit(1))).collect()}
+            short = [v for v in short if found.get(v, 0) < per_label]
+        if not short:
+            break
+        room |= {v: min(1.0, 2 * room[v]) for v in short}
+    order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
+    return few.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= per_label).drop("_nth")
+
+
+def known_labels(labels: DataFrame, label: str, train: Column, doc_id: str = "doc_id") -> DataFrame:
+    """``(doc_id, label)`` with one row per document: label 1 if any of its rows says so."""
+    known = labels.select(F.col(doc_id), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1))
+    return known.filter(train).groupBy(doc_id).agg(F.max("label").alias("label"))
 
 
 def labelled_sample(
@@ -155,15 +186,16 @@ def labelled_sample(
 ) -> DataFrame:
     """Bounded training sample ``(doc_id, label, text)``: ``per_label`` rows per label of texts up to ``max_bytes``.
 
-    The choice is made on narrow rows; texts join it last, under a broadcast of
-    at most ``2 * per_label`` ids.
+    Of several texts under one id the smallest counts. The choice is made on
+    narrow rows; texts join it last, under a broadcast of at most
+    ``2 * per_label`` ids.
     """
-    known = labels.select(F.col(doc_id), F.col(label).cast("int").alias("label")).filter(F.col(label).isin(0, 1))
-    known = known.filter(train).groupBy(doc_id).agg(F.max("label").alias("label"))
-    fit = docs.filter((F.octet_length(text) <= max_bytes) & train).select(doc_id).distinct()
-    chosen = sample_rows(known.join(fit, doc_id), doc_id, "label", per_label)
-    bodies = docs.filter(train & (F.octet_length(text) <= max_bytes)).select(doc_id, text)
-    return bodies.join(F.broadcast(chosen.select(doc_id, "label")), doc_id).dropDuplicates([doc_id])
+    fit = train & (F.octet_length(text) <= max_bytes)
+    ids = docs.filter(fit).select(doc_id).distinct()
+    rows = materialized(known_labels(labels, label, train, doc_id).join(ids, doc_id))
+    chosen = sample_rows(rows, doc_id, "label", per_label)
+    bodies = docs.filter(fit).select(doc_id, text).join(F.broadcast(chosen.select(doc_id, "label")), doc_id)
+    return bodies.groupBy(doc_id, "label").agg(F.min(text).alias(text))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:

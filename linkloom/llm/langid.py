@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import Words, held_out, keep_rows, map_slices, sample_rows, strings
 from linkloom.llm.contexts import Level, ending, grams
+from linkloom.session import materialized
 
 ORDER = 3
 UNKNOWN = "und"
@@ -60,10 +61,11 @@ def train(
     """
     spark = docs.sparkSession
     fit = learn & F.col(lang).isNotNull() & (F.octet_length(text) <= MAX_TRAINING_BYTES)
-    ids = sample_rows(docs.filter(fit).select(doc_id, lang), doc_id, lang, rows_per_language)
+    permitted = materialized(docs.filter(fit).select(doc_id, lang).distinct())
+    ids = materialized(sample_rows(permitted, doc_id, lang, rows_per_language))
     languages = sorted(r[0] for r in ids.select(lang).distinct().collect())
     number = {name: k for k, name in enumerate(languages)}
-    chosen = docs.filter(fit).select(doc_id, lang, text).join(F.broadcast(ids.distinct()), [doc_id, lang], "left_semi")
+    chosen = docs.filter(fit).select(doc_id, lang, text).join(F.broadcast(ids), [doc_id, lang], "left_semi")
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(part.column(1))

@@ -20,6 +20,7 @@ from linkloom.llm.common import (
     fit_logistic,
     held_out,
     keep_rows,
+    known_labels,
     labelled_sample,
     logistic,
     map_slices,
@@ -188,7 +189,8 @@ def train(
     """Fit on a bounded labelled sample: ``rows_per_class`` rows a class, texts up to ``MAX_TRAINING_BYTES``.
 
     Three quarters fit the model and one quarter the curve. Features are found
-    in the executors; the driver gets the feature numbers of the sample. With
+    in the executors; the driver gets the feature numbers of the sample. Labels
+    that differ within an id count as 1, and of several texts the smallest. With
     fewer than eight rows of a class the score is the share of label 1.
     """
     learn = ~held_out(F.col(doc_id), *HELD_OUT) & F.col(doc_id).isNotNull()
@@ -203,7 +205,7 @@ def train(
 
     schema = "label int, part int, features array<int>"
     rows = map_slices(sample, ["label", "part", text], work, schema).toArrow()
-    share = labels.filter(learn & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
+    share = known_labels(labels, label, learn, doc_id).agg(F.avg("label")).first()[0]
     lists = rows.column("features").combine_chunks()
     start = np.concatenate([[0], np.cumsum(np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64))])
     feature = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.int64)

@@ -1,10 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models with shared backoff counts.
 
-Toxic and ordinary texts have an interpolated Kneser-Ney model each of the
-bytes of their words, given up to ``ORDER`` predecessors. Both back off to one
-model of shorter contexts counted over all documents, so that rare expressions
-are priced by how the whole corpus spells. A text is compared by its
-length-normalised log-likelihood ratio; a logistic curve makes it a probability.
+Toxic and ordinary texts have two interpolated Kneser-Ney models each. One is of
+the bytes of their words, given up to ``ORDER`` predecessors; it backs off to a
+model of shorter contexts counted over all documents, so that rare forms are
+priced by how the whole corpus spells. The other is of whole words and backs off
+to how often all documents use them. A text is compared by its
+length-normalised log-likelihood ratios; a logistic curve makes them a probability.
 """
 
 from __future__ import annotations
@@ -16,16 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Words, fit_logistic, held_out, labelled_sample, logistic, map_slices
-from linkloom.llm.contexts import Level, ending, grams
+from linkloom.llm.common import (
+    Words, fit_logistic, held_out, known_labels, labelled_sample, logistic, map_slices, stored,
+)
+from linkloom.llm.contexts import Level, ending, grams, rows
 from linkloom.session import materialized
 
 ORDER, SHARED_ORDER = 6, 3
 #: Training sample: rows per class, and the longest text among them.
 ROWS_PER_CLASS = 4000
 MAX_TRAINING_BYTES = 1 << 16
+FEATURES = 7
 WINDOW = 32  # words of the stretch whose ratio counts besides the whole text's
-STRONG = 6.0  # ratio from which a word counts as a strong sign
+STRONG = 6.0  # ratio of bytes from which a word counts as a strong sign
+LEAST_TEXTS = 3  # texts of the sample that a word must stand in to have a ratio of its own
+TELLING = 2.5  # ratio of whole words from which a word is telling
 HELD_OUT = (3, 1)
 
 
@@ -44,14 +50,61 @@ def _counted(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
     return distinct, np.bincount(at, np.repeat(texts, coded), len(distinct))
 
 
-def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(gram, n)`` of the shared model: over all whole texts, words counted once per text."""
+def corpus_counts(docs: DataFrame, text: str = "text", vocabulary: np.ndarray | None = None) -> DataFrame:
+    """``(kind, gram, n)`` over all whole texts, words counted once per text.
+
+    Kind 0 are the grams of the shared model, 1 the words of a vocabulary of
+    sorted hashes, and 2 is the number of all words.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if vocabulary is None else vocabulary)
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
-        gram, n = _counted(Words(part.column(0)), SHARED_ORDER)
-        return pa.record_batch({"gram": pa.array(gram.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+        words, known = Words(part.column(0)), shared.value
+        first, _, texts = _distinct(words)
+        gram, coded = grams(words, first, SHARED_ORDER)
+        distinct, at = np.unique(gram, return_inverse=True)
+        n = np.bincount(at, np.repeat(texts, coded), len(distinct)).astype(np.int64)
+        here = np.flatnonzero(np.isin(words.hash[first], known))
+        key = np.concatenate([distinct, words.hash[first][here], np.zeros(1, np.uint64)])
+        kind = np.repeat(np.array([0, 1, 2], np.int32), [len(distinct), len(here), 1])
+        return pa.record_batch({
+            "kind": pa.array(kind), "gram": pa.array(key.view(np.int64)),
+            "n": pa.array(np.concatenate([n, texts[here], [texts.sum()]]).astype(np.int64)),
+        })
+
+    counts = map_slices(docs, [text], count, "kind int, gram bigint, n bigint")
+    return counts.groupBy("kind", "gram").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Lexicon:
+    """Words that the sample knows well enough, as sorted hashes, and log of their toxic over ordinary probability."""
+
+    hashes: np.ndarray
+    ratios: np.ndarray
+
+    @classmethod
+    def of(cls, label: np.ndarray, word: np.ndarray, n: np.ndarray, common: np.ndarray, common_n: np.ndarray, total: int) -> Lexicon:
+        """Kneser-Ney ratio of every word of ``common``, which says in how many of all texts it stands; ``total`` sums all words.
 
-    return map_slices(docs, [text], count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+        ``label``, ``word`` and ``n`` are the counts of texts per class in the sample.
+        """
+        order = np.argsort(common)
+        common, spread = common[order], common_n[order] / max(total, 1)
+        logs = []
+        for value in (0, 1):
+            mine = label == value
+            counts = n[mine]
+            once, twice = (np.count_nonzero(counts == k) for k in (1, 2))
+            discount = float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
+            by = np.argsort(word[mine])
+            own = rows(word[mine][by], counts[by, None].astype(float), common)[:, 0]
+            part = np.maximum(own - discount, 0) + discount * len(counts) * spread
+            logs.append(np.log(part / max(counts.sum(), 1)))
+        return cls(common, logs[1] - logs[0])
+
+    def look_up(self, hashes: np.ndarray) -> np.ndarray:
+        return rows(self.hashes, self.ratios[:, None], hashes)[:, 0]
 
 
 @dataclass
@@ -61,23 +114,31 @@ class Model:
     shared: list[Level]
     own: list[Level]
     discounts: list[float]
+    lexicon: Lexicon | None = None
     curve: np.ndarray | None = None
     constant: float = 0.5
 
     @classmethod
-    def of(cls, corpus: tuple[np.ndarray, np.ndarray], label: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
+    def of(
+        cls, corpus: tuple[np.ndarray, np.ndarray], label: np.ndarray, gram: np.ndarray, n: np.ndarray,
+        shorter: tuple[np.ndarray, np.ndarray] | None = None, once_twice: tuple[int, int] | None = None,
+    ) -> Model:
         """Model of corpus counts and of counts per label, both as grams of the longest context.
 
         The longest class contexts count occurrences, all shorter ones the kinds
         of bytes that precede them (continuation counts). Discounts follow from
-        the grams counted once and twice.
+        the grams counted once and twice. ``corpus`` may lack grams of contexts
+        that no class gram goes on from, which change no ratio; then ``shorter``
+        are all grams one byte shorter with the kinds of bytes before them, and
+        ``once_twice`` how many grams of the corpus are counted once and twice.
         """
+        if shorter is None:
+            shorter = np.unique(ending(corpus[0], SHARED_ORDER - 1), return_counts=True)
         shared, own = [], []
-        for order in range(SHARED_ORDER + 1):
-            if order == SHARED_ORDER:
-                shared.append(Level.of(*_zeros(corpus[0]), corpus[1], 1))
-            else:
-                shared.append(Level.of(*_zeros(ending(np.unique(ending(corpus[0], order + 1)), order)), 1, 1))
+        for order in range(SHARED_ORDER - 1):
+            shared.append(Level.of(*_zeros(ending(np.unique(ending(shorter[0], order + 1)), order)), 1, 1))
+        shared.append(Level.of(*_zeros(shorter[0]), shorter[1], 1))
+        shared.append(Level.of(*_zeros(corpus[0]), corpus[1], 1))
         for order in range(SHARED_ORDER + 1, ORDER + 1):
             if order == ORDER:
                 own.append(Level.of(gram, label, n, 2))
@@ -86,8 +147,10 @@ class Model:
                 kinds = np.concatenate([ending(g, order) for g in longer])
                 own.append(Level.of(kinds, np.repeat([0, 1], [len(g) for g in longer]), 1, 2))
         discounts = []
-        for level in [*shared, *own]:
+        for at, level in enumerate([*shared, *own]):
             once, twice = (np.count_nonzero(level.counts == k) for k in (1, 2))
+            if at == SHARED_ORDER and once_twice is not None:
+                once, twice = once_twice
             discounts.append(float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95)))
         return cls(shared, own, discounts)
 
@@ -101,9 +164,11 @@ class Model:
         return np.log(p[:, 1]) - np.log(p[:, 0])
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """Per text: mean ratio of a word, that of the most toxic stretch, share of strong words and log of their number."""
+        """Per text: mean ratio of a word, that of the most toxic stretch, share of strong words and log of their
+        number; log of the number of telling words, the largest ratio of a whole word, and log of the number of words.
+        """
         words, n = Words(column), len(column)
-        out = np.zeros((n, 4))
+        out = np.zeros((n, FEATURES))
         if not len(words.hash):
             return out
         first, word, _ = _distinct(words)
@@ -120,6 +185,13 @@ class Model:
         start = np.maximum(words.first[words.row], place - WINDOW + 1)
         running = np.concatenate([[0.0], np.cumsum(ratio)])
         full = np.flatnonzero(size)
+        if self.lexicon is not None:
+            whole = self.lexicon.look_up(words.hash[first])[word]
+            pair = np.unique(words.row.astype(np.int64) * len(first) + word)
+            telling = pair[self.lexicon.look_up(words.hash[first[pair % len(first)]]) > TELLING]
+            out[:, 6] = np.log1p(size)
+            out[:, 4] = np.log1p(np.bincount(telling // len(first), minlength=n))
+            out[full, 5] = np.maximum(np.maximum.reduceat(whole, words.first[full]), 0)
         out[full, 1] = np.maximum.reduceat((running[place + 1] - running[start]) / WINDOW, words.first[full])
         return out
 
@@ -141,15 +213,18 @@ def train(
 
     Of the sample (``rows_per_class`` rows a class, texts up to
     ``MAX_TRAINING_BYTES``) three quarters make the class models and one quarter
-    the curve. The driver gets the grams of that sample, and those of the shared
-    model: at most one per four bytes, however large the corpus. The sample is even
+    the curve. The driver gets the grams and words of that sample; of all
+    documents the counts of its words, the grams that continue a context of it,
+    and the grams of three bytes: all bounded by the sample, or by 2^24,
+    however large the corpus. The sample is even
     where the classes are large, so the curve is moved to the share of label 1
-    among all labelled documents that may be learnt from. With fewer than eight
-    rows of a class the score is that share (0.5 without labels).
+    among all labelled documents that may be learnt from. Labels that differ
+    within an id count as 1, and of several texts the smallest. With fewer than
+    eight rows of a class the score is that share (0.5 without labels).
     """
     spark = docs.sparkSession
     learn = ~held_out(F.col(doc_id), *HELD_OUT) & F.col(doc_id).isNotNull()
-    known = labels.filter(learn & F.col(label).cast("int").isin(0, 1)).groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("label"))
+    known = known_labels(labels, label, learn, doc_id)
     share = known.join(docs.select(doc_id), doc_id, "left_semi").agg(F.avg("label")).first()[0]
     sample = materialized(
         labelled_sample(docs, labels, label, learn, rows_per_class, MAX_TRAINING_BYTES, doc_id, text)
@@ -162,19 +237,35 @@ def train(
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for value in (0, 1):
-            gram, n = _counted(Words(part.column(1).filter(pa.array(part.column(0).to_numpy() == value))), ORDER)
-            out.append((np.full(len(gram), value, np.int32), gram.astype(np.int64), n.astype(np.int64)))
-        label_, gram, n = map(np.concatenate, zip(*out, strict=True))
-        return pa.record_batch({"label": pa.array(label_), "gram": pa.array(gram), "n": pa.array(n)})
-
-    counted = map_slices(sample.filter("part > 0"), ["label", text], count, "label int, gram bigint, n bigint")
-    counted = counted.groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
-    corpus = corpus_counts(docs, text).toArrow()
-    model = Model.of(
-        (corpus.column("gram").to_numpy().astype(np.uint64), corpus.column("n").to_numpy()),
-        counted.column("label").to_numpy(), counted.column("gram").to_numpy().astype(np.uint64),
-        counted.column("n").to_numpy(),
-    )
+            words = Words(part.column(1).filter(pa.array(part.column(0).to_numpy() == value)))
+            gram, n = _counted(words, ORDER)
+            first, _, texts = _distinct(words)
+            key = np.concatenate([gram, words.hash[first]])
+            whole = np.repeat([False, True], [len(gram), len(first)])
+            out.append((np.full(len(key), value, np.int32), whole, key.view(np.int64), np.concatenate([n, texts]).astype(np.int64)))
+        label_, whole, key, n = map(np.concatenate, zip(*out, strict=True))
+        return pa.record_batch({"label": pa.array(label_), "whole": pa.array(whole), "gram": pa.array(key), "n": pa.array(n)})
+
+    counted = map_slices(sample.filter("part > 0"), ["label", text], count, "label int, whole boolean, gram bigint, n bigint")
+    counted = counted.groupBy("label", "whole", "gram").agg(F.sum("n").alias("n")).toArrow()
+    label_, whole, key, n = (counted.column(c).to_numpy() for c in ("label", "whole", "gram", "n"))
+    whole, key = whole.astype(bool), key.view(np.uint64)
+    word, at = np.unique(key[whole], return_inverse=True)
+    vocabulary = word[np.bincount(at, n[whole], len(word)) >= LEAST_TEXTS]
+    corpus = stored(corpus_counts(docs, text, vocabulary), "counts")
+    # A class gram's context ends in the context of the shared gram that it backs off to.
+    wanted = np.unique(ending(key[~whole] >> np.uint64(8), SHARED_ORDER - 1)).astype(np.int64)
+    contexts = spark.createDataFrame(pa.table({"context": wanted}))
+    spelled = corpus.filter("kind = 0")
+    context = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * SHARED_ORDER) - 1))
+    going_on = _pairs(spelled.withColumn("context", context).join(F.broadcast(contexts), "context", "left_semi"))
+    last = F.col("gram").bitwiseAND(F.lit((1 << 8 * SHARED_ORDER) - 1))
+    shorter = _pairs(spelled.groupBy(last.alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    once_twice = tuple(spelled.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first())
+    total = corpus.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    model = Model.of(going_on, label_[~whole], key[~whole], n[~whole], shorter, once_twice)
+    common, common_n = _pairs(corpus.filter("kind = 1"))
+    model.lexicon = Lexicon.of(label_[whole], key[whole], n[whole], common, common_n, total)
     shared = spark.sparkContext.broadcast(model)
 
     def measure(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -182,9 +273,8 @@ def train(
         columns = {"label": part.column(0)} | {f"f{k}": pa.array(features[:, k]) for k in range(features.shape[1])}
         return pa.record_batch(columns)
 
-    aside = map_slices(
-        sample.filter("part = 0"), ["label", text], measure, "label int, f0 double, f1 double, f2 double, f3 double"
-    ).toPandas()
+    schema = "label int, " + ", ".join(f"f{k} double" for k in range(FEATURES))
+    aside = map_slices(sample.filter("part = 0"), ["label", text], measure, schema).toPandas()
     y = aside["label"].to_numpy(float)
     if 0 < y.sum() < len(y):
         model.curve = fit_logistic(aside.drop(columns="label").to_numpy(float), y)
@@ -194,6 +284,14 @@ def train(
     return model
 
 
+def _pairs(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams, in order, and their counts."""
+    rows = counts.select("gram", "n").toArrow()
+    gram = rows.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], rows.column("n").to_numpy()[order]
+
+
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, score)``: the probability that a whole text is toxic.
 
