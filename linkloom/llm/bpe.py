@@ -13,14 +13,15 @@ import re
 import struct
 from functools import lru_cache
 from itertools import chain
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from linkloom.llm.common import map_slices, strings
+from linkloom.llm.common import ENTRY_BYTES, map_slices, strings
 
-#: Chunks of text whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_CHUNKS = 400_000
+#: Bytes of the chunks of text, and as many of pre-tokens, whose ids a worker remembers during a task; beyond them a memory starts anew.
+CACHE_BYTES = 32 << 20
 
 # Field numbers and kinds of the sentencepiece model format.
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
@@ -98,21 +99,32 @@ class Codec:
         self.text_of = [str(rank) for rank in range(len(self.tokens))]
         self.merged: dict[str, tuple[int, ...]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = [0, 0]
+
+    def forget(self) -> None:
+        self.merged.clear()
+        self.known.clear()
+        self.held = [0, 0]
+
+    def _learn(self, memory: int, token: str, ids: tuple[int, ...]) -> None:
+        (self.merged, self.known)[memory][token] = ids
+        self.held[memory] += getsizeof(token) + getsizeof(ids) + ENTRY_BYTES
 
     def _merge(self, tokens: set[str]) -> None:
         """Learn the ids of pre-tokens: one id where the whole is ranked, else the merges of the model."""
-        if len(self.merged) >= CACHE_CHUNKS:
+        if self.held[0] > CACHE_BYTES:
             self.merged.clear()
+            self.held[0] = 0
         rest: list[str] = []
         for token in tokens - self.merged.keys():
             rank = self.whole.get(token.encode())
             if rank is None:
                 rest.append(token)
             else:
-                self.merged[token] = (rank,)
+                self._learn(0, token, (rank,))
         shown = [token.encode().decode("latin-1").translate(_TO_CHARS) for token in rest]
         for token, ids in zip(rest, self.model.encode(shown, num_threads=1), strict=True):
-            self.merged[token] = tuple(ids)
+            self._learn(0, token, tuple(ids))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text.
@@ -123,15 +135,16 @@ class Codec:
         at spaces that have no white space on either side.
         """
         cut = [_SINGLE.split(t) if _INSIDE.search(t) else t.split(" ") for t in texts]
-        if len(self.known) >= CACHE_CHUNKS:
+        if self.held[1] > CACHE_BYTES:
             self.known.clear()
+            self.held[1] = 0
         fresh = {chunk for chunks in cut for chunk in chunks[1:]} - self.known.keys()
         split = {chunk: self.split(" " + chunk) for chunk in fresh}
         heads = [self.split(chunks[0]) for chunks in cut]
         self._merge(set(chain.from_iterable(heads)).union(*split.values()))
         merged, known = self.merged, self.known
         for chunk, tokens in split.items():
-            known[chunk] = tuple(chain.from_iterable(map(merged.__getitem__, tokens)))
+            self._learn(1, chunk, tuple(chain.from_iterable(map(merged.__getitem__, tokens))))
         return [
             list(chain(chain.from_iterable(map(merged.__getitem__, head)), chain.from_iterable(map(known.__getitem__, chunks[1:]))))
             for head, chunks in zip(heads, cut, strict=True)
@@ -155,7 +168,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
         return pa.record_batch({"doc_id": part.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return map_slices(docs, [doc_id, text], work, f"doc_id {kind}, ids array<int>")
+    return map_slices(docs, [doc_id, text], work, f"doc_id {kind}, ids array<int>", lambda: codec(path, pattern).forget())
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -192,5 +205,6 @@ def digest(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return map_slices(
-        docs, [doc_id, text], work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        docs, [doc_id, text], work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        lambda: codec(path, pattern).forget(),
     )

@@ -16,6 +16,9 @@ from linkloom.session import materialized, scratch_path
 #: Text bytes that a Python worker looks at in one go; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
 
+#: What an entry of a dictionary takes besides its key and value.
+ENTRY_BYTES = 100
+
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -52,15 +55,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
 
 
 def map_slices(
-    docs: DataFrame, columns: list[str], work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    docs: DataFrame, columns: list[str], work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
+    at_end: Callable[[], None] | None = None,
 ) -> DataFrame:
-    """``work`` on every slice of the named columns; the last of them is the text."""
+    """``work`` on every slice of the named columns, the last of them the text; ``at_end`` after a task's last slice."""
 
     def run(batches):
-        for part in slices(batches, columns[-1]):
-            out = work(part)
-            if out is not None:
-                yield out
+        try:
+            for part in slices(batches, columns[-1]):
+                out = work(part)
+                if out is not None:
+                    yield out
+        finally:
+            if at_end is not None:
+                at_end()
 
     return docs.select(*columns).mapInArrow(run, schema)
 

@@ -33,8 +33,8 @@ DENSE = 32  # queries near more than this part of a shard are compared with all
 CELLS = 1 << 22  # numbers of an array of candidates
 #: Vectors within this cosine of a leader are found through it, so that tight groups are no islands of a graph.
 RADIUS = 0.95
-#: Vectors of a shard at most, and shards at least.
-SHARD_ROWS, LEAST_SHARDS = 100_000, 8
+#: Vectors of a shard at most, and shards at least where each gets so many vectors.
+SHARD_ROWS, LEAST_SHARDS, LEAST_ROWS = 100_000, 8, 64
 
 
 def _leaders(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,12 +42,16 @@ def _leaders(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     leaders, lead = np.zeros(0, np.int64), np.arange(len(vectors))
     for begin in range(0, len(vectors), 2 * BLOCK):
         block = np.arange(begin, min(begin + 2 * BLOCK, len(vectors)))
-        if len(leaders):
-            near = vectors[block] @ vectors[leaders].T
-            best = near.argmax(1)
-            led = near[np.arange(len(block)), best] >= RADIUS
-            lead[block[led]] = leaders[best[led]]
-            block = block[~led]
+        best, score = np.zeros(len(block), np.int64), np.full(len(block), -2.0, np.float32)
+        for k in range(0, len(leaders), CELLS // (2 * BLOCK)):  # so many leaders that their cosines fit
+            near = vectors[block] @ vectors[leaders[k : k + CELLS // (2 * BLOCK)]].T
+            top = near.argmax(1)
+            value = near[np.arange(len(block)), top]
+            better = value > score
+            best[better], score[better] = leaders[k + top[better]], value[better]
+        led = score >= RADIUS
+        lead[block[led]] = best[led]
+        block = block[~led]
         close = vectors[block] @ vectors[block].T >= RADIUS
         free = np.ones(len(block), bool)
         for k in range(len(block)):
@@ -331,77 +335,103 @@ def near_duplicates(
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every vector.
 
-    Equal vectors are one class and only the smallest id of a class is searched;
-    a link between classes counts for all members. Vectors that do not count
-    (see ``unit_rows``; those of another dimension than most included) link with
-    nothing. Null ids link with nothing either and have a null component; rows
-    that repeat an id and vector are copies of each other. Other columns are ignored.
+    Equal vectors are one class, of which one is searched; a link between
+    classes counts for all members. Vectors that do not count (see
+    ``unit_rows``) link with nothing, and vectors of another dimension not with
+    each other. Null ids link with nothing either and have a null component.
+    Rows that repeat an id and vector are copies of each other; several vectors
+    under one id have links of their own and one component. Other columns are ignored.
 
-    Shuffled are each shard's graph once per block of searches and each vector
-    once per shard. Of a block's links only their numbers per vector and a
-    spanning forest leave the task.
+    Every dimension has shards of its own. Shuffled are each shard's graph once
+    per block of searches and each vector once per shard of its dimension. Of a
+    block's links only their numbers per vector and a spanning forest leave the task.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     usable = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists(
         "v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     ) & F.exists("v", lambda x: x != 0)
-    rows = rows.filter(usable)
-    width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    rows = rows.filter(F.size("v") == (width["w"] if width else 0)).withColumn("same", F.sha2(F.to_binary(F.to_json("v"), F.lit("utf-8")), 256))
-    classes = materialized(rows.groupBy("same").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")))
-    member = materialized(rows.select("id", "same").join(classes, "same").select("id", "class", "copies"))
+    digest = F.sha2(F.to_binary(F.to_json("v"), F.lit("utf-8")), 256)
+    rows = rows.withColumn("same", F.when(usable, digest))
+    known = rows.filter("same IS NOT NULL")
+    classes = materialized(known.groupBy("same").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")))
+    # A class is named by its smallest id; where several vectors share that, all but one get a number above all ids.
+    owner = classes.groupBy("first").agg(F.min("same").alias("owner"))
+    spare = F.lit(1 << 62) + F.monotonically_increasing_id()
+    named = materialized(
+        classes.join(owner, "first")
+        .select("same", "first", "copies", F.when(F.col("same") == F.col("owner"), F.col("first")).otherwise(spare).alias("class"))
+    )
+    searched = known.join(named.select("same", F.col("first").alias("id"), "class", "copies"), ["same", "id"])
     searched = materialized(
-        rows.join(classes.withColumnRenamed("class", "id").select("id", "copies"), "id").dropDuplicates(["id"]).select("id", "copies", "v")
+        searched.groupBy("class", "copies").agg(F.first("v").alias("v")).withColumn("width", F.size("v"))
     )
-    total = searched.count()
-    shards = max(LEAST_SHARDS, -(-total // shard_rows))
-    chunks = max(1, -(-total // shard_rows))
+    sizes = searched.groupBy("width").count().collect()  # a row per dimension
+    dealt = [
+        (r["width"], max(1, min(LEAST_SHARDS, r["count"] // LEAST_ROWS), -(-r["count"] // shard_rows)), -(-r["count"] // shard_rows))
+        for r in sizes
+    ]
+    plan = F.broadcast(spark.createDataFrame(dealt or [(0, 1, 1)], "width int, shards int, chunks int"))
+    planned = searched.join(plan, "width")
 
     def build(group: pa.Table) -> pa.Table:
         good, unit = unit_rows(group.column("v").combine_chunks())
-        order = np.argsort(group.column("id").to_numpy()[good])
-        graph = Graph(unit[order], group.column("id").to_numpy()[good][order])
-        body = pickle.dumps((graph, group.column("copies").to_numpy()[good][order]))
-        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "graph": pa.array([body], pa.binary())})
-
-    dealt = searched.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    graphs = dealt.groupBy("shard").applyInArrow(build, "shard int, graph binary")
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<int>"))
-    asked = searched.select(
-        every.alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"),
-        F.lit(None).cast("binary").alias("graph"), "id", "v",
+        ids = group.column("class").to_numpy()[good]
+        order = np.argsort(ids)
+        body = pickle.dumps((Graph(unit[order], ids[order]), group.column("copies").to_numpy()[good][order]))
+        return pa.table({
+            "width": group.column("width")[:1], "shard": group.column("shard")[:1], "chunks": group.column("chunks")[:1],
+            "graph": pa.array([body], pa.binary()),
+        })
+
+    own_shard = F.pmod(F.xxhash64("class"), F.col("shards")).cast("int")
+    graphs = planned.withColumn("shard", own_shard).groupBy("width", "shard").applyInArrow(
+        build, "width int, shard int, chunks int, graph binary"
+    )
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = planned.select(
+        "width", numbers("shards").alias("shard"), F.pmod(F.xxhash64("class", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"),
+        F.lit(None).cast("binary").alias("graph"), F.col("class").alias("id"), "v",
     )
     given = graphs.select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<int>")).alias("chunk"), "graph",
+        "width", "shard", numbers("chunks").alias("chunk"), "graph",
         F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("array<double>").alias("v"),
     )
-    work = given.unionByName(asked).repartition(shards * chunks, "shard", "chunk")
-    work = work.sortWithinPartitions("shard", "chunk", F.col("id").asc_nulls_first())
+    tasks = max(1, sum(shards * chunks for _, shards, chunks in dealt))
+    work = given.unionByName(asked).repartition(tasks, "width", "shard", "chunk")
+    work = work.sortWithinPartitions("width", "shard", "chunk", F.col("id").asc_nulls_first())
 
     def search(batches):
-        graph = copies = None
+        held = graph = copies = None
         for batch in batches:
-            blobs = batch.column("graph")
-            starts = [k for k in range(batch.num_rows) if blobs[k].is_valid]
-            for first, last in zip([0, *starts], [*starts, batch.num_rows], strict=True):
-                part = batch.slice(first, last - first)
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("width", "shard", "chunk")])
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for first, last in zip([0, *edges], [*edges, len(keys)], strict=True):
+                part, key = batch.slice(first, last - first), keys[first].tolist()
+                if key != held:
+                    held, graph = key, None  # a shard without vectors has no graph
                 if part.num_rows and part.column("graph")[0].is_valid:
                     graph, copies = pickle.loads(part.column("graph")[0].as_py())
                     part = part.slice(1)
-                if part.num_rows:
+                if part.num_rows and graph is not None:
                     yield from _found(graph, copies, part, threshold)
 
     found = materialized(work.mapInArrow(search, "a bigint, b bigint, n bigint"))
     counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
-    near = components(found.filter("b IS NOT NULL").select("a", "b"))
-    known = member.join(counts.withColumnRenamed("a", "class"), "class", "left").join(near.withColumnRenamed("node", "class"), "class", "left")
-    known = known.groupBy("id").agg(
-        F.max(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.min(F.coalesce("component", "class")).alias("component")
+    # The classes of an id's vectors are joined.
+    member = materialized(known.select("id", "same").distinct().join(named, "same"))
+    several = member.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("last")).filter("b <> last")
+    joined = member.join(several.select("id", "b"), "id").filter("class <> b").select(F.col("class").alias("a"), "b")
+    near = components(found.filter("b IS NOT NULL").select("a", "b").unionByName(joined))
+    result = member.join(counts.withColumnRenamed("a", "class"), "class", "left").join(near.withColumnRenamed("node", "class"), "class", "left")
+    result = result.select(
+        F.col("id").alias("_key"), F.col("same").alias("_same"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"),
+        F.coalesce("component", "first").alias("component"),
     )
     own = F.col("_id")
-    out = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vec_id).cast("bigint").alias("_id"))
-    out = out.join(known.withColumnRenamed("id", "_key"), own == F.col("_key"), "left")
+    out = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vec_id).cast("bigint").alias("_id"), F.col(embedding).cast("array<double>").alias("v"))
+    out = out.withColumn("_vector", F.when(F.col("_id").isNotNull() & F.col("v").isNotNull(), digest)).drop("v")
+    out = out.join(result, (own == F.col("_key")) & (F.col("_vector") == F.col("_same")), "left")
     return out.select(
         "vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", own).alias("component_id"),
         F.coalesce(F.coalesce("component", own) == own, F.lit(True)).alias("kept"),

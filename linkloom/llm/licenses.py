@@ -86,12 +86,12 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class Automaton:
-    """Generalised suffix automaton over word numbers, with a place in each template for every state."""
+    """Generalised suffix automaton over word numbers, with all places in each template for every state."""
 
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     longest: list[int] = field(default_factory=lambda: [0])
-    place: list[dict[int, int]] = field(default_factory=lambda: [{}])
+    place: list[dict[int, list[int]]] = field(default_factory=lambda: [{}])
 
     def _new(self, longest: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
@@ -128,13 +128,13 @@ class Automaton:
             last = fresh
 
     def locate(self, template: int, symbols: list[int]) -> None:
-        """Note where a template first reads each of its runs: their last word's number, on all states that end there."""
+        """Note where a template reads each of its runs: their last words' numbers, on all states that end there."""
         state = 0
         for at, symbol in enumerate(symbols):
             state = self.step[state][symbol]
             up = state
-            while up > 0 and template not in self.place[up]:
-                self.place[up][template] = at
+            while up > 0:
+                self.place[up].setdefault(template, []).append(at)
                 up = self.link[up]
 
     def statistics(self, symbols: list[int]) -> list[tuple[int, int]]:
@@ -198,7 +198,7 @@ class Scanner:
         """Findings of every text: number of words, base places, and ``(template, start, stop, cover)`` spans."""
         words = Words(column, ascii_only=True)
         out = [{"n_words": int(n), "base": [], "spans": []} for n in words.count]
-        held: dict[int, list[tuple[int, int, int, int]]] = {}
+        held: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for row, first, last in self.runs(words):
             symbols = self.current[first : last + 1].tolist()
             statistics = self.automaton.statistics(symbols)
@@ -207,19 +207,20 @@ class Scanner:
                 self._whole(out[row], state, length, first + k - begin)
                 ended = k + 1 == len(statistics) or statistics[k + 1][1] != length + 1
                 if ended and length >= LEAST_RUN:
-                    for template, at in self.automaton.place[state].items():
+                    for template, places in self.automaton.place[state].items():
                         if self.sizes[template] > PHRASE_WORDS:
-                            held.setdefault(row, []).append((template, first + k - begin - length + 1, at - length + 1, length))
-        for row, matches in held.items():
-            out[row]["spans"] += self._chain(matches)
+                            stop = first + k - begin + 1
+                            held.setdefault((row, template), []).extend((stop, at + 1, length) for at in places)
+        for (row, template), matches in sorted(held.items()):
+            out[row]["spans"] += [(template, *span) for span in chains(matches, self.sizes[template])]
         return out
 
     def _whole(self, found: dict, state: int, length: int, at: int) -> None:
         """Short templates that end at this word, whole."""
         while state > 0:
-            for template, place in self.automaton.place[state].items():
+            for template, places in self.automaton.place[state].items():
                 size = self.sizes[template]
-                if place == size - 1 and size <= PHRASE_WORDS and self.automaton.longest[self.automaton.link[state]] < size <= length:
+                if places[-1] == size - 1 and size <= PHRASE_WORDS and self.automaton.longest[self.automaton.link[state]] < size <= length:
                     if self.is_base[template]:
                         found["base"].append((template, at - size + 1))
                     else:
@@ -227,23 +228,45 @@ class Scanner:
             state = self.automaton.link[state]
             length = min(length, self.automaton.longest[state]) if state > 0 else 0
 
-    def _chain(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """Chains of runs in the order of both file and template, with little between them, that cover enough."""
-        out = []
-        for template in sorted({m[0] for m in matches}):
-            size, chain = self.sizes[template], None
-            for _, start, at, length in sorted(m for m in matches if m[0] == template):
-                if chain and start <= chain[1] + GAP and at + length > chain[2]:
-                    fresh = min(length, start + length - chain[1], at + length - chain[2])
-                    if fresh > 0:
-                        chain = [chain[0], start + length, at + length, chain[3] + fresh]
-                    continue
-                if chain and chain[3] >= LEAST_COVER * size:
-                    out.append((template, chain[0], chain[1], min(1.0, chain[3] / size)))
-                chain = [start, start + length, at + length, length]
-            if chain and chain[3] >= LEAST_COVER * size:
-                out.append((template, chain[0], chain[1], min(1.0, chain[3] / size)))
-        return out
+
+def chains(matches: list[tuple[int, int, int]], size: int, gap: int = GAP, cover: float = LEAST_COVER) -> list[tuple[int, int, float]]:
+    """``(start, stop, cover)`` of the heaviest chains of runs that cover enough of a template of ``size`` words, in order.
+
+    A run ``(stop in the file, stop in the template, length)`` may follow another
+    that ends earlier in both and, in the file, at most ``gap`` words before it
+    starts; where they overlap, only its new words count. The heaviest chain is
+    taken first, of equal ones that nearest to the middle; then the runs wholly
+    before it and those wholly after it are chained on their own.
+    """
+    out, open_ = [], [np.array(sorted(matches), np.int64)]
+    while open_:
+        runs = open_.pop()
+        weight, start = _heaviest(runs, gap)
+        best = np.flatnonzero(weight == weight.max())
+        last = int(best[np.abs(best - len(weight) // 2).argmin()])
+        if weight[last] < cover * size:
+            continue
+        begin, stop = int(start[last]), int(runs[last, 0])
+        out.append((begin, stop, min(1.0, int(weight[last]) / size)))
+        sides = (runs[runs[:, 0] <= begin], runs[runs[:, 0] - runs[:, 2] >= stop])
+        open_ += [side for side in sides if len(side)]
+    return sorted(out)
+
+
+def _heaviest(runs: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the heaviest chain that ends with each run, and where it starts in the file."""
+    stop, at, length = runs.T
+    weight, start = length.copy(), stop - length
+    reach = np.searchsorted(stop, stop - length - gap)  # runs that end at most a gap before
+    for i in range(1, len(runs)):
+        j = slice(int(reach[i]), i)
+        fresh = np.minimum(np.minimum(stop[i] - stop[j], at[i] - at[j]), length[i])
+        total = np.where(fresh > 0, weight[j] + fresh, 0)
+        if len(total):
+            k = int(total.argmax())
+            if total[k] > weight[i]:
+                weight[i], start[i] = total[k], start[int(reach[i]) + k]
+    return weight, start
 
 
 def spans(docs: DataFrame, scanner: Scanner | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,19 +5,20 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import slices, strings
+from linkloom.llm.common import ENTRY_BYTES, slices, strings
 from linkloom.session import materialized
 
 CAPACITY = 2048
 END_ID = 0
-#: Chunks of text whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_CHUNKS = 600_000
+#: Bytes of the chunks of text whose ids a worker remembers during a task; beyond them the memory starts anew.
+CACHE_BYTES = 32 << 20
 
 
 def _latin(text: str) -> bool:
@@ -44,14 +45,23 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
+    def _learn(self, chunk: str, ids: bytes) -> None:
+        self.known[chunk] = ids
+        self.held += getsizeof(chunk) + getsizeof(ids) + ENTRY_BYTES
 
     def _fresh(self, chunks: list[str]) -> None:
         for chunk, encoding in zip(chunks, self.model.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(encoding.ids, "<u4").tobytes()
+            self._learn(chunk, np.array(encoding.ids, "<u4").tobytes())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) >= CACHE_CHUNKS:
-            self.known.clear()
+        if self.held > CACHE_BYTES:
+            self.forget()
         # The tokenizer lower-cases anyway; where that is plain, doing it first makes stretches recur.
         cut = [(t.lower() if _latin(t) else t).replace("\n", " ").split(" ") for t in texts]
         missing = {chunk for chunks in cut for chunk in chunks} - self.known.keys()
@@ -61,7 +71,7 @@ class Encoder:
         self._fresh(sorted((missing - split | {c[:-1] for c in split} | {".", ","}) - self.known.keys()))
         known = self.known
         for chunk in split:
-            known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
+            self._learn(chunk, known[chunk[:-1]] + known[chunk[-1]])
         return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
 
 
@@ -77,21 +87,27 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "
     """
     end = np.array([END_ID], "<u4").tobytes()
 
+    def cut(ids: pa.Array, encoded: list[bytes]) -> pa.RecordBatch:
+        out = [[], [], [], [], []]
+        for row, raw in enumerate(encoded):
+            raw += end
+            for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
+                body = raw[at : at + 4 * capacity]
+                for column, value in zip(out, (row, piece, at // 4, len(body) // 4, zlib.crc32(body)), strict=True):
+                    column.append(value)
+        return pa.record_batch({
+            "doc_id": ids.take(pa.array(out[0], pa.int64())), "piece": pa.array(out[1], pa.int32()),
+            "start": pa.array(out[2], pa.int64()), "length": pa.array(out[3], pa.int64()),
+            "ids_crc32": pa.array(out[4], pa.int64()),
+        })
+
     def work(batches):
         tool = encoder(path)
-        for part in slices(batches, text):
-            ids, out = part.column(0), [[], [], [], [], []]
-            for row, raw in enumerate(tool.encode(strings(part.column(1)).to_pylist())):
-                raw += end
-                for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    body = raw[at : at + 4 * capacity]
-                    for column, value in zip(out, (row, piece, at // 4, len(body) // 4, zlib.crc32(body)), strict=True):
-                        column.append(value)
-            yield pa.record_batch({
-                "doc_id": ids.take(pa.array(out[0], pa.int64())), "piece": pa.array(out[1], pa.int32()),
-                "start": pa.array(out[2], pa.int64()), "length": pa.array(out[3], pa.int64()),
-                "ids_crc32": pa.array(out[4], pa.int64()),
-            })
+        try:
+            for part in slices(batches, text):
+                yield cut(part.column(0), tool.encode(strings(part.column(1)).to_pylist()))
+        finally:
+            tool.forget()  # the worker outlives the task
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(

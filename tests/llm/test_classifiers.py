@@ -196,6 +196,56 @@ def test_license_notices_with_changes(documents):
     assert (span["label"], span["start"]) == ("mit", 1)
 
 
+def brute_chains(matches, gap):
+    """Weight of the heaviest chain, over all sequences of runs."""
+    matches = sorted(matches)
+    best = 0
+    stack = [(m, m[2]) for m in matches]
+    while stack:
+        (stop, at, _), weight = stack.pop()
+        best = max(best, weight)
+        for s, a, n in matches:
+            fresh = min(n, s - stop, a - at)
+            if fresh > 0 and s - n <= stop + gap:
+                stack.append(((s, a, n), weight + fresh))
+    return best
+
+
+def test_heaviest_chain_against_all_sequences():
+    r = random.Random(2)
+    for _ in range(400):
+        matches = list({(r.randrange(1, 40), r.randrange(1, 20), r.randrange(1, 6)) for _ in range(r.randrange(1, 9))})
+        gap = r.choice([0, 3, 10])
+        found = licenses.chains(matches, 1, gap, 0)
+        best = brute_chains(matches, gap)
+        weight, _ = licenses._heaviest(np.array(sorted(matches), np.int64), gap)
+        assert weight.max() == best and found and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+        assert licenses.chains(matches, 128, gap, best / 128) and not licenses.chains(matches, 128, gap, (best + 1) / 128)
+
+
+def test_repeated_words_do_not_break_a_notice(documents):
+    mit = licenses.NOTICES["mit"][0].split()
+    tail = mit[-6:]
+    broken = mit[:30] + tail + mit[30:60] + tail + mit[60:]
+    rows = [(1, " ".join(broken)), (2, " filler ".join([" ".join(mit)] * 50)), (3, " ".join(mit[40:] + mit[:30]))]
+    got = {g["doc_id"]: g for g in licenses.scan(documents(*rows)).collect()}
+    assert got[1]["labels"] == got[2]["labels"] == "mit" and got[1]["score"] == got[2]["score"] == 1
+    assert licenses.spans(documents(*rows)).filter("doc_id = 2").count() == 50
+    assert got[3]["labels"] == "mit" and 0.5 < got[3]["score"] < 0.8
+
+
+def test_templates_with_repeats_are_found_whole():
+    r = random.Random(11)
+    for _ in range(40):
+        template = " ".join(r.choice(["a", "b", "c", "d"]) for _ in range(r.randrange(14, 30)))
+        scanner = licenses.Scanner(base={}, notices={"own": [template]})
+        words = template.split()
+        cut = r.randrange(5, len(words) - 5)
+        text = " ".join(["x"] * 3 + words[:cut] + ["y"] * r.randrange(0, 20) + words[cut:] + ["x"] * 3)
+        spans = scanner.scan(pa.array([text]))[0]["spans"]
+        assert max(s[3] for s in spans) >= (len(words) - 3) / len(words) - 1e-9 if min(cut, len(words) - cut) >= licenses.LEAST_RUN else spans
+
+
 def test_suffix_automaton_statistics():
     r = random.Random(7)
     for _ in range(30):

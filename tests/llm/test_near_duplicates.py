@@ -200,6 +200,45 @@ def test_no_vectors(spark):
     assert [g["kept"] for g in hnsw.near_duplicates(vectors(spark, [(None, [1.0, 2.0], 0, ""), (None, None, 0, "")])).collect()] == [True, True]
 
 
+def plain_links(rows):
+    """Links and component of every row, from all pairs; equal ids are one node."""
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or not a:
+            return -1
+        a, b = np.asarray(a, float), np.asarray(b, float)
+        return float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)) if np.linalg.norm(a) and np.linalg.norm(b) else -1
+
+    single = [(i, None if v is None else np.asarray(v, np.float32).astype(float).tolist()) for i, v in rows]
+    links = [[k for k, (_, w) in enumerate(single) if k != j and cosine(v, w) >= hnsw.THRESHOLD] for j, (_, v) in enumerate(single)]
+    near = closure([i for i, _ in rows], [(rows[j][0], rows[k][0]) for j, ks in enumerate(links) for k in ks])
+    return sorted((i, len(ks), near[i], near[i] == i) for (i, _), ks in zip(rows, links, strict=True))
+
+
+@pytest.mark.parametrize("partitions", ["1", "8"])
+def test_small_tables_equal_all_pairs(spark, partitions):
+    r = np.random.default_rng(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for n in (1, 2, 3, 8, 60, 130):
+            x = [np.ones(6) + 0.05 * r.normal(size=6) for _ in range(n // 2)] + [r.normal(size=6) for _ in range(n - n // 2)]
+            rows = [(11 * k, v.tolist()) for k, v in enumerate(x)]
+            got = hnsw.near_duplicates(vectors(spark, [(i, v, 0, "") for i, v in rows])).collect()
+            assert sorted(tuple(g) for g in got) == plain_links(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_other_dimensions_and_repeated_ids_equal_all_pairs(spark):
+    r = np.random.default_rng(12)
+    rows = [(k, (np.ones(8) + 0.1 * r.normal(size=8)).tolist()) for k in range(80)]
+    rows += [(100 + k, r.normal(size=8).tolist()) for k in range(40)]
+    rows += [(200 + k, [1.0, 2.0, 3.0 + 0.1 * k]) for k in range(5)] + [(300, [4.0]), (301, [-4.0]), (302, [8.0])]
+    rows += [(100, r.normal(size=8).tolist()), (101, rows[0][1]), (102, rows[82][1]), (102, rows[82][1]), (300, [1.0, 2.0, 3.0])]
+    got = hnsw.near_duplicates(vectors(spark, [(i, v, 0, "") for i, v in rows])).collect()
+    assert sorted(tuple(g) for g in got) == plain_links(rows)
+
+
 def test_pipeline_stages(spark, table):
     docs = table("documents", "0.01")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language ID", "quality classifier", "MinHash near-dedup", "best-fit packing"]

@@ -164,3 +164,38 @@ def test_plan_is_as_good_as_best_fit_of_single_pieces():
 def test_empty_tables(documents):
     none = documents()
     assert fingerprint.fingerprints(none).count() == bpe.digest(none, RANKS, public_tokenizers.PATTERN).count() == packing.pack(none, WORDS).count() == 0
+
+
+def test_caches_stay_under_their_bounds_and_end_with_the_task(spark, documents, monkeypatch):
+    import gc
+    import random
+
+    import pyarrow as pa
+    import public_tokenizers
+
+    r = random.Random(6)
+    fresh = lambda n: " ".join("".join(r.choices("abcdefgh", k=9)) for _ in range(n))
+    packer = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for module in (packing, bpe):
+        monkeypatch.setattr(module, "CACHE_BYTES", 1 << 20)
+    slice_bytes = 0
+    for _ in range(12):
+        text = fresh(4000)
+        slice_bytes = max(slice_bytes, 4000 * 300)
+        packer.encode([text])
+        codec.encode([text])
+        assert packer.held <= (1 << 20) + slice_bytes and max(codec.held) <= (1 << 20) + slice_bytes
+    packer.forget()
+    codec.forget()
+    gc.collect()
+    assert not packer.known and not codec.known and not codec.merged and packer.held == sum(codec.held) == 0
+    path = "byte_bpe_50k.tiktoken"
+    bpe.digest(documents(*((k, fresh(50)) for k in range(20))), public_tokenizers.path(path), public_tokenizers.PATTERN).collect()
+
+    def left(batches):  # what a worker still holds in a later task
+        tool = bpe.codec(public_tokenizers.path(path), public_tokenizers.PATTERN)
+        for batch in batches:
+            yield pa.record_batch({"n": pa.array([len(tool.known) + len(tool.merged)] * batch.num_rows, pa.int64())})
+
+    assert {x["n"] for x in spark.range(40).repartition(4).mapInArrow(left, "n bigint").collect()} == {0}
