@@ -15,6 +15,7 @@ ALLOW, BLOCK = "allow", "block"
 #: Training sample: URLs per verdict.
 ROWS_PER_VERDICT = 5000
 TREES, DEPTH = 20, 4
+LEAST_LEAF = 5  # training URLs in a leaf, so that trees do not learn single ones
 TRAINING_PARTITIONS = 6
 
 # Verdict, host and path of each rule.
@@ -76,11 +77,31 @@ def judged(pages: DataFrame, url: str, page_id: str, rules=None) -> DataFrame:
     })
 
 
-def _described(rows: DataFrame, suffix: DataFrame, section: DataFrame) -> DataFrame:
+def _teaches() -> Column:
+    """Half of the URLs, by hash: those that the trees are fitted on. What they read of suffixes and sections is the other half's."""
+    return F.pmod(F.xxhash64("u", F.lit("half")), F.lit(2)) == 0
+
+
+def _rule_statistics(rows: DataFrame, key: str) -> DataFrame:
+    """Pages of each suffix or section, and the smoothed share that rules block: of all, and of those that do not teach.
+
+    A training URL whose own verdict were in its features would give the answer away.
+    """
+    known = F.when(F.col("rule_verdict") == BLOCK, 1.0).when(F.col("rule_verdict") == ALLOW, 0.0)
+    aside = F.when(~_teaches(), known)
+    share = lambda verdict: (F.coalesce(F.sum(verdict), F.lit(0.0)) + 0.5) / (F.count(verdict) + 1.0) - 0.5
+    return rows.groupBy(key).agg(
+        F.log1p(F.count(F.lit(1))).alias(f"{key}_pages"), share(known).alias(f"{key}_blocked"), share(aside).alias(f"{key}_aside")
+    )
+
+
+def _described(rows: DataFrame, suffix: DataFrame, section: DataFrame, training: bool) -> DataFrame:
     """Lexical features and the statistics of suffix and first path section; smoothed, so unknown ones are neutral."""
     out = rows.join(suffix, "suffix", "left").join(section, "section", "left")
     lexical = {name: F.expr(text).cast("double") for name, text in _LEXICAL.items()}
-    return out.withColumns(lexical | {c: F.coalesce(c, F.lit(0.0)) for c in _SUFFIX})
+    blocked = "aside" if training else "blocked"
+    names = dict(zip(_SUFFIX, ("suffix_pages", f"suffix_{blocked}", f"section_{blocked}"), strict=True))
+    return out.withColumns(lexical | {name: F.coalesce(column, F.lit(0.0)) for name, column in names.items()})
 
 
 def classify(
@@ -91,39 +112,42 @@ def classify(
 
     A fitting rule decides; the trees, trained on URLs that rules decide, judge
     the others, ``score`` being their probability of ``block`` (null where a
-    rule decides). Suffix statistics count all pages; the trees are fitted on at
-    most ``rows_per_verdict`` distinct URLs per verdict, those with the least hashes, which
-    weigh as much as all distinct URLs of their verdict. A null or malformed URL has an empty host and path and is judged by its features.
-    Repeated rows repeat; other columns are ignored. If rules decide only one
-    way, so do the trees; without any decided page they allow.
+    rule decides). Suffix and section statistics count all pages, for a training URL
+    those of the half of all URLs that it is not in; the trees are fitted on at
+    most ``rows_per_verdict`` distinct URLs per verdict of the other half, those with the least hashes, which
+    weigh as much as all distinct URLs of their verdict there. A null or malformed URL has an empty host and path and is judged by its features.
+    Repeated rows repeat; other columns are ignored. If the half to
+    fit on lacks a verdict, that which more distinct URLs have stands for the
+    trees; without any decided page they allow.
     """
     rows = judged(pages, url, page_id, rules)
     known = F.when(F.col("rule_verdict") == BLOCK, 1.0).when(F.col("rule_verdict") == ALLOW, 0.0)
-    blocked = (F.coalesce(F.sum(known), F.lit(0.0)) + 0.5) / (F.count(known) + 1.0) - 0.5
-    suffix = rows.groupBy("suffix").agg(F.log1p(F.count(F.lit(1))).alias("f_suffix_pages"), blocked.alias("f_suffix_blocked"))
-    section = rows.groupBy("section").agg(blocked.alias("f_section_blocked"))
-    suffix, section = materialized(suffix), materialized(section)
+    suffix, section = materialized(_rule_statistics(rows, "suffix")), materialized(_rule_statistics(rows, "section"))
     decided = rows.filter("rule_verdict IS NOT NULL").dropDuplicates(["u"])
-    sample = sample_rows(decided, "u", "rule_verdict", rows_per_verdict)
-    full = decided.select("u", "rule_verdict").groupBy("rule_verdict").count().collect()
+    sample = sample_rows(decided.filter(_teaches()), "u", "rule_verdict", rows_per_verdict)
+    full = decided.groupBy("rule_verdict").agg(F.count(F.lit(1)).alias("all"), F.count_if(_teaches()).alias("count")).collect()
     weight = F.lit(1.0)
     for r in full:
+        if not r["count"]:
+            continue
         weight = F.when(F.col("rule_verdict") == r["rule_verdict"], r["count"] / min(r["count"], rows_per_verdict)).otherwise(weight)
     # A bounded sample in a few partitions: every level of every tree is a pass over them.
     training = materialized(
-        _described(sample, suffix, section).withColumns({"label": known, "weight": weight})
+        _described(sample, suffix, section, True).withColumns({"label": known, "weight": weight})
         .select("label", "weight", *FEATURES).coalesce(TRAINING_PARTITIONS)
     )
     classes = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
     base = ["page_id", "host", "path", "rule"]
     if len(classes) < 2:
-        otherwise = F.lit(BLOCK if 1.0 in classes else ALLOW)
+        more = {r["rule_verdict"]: r["all"] for r in full}
+        otherwise = F.lit(BLOCK if more.get(BLOCK, 0) > more.get(ALLOW, 0) else ALLOW)
         return rows.select(*base, F.coalesce("rule_verdict", otherwise).alias("verdict"), F.lit(None).cast("double").alias("score"))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="_features")
     trees = GBTClassifier(
-        featuresCol="_features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=1
+        featuresCol="_features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH,
+        minInstancesPerNode=LEAST_LEAF, seed=1,
     ).fit(vectors.transform(training))
-    open_ = _described(rows.filter("rule_verdict IS NULL"), suffix, section)
+    open_ = _described(rows.filter("rule_verdict IS NULL"), suffix, section, False)
     scored = trees.transform(vectors.transform(open_)).withColumn("score", vector_to_array("probability")[1])
     scored = scored.select(*base, F.when(F.col("score") >= 0.5, BLOCK).otherwise(ALLOW).alias("verdict"), "score")
     ruled = rows.filter("rule_verdict IS NOT NULL").select(*base, F.col("rule_verdict").alias("verdict"), F.lit(None).cast("double").alias("score"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linkloom.llm import langid, licenses, quality, toxicity, urlfilter
@@ -297,6 +300,117 @@ def test_url_scores_do_not_depend_on_the_sample_size(spark):
         assert got.agg(F.avg("score")).first()[0] < 0.3
 
 
+def test_trees_judge_unknown_hosts_as_rules_judge_alike_urls(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    alike = {"good": lambda: f"/{word()}/{word()}", "bad": lambda: f"/{r.randrange(10**12)}/{word()}?id={r.randrange(10**9)}&s={r.randrange(99)}"}
+    rows = [(f"{k}{i % 7}.net", alike[k]()) for k in ("good", "bad") for i in range(400)]
+    unknown = [(f"x{i % 9}.info", k, alike[k]()) for k in ("good", "bad") for i in range(200)]
+    pages = [(k, f"https://{h}{p}") for k, (h, p) in enumerate(rows)] + [(10_000 + k, f"https://{h}{p}") for k, (h, _, p) in enumerate(unknown)]
+    rules = [("allow", f"good{i}.net", "/") for i in range(7)] + [("block", f"bad{i}.net", "/") for i in range(7)]
+    got = urlfilter.classify(spark.createDataFrame(pages, "page_id BIGINT, url STRING"), rules=rules).collect()
+    right = [g["verdict"] == ("block" if unknown[g["page_id"] - 10_000][1] == "bad" else "allow") for g in got if g["page_id"] >= 10_000]
+    assert len(right) == 400 and np.mean(right) > 0.97
+    assert all((g["verdict"] == "block") == rows[g["page_id"]][0].startswith("bad") for g in got if g["page_id"] < 10_000)
+
+
+def test_trees_do_not_read_labels_off_their_own_statistics(spark):
+    r = random.Random(9)
+    # Every decided section stands once: only its own label could tell, so the trees must not trust sections.
+    rows = [(k, f"https://{'a' if k % 2 else 'b'}.net/s{k}x/{'9' * (k % 2)}{r.randrange(10**5, 10**6)}") for k in range(600)]
+    rules = [("allow", "a.net", "/"), ("block", "b.net", "/")]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING")
+    rows_ = urlfilter.judged(pages, "url", "page_id", rules)
+    section = urlfilter._rule_statistics(rows_, "section")
+    suffix = urlfilter._rule_statistics(rows_, "suffix")
+    read = urlfilter._described(rows_.filter(urlfilter._teaches()), suffix, section, True)
+    assert read.count() > 200 and [x[0] for x in read.select("f_section_blocked").distinct().collect()] == [0.0]
+    assert read.select("f_suffix_blocked").distinct().count() == 1  # nor does a suffix tell folds apart
+    full = urlfilter._described(rows_, suffix, section, False)
+    assert sorted(x[0] for x in full.select("f_section_blocked").distinct().collect()) == [-0.25, 0.25]
+
+
+def plain_features(url):
+    after = url.split("://", 1)[1] if "://" in url else ""
+    cut = min((after.find(c) for c in "/?#" if c in after), default=len(after))
+    host, rest = after[:cut], after[cut:]
+    path = rest[: min((rest.find(c) for c in "?#" if c in rest), default=len(rest))]
+    n = len(url)
+    entropy = -sum(url.count(c) / n * math.log2(url.count(c) / n) for c in set(url)) if n else 0.0
+    parameters = len(re.findall(r"[?&][^=&#]+", url))
+    return (n, len(host), path.count("/"), host.count("."), sum(c in "0123456789" for c in url) / max(n, 1),
+            sum(c in "0123456789" for c in path), host.count("-"), parameters, float("#" in url), float(url.startswith("https:")), entropy)
+
+
+def test_lexical_features_against_plain_python(spark):
+    r = random.Random(13)
+    urls = ["", "x", "https://a-b.c.org/1/22?x=1&y&=3#f?g=1", "http://é.com/ñ?a=b", "ftp://h", "https://h?q=1/2"]
+    urls += ["".join(r.choices("ab1-./?&=#:é", k=r.randrange(40))) for _ in range(100)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id BIGINT, url STRING")
+    rows = urlfilter.judged(pages, "url", "page_id")
+    got = rows.select("page_id", *[F.expr(text).cast("double").alias(name) for name, text in urlfilter._LEXICAL.items()]).collect()
+    for g in got:
+        assert tuple(g)[1:] == pytest.approx(plain_features(urls[g["page_id"]]))
+
+
+def test_log_count_ratios_and_margin_against_plain_python():
+    r = random.Random(17)
+    texts = [" ".join(r.choices(["good", "fine", "text"] if k % 2 else ["bad", "junk", "text"], k=6)) for k in range(80)]
+    label = np.array([k % 2 for k in range(80)])
+    aside = np.arange(80) % 4 == 0
+    row, feature = quality.indicators(pa.array(texts))
+    start = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=80))])
+    model = quality.fit(start, feature, label, aside, 0.5)
+    held = [set(feature[row == k].tolist()) for k in range(80)]
+    docs = [(held[k], label[k]) for k in range(80) if not aside[k]]
+    counts = [{}, {}]
+    for own, y in docs:
+        for f in own:
+            counts[y][f] = counts[y].get(f, 0) + 1
+    totals = [sum(c.values()) + quality.SMOOTHING * quality.FEATURES for c in counts]
+    ratio = {
+        f: math.log((counts[1].get(f, 0) + 1) / totals[1]) - math.log((counts[0].get(f, 0) + 1) / totals[0])
+        for f in {*counts[0], *counts[1]} if counts[0].get(f, 0) + counts[1].get(f, 0) >= quality.LEAST_DOCUMENTS
+    }
+    assert set(np.flatnonzero(model.weights).tolist()) <= set(ratio)
+    weight = {f: model.weights[f] / ratio[f] for f in ratio if ratio[f]}
+
+    def objective(w, b):  # hinge loss over scaled indicators, the intercept regularised like a weight
+        loss = sum(max(0.0, 1 - (2 * y - 1) * (sum(w[f] * ratio[f] for f in own if f in w) + b)) for own, y in docs)
+        return 0.5 * (sum(x * x for x in w.values()) + b * b) + quality.COST * loss
+
+    best = objective(weight, model.intercept)
+    for _ in range(300):
+        scale = r.choice([0.3, 0.03, 0.003])
+        other = {f: x + scale * r.gauss(0, 1) * (r.random() < 0.3) for f, x in weight.items()}
+        assert objective(other, model.intercept + scale * r.gauss(0, 1)) >= best - 1e-3 * max(best, 1)
+    assert model.margin(pa.array(texts)) == pytest.approx([sum(model.weights[f] for f in own) + model.intercept for own in held])
+
+
+def test_samples_take_the_same_rows_as_a_full_ranking_without_sorting_a_class(spark):
+    from linkloom.llm.common import sample_rows
+
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    want = rows.withColumn("n", F.row_number().over(order)).filter("n <= 1500").drop("n")
+    got = sample_rows(rows, "doc_id", "label", 1500)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window"):]
+    assert "xxhash64" in below[below.index("Filter"):]  # only rows below the bound of their label reach the window
+    few = sample_rows(rows.filter("doc_id < 40"), "doc_id", "label", 1500)
+    assert few.count() == 40
+
+
+def test_smallest_of_several_texts_and_any_label_one_teach(spark, documents):
+    from linkloom.llm.common import labelled_sample
+
+    docs = documents((1, "b"), (1, "a"), (2, "c"), (3, None), (4, "x" * 99))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, 0), (2, 1, 0), (3, 1, 1), (4, 1, 1), (5, 1, 1)], "doc_id BIGINT, quality INT, toxic INT")
+    got = labelled_sample(docs, labels, "toxic", F.lit(True), 10, 50)
+    assert sorted(tuple(r) for r in got.select("doc_id", "label", "text").collect()) == [(1, 1, "a"), (2, 0, "c")]
+
+
 def test_indicators_are_distinct_pairs():
     row, feature = quality.indicators(pa.array(["A b, B!! b b", None, "", "A b, B!! b b"]))
     pairs = list(zip(row.tolist(), feature.tolist(), strict=True))
