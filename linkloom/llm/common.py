@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from linkloom.session import materialized, scratch_path
 
 #: Text bytes that a Python worker looks at in one go; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: What an entry of a dictionary takes besides its key and value.
 ENTRY_BYTES = 100
@@ -42,16 +43,29 @@ def strings(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches by text bytes, so that memory follows the longest text and not the row count."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        ends, start = np.cumsum(sizes, dtype=np.int64), 0
-        while start < batch.num_rows:
-            done = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            ends, start = np.cumsum(sizes, dtype=np.int64), 0
+            while start < batch.num_rows:
+                done = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+                yield batch.slice(start, stop - start)
+                start = stop
+            batch = None
+    finally:
+        give_back()
 
 
 def map_slices(

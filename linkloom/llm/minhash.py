@@ -26,7 +26,7 @@ BANDS, ROWS = 12, 4
 RARE = 0.01
 #: Documents counted together when frequent shingles are looked for.
 CHUNK_DOCUMENTS = 4096
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 #: Parts that the candidates of one document are spread over.
 SALTS = 32
 #: Documents of a bucket that are held while the others stream past.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from functools import lru_cache
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import ENTRY_BYTES, slices, strings
+from linkloom.llm.common import ENTRY_BYTES, give_back, slices, strings
 from linkloom.session import materialized
 
 CAPACITY = 2048
@@ -42,6 +43,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads would keep memory of their own
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
@@ -107,7 +109,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "
             for part in slices(batches, text):
                 yield cut(part.column(0), tool.encode(strings(part.column(1)).to_pylist()))
         finally:
-            tool.forget()  # the worker outlives the task
+            tool = None
+            encoder.cache_clear()  # the worker outlives the task; the model is read again in less than a tenth of a second
+            give_back()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(
