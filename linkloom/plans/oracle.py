@@ -366,6 +366,13 @@ ORACLE: dict[str, str] = {
     "warc_roundtrip": f"""WITH {_RESULTS}
         SELECT domain, url AS target_uri, 200 AS http_status, n_bytes, md5(html) AS digest,
           at_s * 1000000 AS date_us FROM results""",
+    "warc_source": f"""WITH {_RESULTS}
+        SELECT domain, url AS target_uri, 200 AS http_status, n_bytes, md5(html) AS digest,
+          at_s * 1000000 AS date_us FROM results""",
+    "archive_fetch": f"""WITH {_RESULTS},
+        firsts AS (SELECT min(url) AS url FROM results GROUP BY domain)
+        SELECT domain, url AS target_uri, 200 AS http_status, n_bytes, md5(html) AS digest,
+          at_s * 1000000 AS date_us, true AS own_bytes_only FROM results WHERE url IN (SELECT url FROM firsts)""",
     "crawl_records": f"""WITH {_LOG}
         SELECT url, domain, status_code, depth, fetch_time_ns // 1000000 AS fetch_time_ms, error FROM log""",
     "pages_by_status": f"""WITH {_LOG}

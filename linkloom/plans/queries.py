@@ -21,7 +21,7 @@ from linkloom.operators import (
 from linkloom.operators.rows import per_element
 from linkloom.plans import crawl, tables
 from linkloom.session import materialized, scratch_path
-from linkloom.sources import seeds, warc
+from linkloom.sources import seeds, warc, warc_format
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -388,6 +388,29 @@ def _warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["warc_roundtrip"] = _warc_roundtrip
 
 
+def _warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of the pages, read back by format name."""
+    warc_format.register(spark)
+    rows = spark.read.format("warc").load(_archived(spark, sf_dir))
+    return rows.select(
+        "domain", "target_uri", "http_status", F.octet_length("payload").cast("bigint").alias("n_bytes"),
+        F.md5("payload").alias("digest"), F.unix_micros("warc_date").alias("date_us"),
+    )
+
+
+def _archive_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of an indexed archive of the pages, the records of each domain's first URL, by reads of their bytes alone."""
+    path = scratch_path(spark, "indexed")
+    warc.write_indexed(_results(tables.table(spark, sf_dir, "pages")), path, "at")
+    places = warc.read_index(spark, path)
+    first = places.groupBy("domain").agg(F.min("url").alias("url"))
+    return warc.fetch_records(places, first).select(
+        "domain", "target_uri", "http_status", F.octet_length("payload").cast("bigint").alias("n_bytes"),
+        F.md5("payload").alias("digest"), F.unix_micros("warc_date").alias("date_us"),
+        (F.col("bytes_read") <= F.col("content_length") + 1024).alias("own_bytes_only"),
+    )
+
+
 def _archived(spark: SparkSession, sf_dir: str) -> str:
     """An archive of the pages in the shared folder."""
     path = scratch_path(spark, "warc")
@@ -408,6 +431,7 @@ def _archive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.list_archive(spark, _archived(spark, sf_dir)).select("domain", (F.size("files") > 0).alias("has_files"))
 
 
+QUERIES |= {"warc_source": _warc_source, "archive_fetch": _archive_fetch}
 QUERIES |= {"archive_preview": _archive_preview, "archive_manifest": _archive_manifest, "archive_listing": _archive_listing}
 
 

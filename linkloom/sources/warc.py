@@ -2,17 +2,20 @@
 
 Writing uses Spark's own gzip text writer with the record end as line
 separator, so files go through Spark's commit protocol to any file system it
-knows, and a lost executor only repeats its task. Reading lets Spark open and
-unzip the files; Python only cuts the stream into records.
+knows, and a lost executor only repeats its task. Spark lists the files and
+deals them out to tasks, which stream them record by record.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,9 @@ from linkloom.functions.urls import decoded
 from linkloom.operators.archive import UNSORTED, archive_domain, size_text, time_text, with_record_text
 from linkloom.operators.dedup import not_seen
 from linkloom.operators.fetch import archivable
+from linkloom.sources.files import opened
+from linkloom.sources.members import Unzipped, lines, records
+from linkloom.sources.warc_format import ARROW, BATCH_BYTES, SCHEMA, File, as_row, moment, read_file, register
 
 RECORD_END = "\r\n\r\n"
 RECORD_SCHEMA = (
@@ -27,6 +33,10 @@ RECORD_SCHEMA = (
     "content_length BIGINT, http_status INT, http_content_type STRING, payload BINARY"
 )
 
+#: Reads of one file beyond so many bytes apart may go to different tasks.
+RANGE_BYTES = 64 << 20
+FETCHED = ARROW.append(pa.field("bytes_read", pa.int64()))
+
 
 def write_warc(results: DataFrame, path: str, at: str, run: str | None = None, mode: str = "append") -> None:
     """Write the archivable results under ``path/domain=<domain>/run=<YYYYMMDD_HHMMSS>/*.gz`` in one pass.
@@ -50,11 +60,6 @@ def _listed(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", "modificationTime")
 
 
-def _file_path() -> Column:
-    """Path of the file a row comes from, as binaryFile names it (the metadata column escapes it)."""
-    return decoded(F.col("_metadata.file_path"))
-
-
 def _domain_of(path: str, root: str) -> Column:
     """Domain of a file below the root: its ``domain=`` folder, else its first folder, else ''."""
     whole, start = F.regexp_replace(path, r"^[a-z0-9]+:/+", "/"), root.rstrip("/") + "/"
@@ -68,17 +73,29 @@ def _root(path: str) -> str:
     return re.sub(r"^[a-z0-9]+:/+", "/", path)
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Written archive files: path, domain and size."""
-    return _listed(spark, path).select(
+def manifest(spark: SparkSession, path: str, with_records: bool = False) -> DataFrame:
+    """Written archive files: path, domain and size; ``with_records`` reads them and adds records and their bytes."""
+    files = _listed(spark, path).select(
         "path", archive_domain(_domain_of("path", _root(path))).alias("domain"), F.col("length").alias("bytes")
     )
+    if not with_records:
+        return files
+
+    def count(file: str) -> Iterator[pa.RecordBatch]:
+        n, size = 0, 0
+        with opened(file) as data:
+            for record in records(Unzipped(data, file)):
+                n, size = n + 1, size + record.content_length
+        yield pa.record_batch({"path": [file], "records": pa.array([n], pa.int64()), "content_bytes": pa.array([size], pa.int64())})
+
+    counted = _listed_work(files, count, "path STRING, records BIGINT, content_bytes BIGINT")
+    return files.join(counted, "path")
 
 
 def record_counts(spark: SparkSession, path: str) -> DataFrame:
     """Records and their bytes per domain, counted by reading the archives."""
-    counts = read_warc(spark, path).groupBy("domain")
-    return counts.agg(F.count(F.lit(1)).alias("records"), F.sum("content_length").alias("content_bytes"))
+    counts = manifest(spark, path, with_records=True).groupBy("domain")
+    return counts.agg(F.sum("records").alias("records"), F.sum("content_bytes").alias("content_bytes"))
 
 
 def list_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -96,88 +113,32 @@ def list_archive(spark: SparkSession, path: str) -> DataFrame:
     return groups.unionByName(not_seen(always, groups, ["domain"]))
 
 
-def _records_of(stream: bytes) -> tuple[list[tuple], bytes]:
-    """Cut complete records off the front of ``stream``; gives them and the rest."""
-    records, at = [], 0
-    while True:
-        start = stream.find(b"WARC/", at)
-        head_end = stream.find(b"\r\n\r\n", start) if start >= 0 else -1
-        if head_end < 0:
-            return records, stream[at:]
-        head = _headers(stream[start:head_end])
-        if not head.get("content-length", "").isdigit():
-            return records, stream[start:]
-        length = int(head["content-length"])
-        block_start = head_end + 4
-        # The end of the record must be there too, else its last bytes may be missing.
-        if block_start + length + len(RECORD_END) > len(stream):
-            return records, stream[at:]
-        http, _, payload = stream[block_start : block_start + length].partition(b"\r\n\r\n")
-        status = http.split(b" ", 2)[1:2]
-        records.append((
-            head.get("warc-type", ""), head.get("warc-record-id", ""), head.get("warc-date"),
-            head.get("warc-target-uri", ""), length,
-            int(status[0]) if status and status[0].isdigit() else 0,
-            _headers(http).get("content-type", ""), payload,
-        ))
-        at = block_start + length
-
-
-def _headers(block: bytes) -> dict[str, str]:
-    pairs = (line.partition(b":") for line in block.split(b"\r\n")[1:])
-    return {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in pairs}
-
-
-def _ended(path: str | None, rest: bytes) -> None:
-    if bytes(rest).strip():
-        raise ValueError(f"{path} ends inside a record, or has one without a length: {bytes(rest)[:200]!r}")
-
-
-def _cut_records(batches: Iterator[pd.DataFrame], strict: bool) -> Iterator[pd.DataFrame]:
-    names = ["warc_type", "record_id", "warc_date", "target_uri", "content_length", "http_status",
-             "http_content_type", "payload"]
-    path, rest = None, bytearray()
-    for batch in batches:
-        out = []
-        for file, rows in batch.groupby("path", sort=False):
-            if file != path:
-                if strict:
-                    _ended(path, rest)
-                path, rest = file, b""
-            stream = b"".join([rest, *[bytes(v) + b"\r\n\r\n" for v in rows["value"]]])
-            cut, rest = _records_of(stream)
-            out.extend((path, *record) for record in cut)
-        frame = pd.DataFrame(out, columns=["path", *names])
-        frame["warc_date"] = pd.to_datetime(frame["warc_date"], utc=True, format="ISO8601", errors="coerce")
-        yield frame
-    if strict:
-        _ended(path, rest)
-
-
-def _gzip_lines(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """Lines of the gzip files below ``path``, in file order within a task.
-
-    Spark would split a plain file over tasks that start inside a record, so
-    any other file is an error.
-    """
-    lines = spark.read.option("lineSep", separator).option("recursiveFileLookup", "true").text(path)
-    refused = F.raise_error(F.concat(F.lit("not a gzip archive: "), F.col("_metadata.file_path")))
-    value = F.when(F.endswith(F.col("_metadata.file_path"), F.lit(".gz")), F.col("value")).otherwise(refused)
-    return lines.select(_file_path().alias("path"), value.alias("value"))
+def _listed_work(files: DataFrame, work: Callable[[str], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Rows that ``work`` gives for every listed file; Spark deals out the files by size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                yield from work(file)
+
+    return files.select("path").mapInArrow(run, schema)
 
 
 def read_warc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Response records of all gzip archives below ``path``, cut by their Content-Length.
+    """Response records of all gzip archives below ``path``, cut by their Content-Length; one in memory at a time.
 
-    A file that ends inside a record fails the read; with ``strict=False`` that
-    last record is passed over.
+    A file that ends inside a record, or has one without a length, fails the
+    read; with ``strict=False`` its rest is passed over. ``spark.read.format("warc")``
+    gives the same rows with their places in the files.
     """
-    pieces = _gzip_lines(spark, path, RECORD_END).withColumn("value", F.col("value").cast("binary"))
-    schema = "path STRING, " + RECORD_SCHEMA.split(", ", 1)[1]
-    records = pieces.mapInPandas(lambda batches: _cut_records(batches, strict), schema)
-    return records.withColumn("domain", archive_domain(_domain_of("path", _root(path)))).withColumn(
-        "record_id", F.regexp_extract("record_id", r"^<urn:uuid:(.*)>$", 1)
-    ).select("domain", *[part.split(" ")[0] for part in schema.split(", ")[1:]])
+
+    def cut(file: str) -> Iterator[pa.RecordBatch]:
+        yield from (batch.drop_columns(["domain", "offset", "length"]) for batch in read_file(File(file, ""), strict))
+
+    schema = RECORD_SCHEMA.split(", ", 1)[1] + ", path STRING"
+    found = _listed_work(_listed(spark, path), cut, schema)
+    rows = found.withColumn("domain", archive_domain(_domain_of("path", _root(path))))
+    return rows.select("domain", *[part.split(" ")[0] for part in schema.split(", ")[:-1]])
 
 
 def archive_file(root: str, domain: str, file: str) -> str:
@@ -189,19 +150,104 @@ def archive_file(root: str, domain: str, file: str) -> str:
 
 
 def preview(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
-    """Lines ``start`` to ``end`` of every archive below ``path``, with path and line number."""
+    """Lines ``start`` to ``end`` of every archive below ``path``, with path and line number.
+
+    A file is unzipped no further than its last line wanted.
+    """
+
+    def numbered(file: str) -> Iterator[pa.RecordBatch]:
+        with opened(file) as data:
+            found = lines(Unzipped(data, file), start, end)
+            while part := list(islice(found, 1000)):
+                numbers, texts = zip(*part, strict=True)
+                yield pa.record_batch({
+                    "path": pa.array([file] * len(part)), "line_no": pa.array(numbers, pa.int64()), "line": pa.array(texts, pa.binary()),
+                })
+
+    rows = _listed_work(_listed(spark, path), numbered, "path STRING, line_no BIGINT, line BINARY")
+    return rows.select("path", "line_no", F.regexp_replace(F.make_valid_utf8(F.col("line").cast("string")), r"\r\z", "").alias("line"))
+
 
-    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, seen = None, 0
+#: An empty gzip member. It ends every record of an indexed archive, as the line separator of Spark's writer.
+_EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
+INDEX_SCHEMA = "domain STRING, url STRING, warc_date TIMESTAMP, path STRING, offset BIGINT, length BIGINT"
+
+
+def write_indexed(results: DataFrame, path: str, at: str, run: str | None = None) -> None:
+    """As ``write_warc``, with one gzip member per record, and the index of the new files beside them.
+
+    Records go to ``path/records/domain=<domain>/run=<run>``, the index, sorted
+    by URL, to ``path/index/run=<run>``. Any WARC reader can read the files.
+    """
+    run = run or datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
+    rows = archivable(results).withColumn("domain", archive_domain(F.col("domain")))
+    record = F.concat(F.concat("header", "http").cast("binary"), "body", F.lit(RECORD_END).cast("binary"))
+    text = with_record_text(rows, at).select("domain", "url", F.col(at).alias("at"), record.alias("record"))
+    placed = text.hint("rebalance", F.col("domain")).sortWithinPartitions("domain", "url", "at").select("domain", "record")
+
+    def zip_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, rows in batch.groupby("path", sort=False):
-                if file != path:
-                    path, seen = file, 0
-                numbers = range(seen + 1, seen + len(rows) + 1)
-                seen += len(rows)
-                frame = rows.assign(line_no=numbers)
-                yield frame[frame["line_no"].between(start, end)]
-
-    lines = _gzip_lines(spark, path, "\n")
-    named = lines.select("path", F.regexp_replace(F.make_valid_utf8("value"), r"\r\z", "").alias("line"))
-    return named.mapInPandas(numbered, "path STRING, line STRING, line_no BIGINT").select("path", "line_no", "line")
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                zipped = [gzip.compress(r, 6, mtime=0) for r in part.column(1).to_pylist()]
+                yield pa.record_batch({"domain": part.column(0), "member": pa.array(zipped, pa.binary())})
+
+    members = placed.mapInArrow(zip_each, "domain STRING, member BINARY")
+    value = members.select("domain", F.lit(run).alias("run"), F.col("member").cast("string").alias("value"))
+    writer = value.write.mode("append").partitionBy("domain", "run").option("maxRecordsPerFile", 0)
+    writer.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER).text(f"{path}/records")
+    found = index(spark=results.sparkSession, path=f"{path}/records", run=run)
+    found.repartitionByRange("url").sortWithinPartitions("url", "warc_date").write.mode("overwrite").parquet(f"{path}/index/run={run}")
+
+
+def index(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """``(domain, url, warc_date, path, offset, length)`` of every record below ``path`` that is gzip members of its own."""
+    register(spark)
+    source = spark.read.format("warc").option("within", f"/run={run}/" if run else "")
+    rows = source.load(path).filter("length IS NOT NULL")
+    return rows.select("domain", F.col("target_uri").alias("url"), "warc_date", "path", "offset", "length")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """Index rows of all runs of an indexed archive."""
+    return spark.read.parquet(f"{path}/index").select("domain", "url", "warc_date", "path", "offset", "length")
+
+
+def fetch_records(index_rows: DataFrame, wanted: DataFrame, url: str = "url") -> DataFrame:
+    """Records of the wanted URLs, by reads of their own bytes alone; ``bytes_read`` is what a record took.
+
+    Index rows are joined with the distinct URLs; Spark broadcasts whichever side
+    its measured size allows. Reads are dealt out by file and done in order of
+    offset, so a file is opened once per task; a hot file is split by its offsets.
+    """
+    asked = wanted.select(F.col(url).alias("url")).distinct()
+    places = index_rows.join(asked, "url", "left_semi")
+    slot = F.floor(F.col("offset") / F.lit(RANGE_BYTES))
+    tasks = int(index_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = places.repartition(tasks, "path", slot).sortWithinPartitions("path", "offset").select("domain", "path", "offset", "length")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, file = None, None
+        try:
+            for batch in batches:
+                rows, held = [], 0
+                for place in batch.to_pylist():
+                    if place["path"] != name:
+                        if file is not None:
+                            file.close()
+                        name, file = place["path"], opened(place["path"])
+                    raw = file.read_at(place["length"], place["offset"])
+                    record = next(records(Unzipped(io.BytesIO(raw), name)))
+                    row = as_row(File(name, place["domain"]), record, moment(record.warc_date))
+                    rows.append(row | {"offset": place["offset"], "length": place["length"], "bytes_read": len(raw)})
+                    held += len(record.payload) + 500
+                    if held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, FETCHED)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, FETCHED)
+        finally:
+            if file is not None:
+                file.close()
+
+    return dealt.mapInArrow(read, SCHEMA + ", bytes_read BIGINT")

@@ -42,7 +42,8 @@ def test_only_binary_archives_use_python(spark):
     for name, query in QUERIES.items():
         text = plan(query(spark, FOLDER))
         uses = "Python" in text or "InPandas" in text
-        assert uses == (name in {"warc_roundtrip", "archive_preview", "archive_manifest"}), name
+        archives = {"warc_roundtrip", "archive_preview", "archive_manifest", "warc_source", "archive_fetch"}
+        assert uses == (name in archives), name
 
 
 def test_first_wins_limits_groups_before_the_shuffle(spark):
