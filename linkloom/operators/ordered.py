@@ -75,15 +75,17 @@ def _with_carry(rows: DataFrame, keys: list[str], summary: Column, carry: Column
 
 
 def running_max(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, rows_per_task: int = ROWS_PER_TASK,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Add the maximum of ``value`` over the rows of the key up to and including this one.
 
     ``value`` may use ``_rank``, the row's number in an order that agrees with
-    (key, order); ranks are consecutive within a key.
+    (key, order); ranks are consecutive within a key. ``hot`` says whether some
+    key is too large for a task, where that is known.
     """
     by_key = Window.partitionBy(*keys).orderBy(*order)
-    if not has_hot_key(df, keys, rows_per_task):
+    if not (has_hot_key(df, keys, rows_per_task) if hot is None else hot):
         ranked = df.withColumn("_rank", F.row_number().over(by_key).cast("long"))
         return ranked.withColumn(out, F.max(value).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
     rows = _numbered_blocks(df, [*keys, *order], "_rank", "_total").drop("_total").withColumn("_value", value)
@@ -96,10 +98,11 @@ def running_max(
 
 
 def previous(
-    df: DataFrame, keys: list[str], order: list[str], value: str, out: str, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: list[str], order: list[str], value: str, out: str, rows_per_task: int = ROWS_PER_TASK,
+    hot: bool | None = None,
 ) -> DataFrame:
-    """Add ``value`` of the preceding row of the key, NULL on its first row."""
-    if not has_hot_key(df, keys, rows_per_task):
+    """Add ``value`` of the preceding row of the key, NULL on its first row; ``hot`` as in ``running_max``."""
+    if not (has_hot_key(df, keys, rows_per_task) if hot is None else hot):
         return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
     rows = ordered_blocks(df, [*keys, *order])
     by_block = Window.partitionBy(*keys).orderBy(_BLOCK)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.fetch import is_error, status_label
-from linkloom.operators.ordered import ROWS_PER_TASK, previous, running_max
+from linkloom.operators.ordered import ROWS_PER_TASK, has_hot_key, previous, running_max
+from linkloom.session import materialized
 
 # Default bounds of a latency histogram, in seconds.
 LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -70,17 +73,36 @@ def stats_per_window(log: DataFrame, at: str, every: str) -> DataFrame:
 
 
 def completions(
-    ticks: DataFrame, crawl: str, at: str, tie: str, rows_per_task: int = ROWS_PER_TASK
+    ticks: DataFrame, crawl: str, at: str, tie: str, rows_per_task: int = ROWS_PER_TASK, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Ticks at which a crawl that was active is first found idle.
 
     Active: workers or queue above zero. Idle: both zero and nothing in
     flight. Ticks that are neither do not end a crawl and are passed over.
+    ``keep`` names further columns of such a tick.
     """
     active = (F.col("active_workers") > 0) | (F.col("queue_length") > 0)
     settled = ticks.withColumn("_active", active).filter(active | (F.col("in_flight") == 0))
     paired = previous(settled, [crawl], [at, tie], "_active", "_was_active", rows_per_task)
-    return paired.filter(~F.col("_active") & F.col("_was_active")).select(crawl, at)
+    return paired.filter(~F.col("_active") & F.col("_was_active")).select(crawl, at, *keep)
+
+
+def with_session(
+    events: DataFrame, edges: DataFrame, crawl: str, at_us: str, tie: str, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Add ``session_start_us``: the last completion of the crawl before each event, NULL in its first session.
+
+    ``edges`` are completions with the same three columns; an event at the very
+    tick that completes a crawl still belongs to the session that ends. Events
+    and completions are merged in one order, whose running maximum of completion
+    times is the answer, so a crawl of very many events is worked on in blocks.
+    """
+    marks = edges.select(F.col(crawl).alias("_crawl"), F.col(at_us).alias("_at"), F.col(tie).alias("_tie"), F.lit(1).alias("_edge"))
+    rows = events.withColumns({"_crawl": F.col(crawl), "_at": F.col(at_us), "_tie": F.col(tie), "_edge": F.lit(0)})
+    merged = rows.unionByName(marks, allowMissingColumns=True)
+    completed = F.when(F.col("_edge") == 1, F.col("_at"))
+    known = running_max(merged, ["_crawl"], ["_at", "_tie", "_edge"], completed, "session_start_us", rows_per_task)
+    return known.filter("_edge = 0").select(*events.columns, "session_start_us")
 
 
 def idle_sessions(
@@ -96,13 +118,27 @@ def idle_sessions(
     slots = log.groupBy(crawl, F.floor(F.col(at_us) / gap_us).alias("slot")).agg(
         F.min(at_us).alias("lo"), F.max(at_us).alias("hi"), F.count(F.lit(1)).alias("n")
     )
-    paired = previous(slots, [crawl], ["slot"], "hi", "_before", rows_per_task)
+    slots = materialized(slots)  # one pass over the log, and one answer for both steps
+    hot = has_hot_key(slots, [crawl], rows_per_task)
+    paired = previous(slots, [crawl], ["slot"], "hi", "_before", rows_per_task, hot)
     opens = F.when(F.coalesce(F.col("lo") - F.col("_before") > gap_us, F.lit(True)), F.col("lo"))
     opened = paired.withColumn("_opened", opens)
-    runs = running_max(opened, [crawl], ["slot"], F.col("_opened"), "start_us", rows_per_task)
+    runs = running_max(opened, [crawl], ["slot"], F.col("_opened"), "start_us", rows_per_task, hot)
     return runs.groupBy(crawl, "start_us").agg(F.max("hi").alias("end_us"), F.sum("n").alias("pages"))
 
 
+def crawl_log(visited: DataFrame, done: DataFrame, at: str = "at") -> DataFrame:
+    """Log rows ``(at, url, status, depth)`` of a crawl.
+
+    ``visited`` has ``url, depth, outcome`` and a time: BLOCKED, ERROR or the
+    status code where a page was fetched; URLs beyond the depth limit are not
+    logged. Each completion in ``done`` is a SUCCESS row without a URL.
+    """
+    pages = visited.filter("outcome <> 'SKIPPED'").select(at, "url", F.col("outcome").alias("status"), "depth")
+    success = done.select(at, F.lit("").alias("url"), F.lit("SUCCESS").alias("status"), F.lit(0).alias("depth"))
+    return pages.unionByName(success)
+
+
 def log_events(log: DataFrame, at: str = "ts") -> DataFrame:
     """One JSON text per log event."""
     fields = F.struct(

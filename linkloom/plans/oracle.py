@@ -267,8 +267,19 @@ ORACLE: dict[str, str] = {
           SELECT regexp_replace(url, '#.*$', '') FROM pages WHERE url LIKE '%spam-farm%') AS pushed FROM ranked""",
     "dedup_against_seen": f"""WITH {_SHOP}
         SELECT url FROM shop WHERE l_returnflag <> 'R' EXCEPT SELECT url FROM shop WHERE l_returnflag = 'R'""",
-    "session_dedup": f"""WITH {_LOG}
-        SELECT strftime(ts, '%Y-%m-%d') AS session_id, url, min(event_id) AS event_id FROM log GROUP BY 1, 2""",
+    "session_dedup": f"""WITH {_LOG}, {_TICKS},
+        settled AS (
+          SELECT *, active_workers > 0 OR queue_length > 0 AS active FROM ticks
+          WHERE active_workers > 0 OR queue_length > 0 OR in_flight = 0),
+        paired AS (SELECT *, lag(active) OVER (PARTITION BY crawl ORDER BY ts, event_id) AS was FROM settled),
+        edges AS (SELECT event_id, epoch_us(ts) AS ended FROM paired WHERE NOT active AND was),
+        placed AS (
+          SELECT 'crawl' || regexp_extract(domain, '^u([0-9]+)', 1) AS crawl, at_us, event_id, url,
+            coalesce(max(ended) OVER (PARTITION BY domain ORDER BY at_us, event_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS session_start_us
+          FROM log LEFT JOIN edges USING (event_id))
+        SELECT crawl, session_start_us, url, event_id FROM placed
+        QUALIFY row_number() OVER (PARTITION BY crawl, session_start_us, url ORDER BY at_us, event_id) = 1""",
     "robots_parse": f"WITH {_ROBOTS} SELECT domain, agent, pos, allow, path, crawl_delay::DOUBLE AS crawl_delay FROM rules",
     "robots_allowed": f"WITH {_TESTED} SELECT url, allowed, crawl_delay FROM tested",
     "robots_blocked": f"WITH {_TESTED} SELECT count(*) FILTER (WHERE NOT allowed) AS robots_blocked FROM tested",
@@ -430,3 +441,14 @@ ORACLE: dict[str, str] = {
     "bloom_dedup": f"""WITH {_SHOP}
         SELECT url FROM shop WHERE l_returnflag <> 'R' EXCEPT SELECT url FROM shop WHERE l_returnflag = 'R'""",
 }
+ORACLE["crawl_log"] = f"""WITH visited AS ({ORACLE["crawl_pages"]}),
+        asked AS (
+          SELECT *, (row_number() OVER (PARTITION BY domain ORDER BY url) - 1) * 500000 + coalesce(n_bytes, 0) AS done_us
+          FROM visited WHERE outcome <> 'BLOCKED'),
+        timed AS (
+          SELECT url, outcome AS status, depth, done_us FROM asked
+          UNION ALL SELECT url, outcome, depth, 0 FROM visited WHERE outcome = 'BLOCKED'),
+        logged AS (
+          SELECT * FROM timed UNION ALL SELECT '', 'SUCCESS', 0, (max(done_us) // 500000 + 1) * 500000 FROM timed)
+        SELECT '{{"type":"log","time":"' || strftime(make_timestamp(1704067200000000 + done_us), '%H:%M:%S') || '","url":"'
+          || url || '","status":"' || status || '","depth":' || depth || '}}' AS event FROM logged"""

@@ -251,8 +251,13 @@ def dedup_against_seen(lineitem: DataFrame) -> DataFrame:
 
 @_on("events")
 def session_dedup(events: DataFrame) -> DataFrame:
-    log = tables.fetch_log(events).withColumn("session_id", F.date_format("ts", "yyyy-MM-dd"))
-    return dedup.first_per_key(log, ["session_id", "url"], ["event_id"]).select("session_id", "url", "event_id")
+    """The first fetch of each URL in each session of its crawl; a session ends where the crawl is first found idle."""
+    ticks = tables.ticks(events).withColumn("at_us", F.unix_micros("ts"))
+    edges = telemetry.completions(ticks, "crawl", "at_us", "event_id", keep=["event_id"])
+    log = tables.fetch_log(events).withColumn("crawl", F.concat(F.lit("crawl"), F.regexp_extract("domain", "^u([0-9]+)", 1)))
+    placed = telemetry.with_session(log.select("crawl", "at_us", "event_id", "url"), edges, "crawl", "at_us", "event_id")
+    first = dedup.first_per_key(placed, ["crawl", "session_start_us", "url"], ["at_us", "event_id"])
+    return first.select("crawl", F.coalesce("session_start_us", F.lit(0)).alias("session_start_us"), "url", "event_id")
 
 
 # --- robots, fetch, traversal ------------------------------------------------------------------
@@ -326,6 +331,22 @@ def crawl_pages(pages: DataFrame) -> DataFrame:
     return visited.select("url", "domain", "depth", "outcome", "status_code", "error", "n_bytes")
 
 
+@_on("pages")
+def crawl_log(pages: DataFrame) -> DataFrame:
+    """The log of ``crawl_pages``: each host is asked politely, and the crawl succeeds at the first tick after its last fetch."""
+    visited = materialized(crawl_pages(pages))
+    asked = politeness.plan(visited.filter("outcome <> 'BLOCKED'").withColumn("arrival_us", F.lit(0).cast("bigint")), "domain", "arrival_us", "url")
+    done_us = F.col("release_us") + F.coalesce(F.col("n_bytes"), F.lit(0))
+    start = F.unix_micros(F.expr(tables.EPOCH))
+    rows = asked.withColumn("us", start + done_us).drop("arrival_us", "release_us").unionByName(
+        visited.filter("outcome = 'BLOCKED'").withColumn("us", start)
+    )
+    rows = materialized(rows.withColumn("at", F.timestamp_micros("us")))
+    tick = rows.agg(F.max("us").alias("last")).filter("last IS NOT NULL")
+    done = tick.select(F.timestamp_micros(F.expr("(last div 500000 + 1) * 500000")).alias("at"))
+    return telemetry.log_events(telemetry.crawl_log(rows, done), "at")
+
+
 # --- archive -----------------------------------------------------------------------------------
 
 

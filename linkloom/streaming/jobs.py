@@ -8,8 +8,9 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle, TimerValues
 
 from linkloom.operators.fetch import crawl_records, status_label
 from linkloom.operators.politeness import DEFAULT_DELAY_US
@@ -52,15 +53,22 @@ def counters(log: DataFrame) -> DataFrame:
     )
 
 
-def releases(requests: DataFrame, host: str, arrival_us: str, tie: str, delay_us: int = DEFAULT_DELAY_US) -> DataFrame:
+def releases(
+    requests: DataFrame, host: str, arrival_us: str, tie: str, delay_us: int = DEFAULT_DELAY_US, late: str | None = None
+) -> DataFrame:
     """Release time of each request as it comes in: one per host and delay.
 
     The state of a host is one number, and its requests are worked on chunk by
     chunk, so a hot host is never held whole. Inside a chunk they are taken in
-    order of arrival.
+    order of arrival. With ``late``, requests more than that behind the newest
+    are dropped, and a host is forgotten once the watermark has passed its last
+    release by the delay: no later request could have to wait for it.
     """
 
     def release(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         for chunk in batches:
             rows = chunk.sort_values([arrival_us, tie])
             steps = pd.RangeIndex(len(rows)).to_series(index=rows.index) * delay_us
@@ -69,13 +77,18 @@ def releases(requests: DataFrame, host: str, arrival_us: str, tie: str, delay_us
                 ahead = ahead.clip(lower=state.get[0] + delay_us)
             at = ahead + steps
             state.update((int(at.iloc[-1]),))
+            if late is not None:
+                free = -(-(int(at.iloc[-1]) + delay_us) // 1000)
+                state.setTimeoutTimestamp(max(free, state.getCurrentWatermarkMs() + 1))
             yield pd.DataFrame({host: key[0], tie: rows[tie], arrival_us: rows[arrival_us], "release_us": at})
 
     fields = {f.name: f.dataType.simpleString() for f in requests.schema}
     out = f"{host} {fields[host]}, {tie} {fields[tie]}, {arrival_us} BIGINT, release_us BIGINT"
-    return requests.select(host, tie, arrival_us).groupBy(host).applyInPandasWithState(
-        release, out, "last_us BIGINT", "append", GroupStateTimeout.NoTimeout
-    )
+    known, timeout = requests.select(host, tie, arrival_us), GroupStateTimeout.NoTimeout
+    if late is not None:
+        known = known.withColumn("_at", F.timestamp_micros(arrival_us)).withWatermark("_at", late)
+        timeout = GroupStateTimeout.EventTimeTimeout
+    return known.groupBy(host).applyInPandasWithState(release, out, "last_us BIGINT", "append", timeout)
 
 
 def completions(ticks: DataFrame, crawl: str, at: str, late: str = "10 seconds") -> DataFrame:
@@ -104,6 +117,75 @@ def completions(ticks: DataFrame, crawl: str, at: str, late: str = "10 seconds")
     )
 
 
+class _OrderedEdges(StatefulProcessor):
+    """Holds the settled ticks of a crawl until the watermark has passed them, then takes them in order."""
+
+    def __init__(self, crawl: str, at: str, tie: str, tie_type: str):
+        self.crawl, self.at, self.tie, self.tie_type = crawl, at, tie, tie_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"at_us BIGINT, tie {self.tie_type}, active BOOLEAN")
+        self.active = handle.getValueState("active", "active BOOLEAN")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        latest = None
+        for chunk in rows:
+            active = (chunk["active_workers"] > 0) | (chunk["queue_length"] > 0)
+            settled = active | (chunk["in_flight"] == 0)
+            ticks = chunk[settled]
+            if len(ticks):
+                self.waiting.appendList(list(zip(
+                    ticks["event_at_us"].astype(int).tolist(), ticks[self.tie].tolist(), active[settled].astype(bool).tolist(), strict=True
+                )))
+                newest = int(ticks["event_at_us"].max())
+                latest = newest if latest is None else max(latest, newest)
+        if latest is not None:
+            self.handle.registerTimer(-(-latest // 1000))
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [tuple(row) for row in self.waiting.get()] if self.waiting.exists() else []
+        ready, rest = sorted(r for r in held if r[0] <= passed), [r for r in held if r[0] > passed]
+        if not ready:
+            return
+        was = bool(self.active.get()[0]) if self.active.exists() else False
+        ended = []
+        for at_us, _, active in ready:
+            if was and not active:
+                ended.append(at_us)
+            was = active
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if was:
+            self.active.update((True,))
+        else:
+            self.active.clear()  # an idle crawl leaves nothing behind
+        if ended:
+            yield pd.DataFrame({self.crawl: [key[0]] * len(ended), self.at: pd.to_datetime(pd.Series(ended), unit="us")})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_completions(ticks: DataFrame, crawl: str, at: str, tie: str, late: str = "10 seconds") -> DataFrame:
+    """As ``completions``, exact for ticks in any order: those up to ``late`` behind the newest count in order of time.
+
+    Ticks wait in the state until the watermark has passed them, so an edge
+    comes out ``late`` after its time; ticks that are later still are dropped by
+    the watermark. ``tie`` orders ticks of one time. Needs the RocksDB state store.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in ticks.schema}
+    known = ticks.withWatermark(at, late).withColumn("event_at_us", F.unix_micros(at))
+    return known.groupBy(crawl).transformWithStateInPandas(
+        statefulProcessor=_OrderedEdges(crawl, at, tie, fields[tie]),
+        outputStructType=f"{crawl} {fields[crawl]}, {at} TIMESTAMP", outputMode="Append", timeMode="EventTime",
+    )
+
+
 def record_sink(records_path: str, archive_path: str, at: str) -> Callable[[DataFrame, int], None]:
     """Batch function that saves crawl records and archives; a repeated batch replaces its own output."""
 

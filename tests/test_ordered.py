@@ -78,3 +78,44 @@ def test_completions(spark, rows_per_task):
     df = spark.createDataFrame(ticks, "crawl STRING, at INT, active_workers INT, queue_length INT, in_flight INT")
     got = telemetry.completions(df, "crawl", "at", "in_flight", rows_per_task)
     assert {tuple(r) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("rows_per_task", [10**9, 30])
+def test_sessions_begin_at_completions(spark, rows_per_task):
+    pick = random.Random(8)
+    events = [("hot" if i % 5 else pick.choice("ab"), pick.randrange(400), i, f"u{pick.randrange(30)}") for i in range(900)]
+    # Completions at ticks of their own and at the very time and tie of an event.
+    edges = [("hot", pick.randrange(400), 1000 + i) for i in range(12)] + [(c, t, i) for c, t, i, _ in pick.sample(events, 10)] + [("none", 3, 1)]
+    got = telemetry.with_session(
+        spark.createDataFrame(events, "crawl STRING, at BIGINT, id BIGINT, url STRING"),
+        spark.createDataFrame(edges, "crawl STRING, at BIGINT, id BIGINT"), "crawl", "at", "id", rows_per_task,
+    )
+    want = {
+        (c, t, i, u): max((e for k, e, j in edges if k == c and (e, j) < (t, i)), default=None) for c, t, i, u in events
+    }
+    assert got.columns == ["crawl", "at", "id", "url", "session_start_us"]
+    assert {tuple(r)[:4]: r["session_start_us"] for r in got.collect()} == want and got.count() == len(events)
+    none = telemetry.with_session(got.drop("session_start_us"), got.limit(0).select("crawl", "at", "id"), "crawl", "at", "id", rows_per_task)
+    assert none.filter("session_start_us IS NOT NULL").count() == 0 and none.count() == len(events)
+
+
+def test_idle_sessions_of_a_hot_crawl_agree(spark):
+    pick = random.Random(3)
+    rows = [(c, pick.randrange(100_000), 1) for c in ["hot"] * 800 + ["b"] * 50]
+    log = spark.createDataFrame(rows, "crawl STRING, at BIGINT, n INT")
+    plain, blocks = (telemetry.idle_sessions(log, "crawl", "at", 150, n) for n in (10**9, 20))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, blocks.collect()))
+
+
+def test_crawl_log_labels(spark):
+    visited = spark.createDataFrame(
+        [("https://a/", 1, "200", 5), ("https://a/x", 2, "BLOCKED", 1), ("https://a/y", 2, "ERROR", 6), ("https://a/z", 4, "SKIPPED", 7)],
+        "url STRING, depth INT, outcome STRING, s INT",
+    ).withColumn("at", F.timestamp_seconds("s"))
+    done = spark.createDataFrame([(8,)], "s INT").select(F.timestamp_seconds("s").alias("at"))
+    rows = telemetry.crawl_log(visited, done)
+    assert {(r["url"], r["status"], r["depth"]) for r in rows.collect()} == {
+        ("https://a/", "200", 1), ("https://a/x", "BLOCKED", 2), ("https://a/y", "ERROR", 2), ("", "SUCCESS", 0)
+    }
+    events = [r["event"] for r in telemetry.log_events(rows, "at").collect()]
+    assert '{"type":"log","time":"00:00:08","url":"","status":"SUCCESS","depth":0}' in events and len(events) == 4

@@ -136,3 +136,59 @@ def test_feed_goes_on_after_a_restart(spark, log, tmp_path):
         query = jobs.feed(events, out, checkpoint).trigger(availableNow=True).start()
         query.awaitTermination(120)
     assert spark.read.text(out).count() == 300
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture()
+def rocks(spark):
+    chunk = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(chunk)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set(chunk, 7)  # many chunks per trigger
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(chunk, before)
+
+
+def test_ordered_completions_of_late_and_reversed_ticks(spark, rocks, tmp_path):
+    pick = random.Random(21)
+    schema = "crawl STRING, ts TIMESTAMP, id BIGINT, active_workers INT, queue_length INT, in_flight INT"
+    rows = []
+    for i in range(600):
+        state = pick.choice([(1, 0, 1), (0, 2, 0), (0, 0, 0), (0, 0, 1), (0, 0, 0)])
+        rows.append((pick.choice(["hot", "hot", "hot", "b"]), T0 + dt.timedelta(milliseconds=100 * (i // 2)), i, *state))
+    folder = str(tmp_path / "ticks")
+    for part in range(4):  # ticks come up to 9 seconds late, and each file in reverse
+        mine = sorted((r for k, r in enumerate(rows) if min(3, max(0, k // 150 + (1 if k % 11 == 0 and k % 150 > 70 else 0))) == part), key=lambda r: -r[2])
+        spark.createDataFrame(mine, schema).coalesce(1).write.mode("append").parquet(folder)
+    end = T0 + dt.timedelta(hours=1)
+    for last in range(2):  # later ticks move the watermark past all others
+        flush = [(c, end + dt.timedelta(seconds=last), 10_000 + last, 1, 0, 0) for c in ("hot", "b")]
+        spark.createDataFrame(flush, schema).coalesce(1).write.mode("append").parquet(folder)
+    batch = spark.read.schema(schema).parquet(folder)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = run(jobs.ordered_completions(source, "crawl", "ts", "id", "20 seconds"), tmp_path, "append", "ordered")
+    want = telemetry.completions(batch, "crawl", "ts", "id")
+    assert bag(got) == bag(want) and want.count() > 20
+
+
+def test_hosts_are_forgotten_when_nothing_has_to_wait(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    schema = "host STRING, id BIGINT, at BIGINT"
+    for part in range(4):
+        rows = [(f"h{part}-{k % 20}", part * 100 + k, 10**12 + part * 60_000_000 + k * 1000) for k in range(60)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    requests = jobs.releases(source, "host", "at", "id", 500_000, "1 second")
+    query = requests.writeStream.format("memory").queryName("released").outputMode("append").trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).start()
+    query.awaitTermination(120)
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(states) <= 40 and states[-1] <= 20  # 80 hosts came
+    batch = spark.read.parquet(folder)
+    assert bag(spark.table("released").select("host", "id", "release_us")) == bag(
+        politeness.plan(batch, "host", "at", "id", 500_000).select("host", "id", "release_us")
+    )
