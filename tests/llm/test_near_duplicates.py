@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linkloom.llm import hnsw, minhash
@@ -253,3 +254,30 @@ def test_pipeline_stages(spark, table):
     assert len(ids[2] ^ {i for i in want if want[i] == i}) <= 3
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.01").select("doc_id").distinct()
     assert {r["doc_id"] for r in packed.collect()} == ids[2]
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, documents, tmp_path):
+    folder = str(tmp_path)
+    words = ["the of and a in is it you that he was for on are with".split(), "der die und in den von zu das mit sich des auf".split()]
+    rows = [(k, " ".join(words[k % 2][(k * 7 + j * (1 + k % 5)) % 12] for j in range(30)), ("en", "de")[k % 2]) for k in range(200)]
+    odd = [(500, None), (501, ""), (502, "123 ... !!"), (None, rows[0][1]), (3, rows[3][1], "de"), (3, rows[3][1], "de"), (503, "the of and " * 30_000, "en")]
+    spark.createDataFrame([(k, 1, 0) for k in range(100)] + [(5, 0, 0)], "doc_id BIGINT, quality INT, toxic INT").write.parquet(f"{folder}/labels.parquet")
+    docs = documents(*rows, *odd)
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        if name != "best-fit packing":
+            assert out.columns == docs.columns
+        out.write.parquet(f"{folder}/{len(counts)}")
+        docs = spark.read.parquet(f"{folder}/{len(counts)}")
+        counts.append(docs.count())
+        if name == "language ID":
+            ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+            assert not {500, 501, 502} & set(ids) and ids.count(3) == 3 and ids.count(None) == 1 and 503 in ids
+        if name == "MinHash near-dedup":
+            ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+            assert None in ids and ids.count(3) in (0, 3)
+    assert counts[0] >= counts[1] >= counts[2] > 0 and docs.filter("doc_id = 503").agg(F.sum("length")).first()[0] > 90_000
+    empty = documents()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
