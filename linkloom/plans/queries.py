@@ -99,7 +99,7 @@ def canonicalize_url(lineitem: DataFrame) -> DataFrame:
     )
     base = F.concat(F.lit("https://Shop.Example.com:8443/a/b/"), "l_orderkey", F.lit("?v=2#z"))
     pairs = lineitem.select("l_orderkey", "l_linenumber", href.alias("href"), base.alias("base"))
-    return pairs.select("l_orderkey", "l_linenumber", urls.canonical_url("href", "base").alias("url"))
+    return urls.with_canonical_url(pairs, "href", "base", "url").select("l_orderkey", "l_linenumber", "url")
 
 
 @_on("lineitem")

@@ -162,3 +162,15 @@ def test_sql_function(spark):
     assert [r["u"] for r in got] == [c[2] for c in CASES]
     called = df.select(F.call_function("canonicalize_url", "href", "base").alias("u")).collect()
     assert called == got
+
+
+def test_staged_form_equals_the_expression(spark):
+    hrefs = [
+        "/a", "../b", "?q=1", "#f", "", " //H.org:80/x ", "HTTP://U:p@h.com:80/%7Eé/./..", "mailto:x", "javascript:1", "https://a.org/clean",
+        "a:b", "%zz", "http://[::1]:80/", "//", "x//y", "HTTPS://é.com:443", "/p q/../r?x y#z", "http:opaque", "ftp://x/y", None, "..", "https://h:bad/",
+    ]
+    bases = ["https://Shop.Example.com:8443/a/b/c?v=2#z", "http://u@h.com", "nonsense", "", None, "https://x.org/%"]
+    rows = spark.createDataFrame([(h, b, 7) for h in hrefs for b in bases], "href STRING, base STRING, url INT")
+    got = urls.with_canonical_url(rows, "href", "base", "canonical").withColumn("expected", urls.canonical_url("href", "base"))
+    assert got.columns == ["href", "base", "url", "canonical", "expected"]
+    assert got.filter("NOT (canonical <=> expected)").collect() == [] and got.filter("canonical IS NOT NULL").count() > 30
