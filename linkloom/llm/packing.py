@@ -5,36 +5,43 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
-from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import ENTRY_BYTES, give_back, slices, strings
+from linkloom.llm.bpe import BYTE_CHARS
+from linkloom.llm.common import give_back, slices, strings
 from linkloom.session import materialized
 
 CAPACITY = 2048
 END_ID = 0
 #: Bytes of the chunks of text whose ids a worker remembers during a task; beyond them the memory starts anew.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 96 << 20
+#: What an entry of the memory takes besides its characters and ids.
+ENTRY_BYTES = 190
+#: Text bytes encoded at a time: the more, the fewer stretches come again in another slice.
+SLICE_BYTES = 2 << 20
 
 
-def _latin(text: str) -> bool:
-    """Whether all characters are below U+0100, whose lower case depends on nothing else."""
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+def _latin(column: pa.Array) -> pa.Array:
+    """Whether all characters of each text are below U+0100, whose lower case depends on nothing else."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    beyond = np.concatenate([[0], np.cumsum(raw[ends[0] : ends[-1]] >= 0xC4)])  # first bytes of longer characters
+    return pa.array(beyond[ends[1:] - ends[0]] == beyond[ends[:-1] - ends[0]])
+
+
+#: Characters that the vocabulary has for bytes.
+_TO_CHARS = str.maketrans(dict(enumerate(BYTE_CHARS)))
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes, remembered by stretches between single spaces and line ends.
+    """Ids of texts, remembered by stretches between single spaces and line ends.
 
     The tokenizer drops white space between its words, so a text's ids are those
     of its stretches in a row.
@@ -44,8 +51,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads would keep memory of their own
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -53,28 +61,58 @@ class Encoder:
         self.known.clear()
         self.held = 0
 
-    def _learn(self, chunk: str, ids: bytes) -> None:
-        self.known[chunk] = ids
-        self.held += getsizeof(chunk) + getsizeof(ids) + ENTRY_BYTES
-
     def _fresh(self, chunks: list[str]) -> None:
-        for chunk, encoding in zip(chunks, self.model.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self._learn(chunk, np.array(encoding.ids, "<u4").tobytes())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        """Learn chunks. A word of lower-case Latin letters is one word of the tokenizer as it stands, so its model alone cuts it."""
+        known, cut, others = self.known, self.model.tokenize, []
+        for chunk in chunks:
+            shown = chunk
+            if not chunk.isascii():
+                raw = chunk.encode()
+                shown = raw.decode("latin-1").translate(_TO_CHARS) if max(raw) < 0xC4 else ""
+            if shown and chunk.islower() and chunk.isalpha():
+                known[chunk] = array("I", [token.id for token in cut(shown)]).tobytes()
+            else:
+                others.append(chunk)
+        for chunk, encoding in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            known[chunk] = array("I", encoding.ids).tobytes()
+        self._count(chunks)
+
+    def _count(self, chunks: list[str]) -> None:
+        sizes = sum(map(len, chunks)) + sum(map(len, map(self.known.__getitem__, chunks)))
+        self.held += sizes + ENTRY_BYTES * len(chunks)
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of each text's."""
         if self.held > CACHE_BYTES:
             self.forget()
         # The tokenizer lower-cases anyway; where that is plain, doing it first makes stretches recur.
-        cut = [(t.lower() if _latin(t) else t).replace("\n", " ").split(" ") for t in texts]
-        missing = {chunk for chunks in cut for chunk in chunks} - self.known.keys()
+        text = pc.replace_substring(pc.if_else(_latin(column), pc.utf8_lower(column), column), "\n", " ")
+        cut = pc.split_pattern(text, " ")
+        chunks = cut.flatten().dictionary_encode()
+        distinct, known = chunks.dictionary.to_pylist(), self.known
+        missing = {c for c in distinct if c not in known}
         # A word before one final stop or comma is a word of the tokenizer of its own. The tokenizer
         # composes first (NFC), which leaves some letters as letter and mark: marks go with the stop.
         split = {c for c in missing if len(c) > 1 and c[-1] in ".," and unicodedata.normalize("NFC", c[:-1]).lower().isalpha()}
-        self._fresh(sorted((missing - split | {c[:-1] for c in split} | {".", ","}) - self.known.keys()))
-        known = self.known
+        self._fresh([c for c in missing - split | {c[:-1] for c in split} | {".", ","} if c not in known])
         for chunk in split:
-            self._learn(chunk, known[chunk[:-1]] + known[chunk[-1]])
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+            known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
+        self._count(list(split))
+        found = list(map(known.__getitem__, distinct))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        at = chunks.indices.to_numpy().astype(np.int64)
+        long = size[at]
+        done = np.concatenate([[0], np.cumsum(long)])
+        ends = np.cumsum(cut.value_lengths().to_numpy())
+        out = flat[np.repeat(start[at] - done[:-1], long) + np.arange(int(done[-1]))]
+        return out, np.diff(np.concatenate([[0], done[ends]]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian bytes."""
+        ids, sizes = self.ids(pa.array(texts, pa.string()))
+        ends = np.cumsum(sizes)
+        return [ids[b - n : b].astype("<u4").tobytes() for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -87,27 +125,30 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "
 
     A null or empty text is the end id alone. Columns other than id and text are ignored.
     """
-    end = np.array([END_ID], "<u4").tobytes()
-
-    def cut(ids: pa.Array, encoded: list[bytes]) -> pa.RecordBatch:
-        out = [[], [], [], [], []]
-        for row, raw in enumerate(encoded):
-            raw += end
-            for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                body = raw[at : at + 4 * capacity]
-                for column, value in zip(out, (row, piece, at // 4, len(body) // 4, zlib.crc32(body)), strict=True):
-                    column.append(value)
+    def cut(names: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        whole = np.full(len(ids) + len(sizes), END_ID, "<u4")
+        ends = np.cumsum(sizes + 1)
+        own = np.ones(len(whole), bool)
+        own[ends - 1] = False
+        whole[own] = ids
+        pieces = -(-(sizes + 1) // capacity)
+        row = np.repeat(np.arange(len(sizes)), pieces)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = piece * capacity
+        length = np.minimum(capacity, (sizes + 1)[row] - start)
+        place = (ends - sizes - 1)[row] + start
+        raw = memoryview(whole.tobytes())
+        sums = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(place.tolist(), length.tolist(), strict=True)]
         return pa.record_batch({
-            "doc_id": ids.take(pa.array(out[0], pa.int64())), "piece": pa.array(out[1], pa.int32()),
-            "start": pa.array(out[2], pa.int64()), "length": pa.array(out[3], pa.int64()),
-            "ids_crc32": pa.array(out[4], pa.int64()),
+            "doc_id": names.take(pa.array(row)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start),
+            "length": pa.array(length), "ids_crc32": pa.array(sums, pa.int64()),
         })
 
     def work(batches):
         tool = encoder(path)
         try:
-            for part in slices(batches, text):
-                yield cut(part.column(0), tool.encode(strings(part.column(1)).to_pylist()))
+            for part in slices(batches, text, SLICE_BYTES):
+                yield cut(part.column(0), *tool.ids(strings(part.column(1))))
         finally:
             tool = None
             encoder.cache_clear()  # the worker outlives the task; the model is read again in less than a tenth of a second
