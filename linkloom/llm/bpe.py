@@ -8,6 +8,7 @@ scored merge of sentencepiece is the lowest ranked merge of the rank file.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 import struct
@@ -21,7 +22,9 @@ from pyspark.sql import DataFrame
 from linkloom.llm.common import ENTRY_BYTES, map_slices, strings
 
 #: Bytes of the chunks of text, and as many of pre-tokens, whose ids a worker remembers during a task; beyond them a memory starts anew.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 96 << 20
+#: Text bytes encoded at a time.
+SLICE_BYTES = 4 << 20
 
 # Field numbers and kinds of the sentencepiece model format.
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
@@ -134,6 +137,15 @@ class Codec:
         encoded, and remembered, one by one. A text with such a run is cut only
         at spaces that have no white space on either side.
         """
+        collecting = gc.isenabled()
+        gc.disable()  # millions of tuples come and go here and none in a cycle: looking for cycles costs a sixth
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
         cut = [_SINGLE.split(t) if _INSIDE.search(t) else t.split(" ") for t in texts]
         if self.held[1] > CACHE_BYTES:
             self.known.clear()
@@ -168,7 +180,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
         return pa.record_batch({"doc_id": part.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return map_slices(docs, [doc_id, text], work, f"doc_id {kind}, ids array<int>", lambda: codec(path, pattern).forget())
+    return map_slices(docs, [doc_id, text], work, f"doc_id {kind}, ids array<int>", lambda: codec(path, pattern).forget(), SLICE_BYTES)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -206,5 +218,5 @@ def digest(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     kind = docs.schema[doc_id].dataType.simpleString()
     return map_slices(
         docs, [doc_id, text], work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
-        lambda: codec(path, pattern).forget(),
+        lambda: codec(path, pattern).forget(), SLICE_BYTES,
     )

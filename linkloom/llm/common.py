@@ -70,13 +70,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
 
 def map_slices(
     docs: DataFrame, columns: list[str], work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
-    at_end: Callable[[], None] | None = None,
+    at_end: Callable[[], None] | None = None, limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """``work`` on every slice of the named columns, the last of them the text; ``at_end`` after a task's last slice."""
 
     def run(batches):
         try:
-            for part in slices(batches, columns[-1]):
+            for part in slices(batches, columns[-1], limit):
                 out = work(part)
                 if out is not None:
                     yield out
