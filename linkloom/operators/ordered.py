@@ -112,3 +112,21 @@ def previous(
     return carried.withColumn(out, F.when(first, F.col("_carry")).otherwise(F.lag(value).over(local))).drop(
         _BLOCK, _POS, "_carry"
     )
+
+
+def running_sums(
+    df: DataFrame, keys: list[str], order: list[str], columns: list[str], rows_per_task: int = ROWS_PER_TASK,
+    hot: bool | None = None,
+) -> DataFrame:
+    """The columns replaced by their sums over the rows of the key up to and including this one; ``hot`` as above."""
+    if not (has_hot_key(df, keys, rows_per_task) if hot is None else hot):
+        so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.sum(c).over(so_far) for c in columns})
+    rows = ordered_blocks(df, [*keys, *order])
+    earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    block_sums = F.struct(*[F.sum(c).alias(c) for c in columns])
+    carry = F.struct(*[F.sum(F.col("_summary")[c]).over(earlier).alias(c) for c in columns])
+    carried = _with_carry(rows, keys, block_sums, carry)
+    local = Window.partitionBy(*keys, _BLOCK).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
+    sums = {c: F.sum(c).over(local) + F.coalesce(F.col("_carry")[c], F.lit(0)) for c in columns}
+    return carried.withColumns(sums).drop(_BLOCK, _POS, "_carry")

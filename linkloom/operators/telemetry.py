@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.fetch import is_error, status_label
-from linkloom.operators.ordered import ROWS_PER_TASK, has_hot_key, previous, running_max
+from linkloom.operators.ordered import ROWS_PER_TASK, has_hot_key, previous, running_max, running_sums
 from linkloom.session import materialized
 
 # Default bounds of a latency histogram, in seconds.
 LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
+#: Ticks of an idle stretch that are one array while rows are made of them.
+TICKS_PER_ARRAY = 10_000
+
 
 def pages_by_status(log: DataFrame) -> DataFrame:
     return log.groupBy(status_label(F.col("status_code")).alias("status")).agg(F.count(F.lit(1)).alias("pages"))
@@ -72,6 +75,41 @@ def stats_per_window(log: DataFrame, at: str, every: str) -> DataFrame:
     return windows.select(F.col("_window.start").alias("window_start"), "pages", "errors", "bytes")
 
 
+def stats_ticks(
+    log: DataFrame, crawl: str, at_us: str, every_us: int, counters: list[str], gauges: list[str], tie: str,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """A row for every tick of each crawl from its first to its last, busy or idle.
+
+    ``tick`` numbers ticks of ``every_us`` since the epoch. Counters are totals
+    up to the end of the tick, gauges the last values known by then; a tick
+    without events, marked ``idle``, repeats those of the tick before. Of gauges
+    at one time those with the highest ``tie`` count. Null counters add nothing.
+
+    Rows are merged per tick on the map side first, so a hot crawl is bounded by
+    its time span; one of very many busy ticks is worked on in ordered blocks.
+    An idle stretch becomes rows in arrays of bounded length.
+    """
+    order = F.struct(at_us, tie, *gauges)
+    busy = log.groupBy(crawl, F.floor(F.col(at_us) / every_us).alias("tick")).agg(
+        *[F.sum(F.coalesce(F.col(c).cast("bigint"), F.lit(0))).alias(c) for c in counters],
+        F.max_by(F.struct(*gauges), order).alias("_gauges"),
+    )
+    busy = materialized(busy.withColumn("_back", -F.col("tick")))
+    hot = has_hot_key(busy, [crawl], rows_per_task)
+    totals = running_sums(busy, [crawl], ["tick"], counters, rows_per_task, hot)
+    paired = previous(totals, [crawl], ["_back"], "tick", "_next", rows_per_task, hot)
+    last = F.coalesce("_next", F.col("tick") + 1) - F.col("tick") - 1
+    part = F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(TICKS_PER_ARRAY).cast("bigint")))
+    parts = paired.withColumn("_last", last).withColumn("_from", part)
+    to = F.least("_last", F.col("_from") + (TICKS_PER_ARRAY - 1))
+    rows = parts.withColumn("_after", F.explode(F.sequence("_from", to)))
+    return rows.select(
+        crawl, (F.col("tick") + F.col("_after")).alias("tick"), *counters,
+        *[F.col("_gauges")[g].alias(g) for g in gauges], (F.col("_after") > 0).alias("idle"),
+    )
+
+
 def completions(
     ticks: DataFrame, crawl: str, at: str, tie: str, rows_per_task: int = ROWS_PER_TASK, keep: Sequence[str] = ()
 ) -> DataFrame:

@@ -452,3 +452,27 @@ ORACLE["crawl_log"] = f"""WITH visited AS ({ORACLE["crawl_pages"]}),
           SELECT * FROM timed UNION ALL SELECT '', 'SUCCESS', 0, (max(done_us) // 500000 + 1) * 500000 FROM timed)
         SELECT '{{"type":"log","time":"' || strftime(make_timestamp(1704067200000000 + done_us), '%H:%M:%S') || '","url":"'
           || url || '","status":"' || status || '","depth":' || depth || '}}' AS event FROM logged"""
+ORACLE["frontier_buckets"] = ORACLE["frontier_upsert"]
+ORACLE["archive_files"] = f"""WITH counted AS ({ORACLE["archive_manifest"]})
+        SELECT domain, true AS is_part, true AS same_size, true AS same_text, records, content_bytes FROM counted
+        UNION ALL SELECT 'unsorted', NULL, NULL, NULL, NULL, NULL"""
+ORACLE["store_overview"] = f"""WITH {_FRONTIER}, {_RESULTS},
+        entries AS (
+          SELECT 'frontier_domains' AS section, domain, 'count' AS name, count(*) AS n FROM frontier GROUP BY domain
+          UNION ALL SELECT DISTINCT 'warc_domains', domain, 'files', 1 FROM results
+          UNION ALL SELECT 'warc_domains', 'unsorted', 'files', 0)
+        SELECT section, '{{"domain":"' || domain || '","' || name || '":' || n || '}}' AS entry FROM entries"""
+ORACLE["crawl_records_stored"] = f"""WITH {_LOG}
+        SELECT domain, count(*) AS records, sum(fetch_time_ns // 1000000)::BIGINT AS fetch_ms
+        FROM log WHERE starts_with(domain, 'u1') GROUP BY domain"""
+ORACLE["stats_ticks"] = f"""WITH {_TICKS},
+        busy AS (
+          SELECT crawl, epoch_us(ts) // 21600000000 AS tick, count(*) AS pages, sum(in_flight) AS in_flight,
+            arg_max(active_workers, ts) AS active_workers, arg_max(queue_length, ts) AS queue_length
+          FROM ticks GROUP BY 1, 2),
+        spans AS (
+          SELECT *, sum(pages) OVER w AS all_pages, sum(in_flight) OVER w AS all_in_flight,
+            coalesce(lead(tick) OVER w, tick + 1) AS next FROM busy WINDOW w AS (PARTITION BY crawl ORDER BY tick)),
+        every AS (SELECT *, unnest(range(tick, next)) AS place FROM spans)
+        SELECT crawl, place AS tick, all_pages::BIGINT AS pages, all_in_flight::BIGINT AS in_flight, active_workers, queue_length,
+          place > tick AS idle FROM every"""

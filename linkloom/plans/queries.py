@@ -19,9 +19,9 @@ from linkloom.operators import (
     telemetry,
 )
 from linkloom.operators.rows import per_element
-from linkloom.plans import crawl, tables
+from linkloom.plans import crawl, overview, tables
 from linkloom.session import materialized, scratch_path
-from linkloom.sources import seeds, warc, warc_format
+from linkloom.sources import listing, seeds, stores, warc, warc_format
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -233,6 +233,20 @@ def frontier_upsert(pages: DataFrame) -> DataFrame:
     return frontier.upsert(frontier.queued(current), changes)
 
 
+@_on("pages")
+def frontier_buckets(pages: DataFrame) -> DataFrame:
+    """The changes of ``frontier_upsert`` applied to a stored frontier, those of feed pages by an update of their own."""
+    spark, path = pages.sparkSession, scratch_path(pages.sparkSession, "frontier")
+    current = tables.frontier_rows(pages).select("url", "status", "depth", F.lit(0).cast("bigint").alias("version"))
+    stores.create_frontier(frontier.queued(current), path)
+    own = pages.select(urls.canonical_self("url").alias("url"), (F.col("page_id") + 1).alias("version"))
+    changes = frontier.completed(own).withColumn("depth", F.lit(1))
+    feeds = F.col("url").contains("utm_source")
+    stores.update_frontier(spark, path, changes.filter(~feeds))
+    stores.update_frontier(spark, path, changes.filter(feeds))
+    return stores.read_frontier(spark, path).drop("bucket")
+
+
 @_on("pages")
 def frontier_push(pages: DataFrame) -> DataFrame:
     own = pages.select(urls.canonical_self("url").alias("url"))
@@ -452,7 +466,27 @@ def _archive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.list_archive(spark, _archived(spark, sf_dir)).select("domain", (F.size("files") > 0).alias("has_files"))
 
 
+def _archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file of the archive of the pages by the listing, with what the manifest counts in it."""
+    path = _archived(spark, sf_dir)
+    counted = warc.manifest(spark, path, with_records=True).select(
+        "domain", F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("bytes").alias("read"), "records", "content_bytes"
+    )
+    files = listing.list_files(spark, path).join(counted, ["domain", "name"], "left")
+    return files.select(
+        "domain", F.col("name").rlike(r"^part-.*\.gz$").alias("is_part"), (F.col("bytes") == F.col("read")).alias("same_size"),
+        (F.col("size_mb") == archive.size_text(F.col("read"))).alias("same_text"), "records", "content_bytes",
+    )
+
+
+def _store_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains of the frontier and of the archive of the pages, each entry as JSON."""
+    stored = listing.list_files(spark, _archived(spark, sf_dir)).groupBy("domain").agg(F.count("name").alias("files"))
+    return overview.overview(tables.frontier_rows(tables.table(spark, sf_dir, "pages")), stored)
+
+
 QUERIES |= {"warc_source": _warc_source, "archive_fetch": _archive_fetch}
+QUERIES |= {"archive_files": _archive_files, "store_overview": _store_overview}
 QUERIES |= {"archive_preview": _archive_preview, "archive_manifest": _archive_manifest, "archive_listing": _archive_listing}
 
 
@@ -507,6 +541,24 @@ def stats_tumbling(events: DataFrame) -> DataFrame:
     return _timed(telemetry.stats_per_window(tables.fetch_log(events), "ts", "1 hour"), "window_start")
 
 
+@_on("events")
+def stats_ticks(events: DataFrame) -> DataFrame:
+    """Totals and gauges of each crawl at every tick of six hours, idle ones included."""
+    log = tables.ticks(events).withColumns({"at_us": F.unix_micros("ts"), "pages": F.lit(1)})
+    gauges = ["active_workers", "queue_length"]
+    return telemetry.stats_ticks(log, "crawl", "at_us", SIX_HOURS_US, ["pages", "in_flight"], gauges, "event_id")
+
+
+@_on("events")
+def crawl_records_stored(events: DataFrame) -> DataFrame:
+    """The stored and compacted crawl records of the hosts whose names begin with u1, counted per domain."""
+    spark, path = events.sparkSession, scratch_path(events.sparkSession, "records")
+    stores.append_crawl_records(tables.fetch_log(events), path)
+    stores.compact_crawl_records(spark, path, f"{path}-compact")
+    rows = spark.read.parquet(f"{path}-compact").filter(F.col("domain").startswith("u1"))
+    return rows.groupBy("domain").agg(F.count(F.lit(1)).alias("records"), F.sum("fetch_time_ms").alias("fetch_ms"))
+
+
 @_on("events")
 def idle_sessions(events: DataFrame) -> DataFrame:
     return telemetry.idle_sessions(tables.fetch_log(events), "domain", "at_us", SIX_HOURS_US)

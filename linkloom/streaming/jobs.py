@@ -12,9 +12,10 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle, TimerValues
 
-from linkloom.operators.fetch import crawl_records, status_label
+from linkloom.operators.fetch import status_label
 from linkloom.operators.politeness import DEFAULT_DELAY_US
 from linkloom.operators.telemetry import stats_per_window
+from linkloom.sources.stores import stamped_records
 from linkloom.sources.warc import write_warc
 
 
@@ -191,8 +192,7 @@ def record_sink(records_path: str, archive_path: str, at: str) -> Callable[[Data
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        stamped = crawl_records(batch).withColumn("created_at", F.current_timestamp())
-        stamped.write.mode("overwrite").parquet(f"{records_path}/batch={batch_id}")
+        stamped_records(batch).write.mode("overwrite").parquet(f"{records_path}/batch={batch_id}")
         write_warc(batch, f"{archive_path}/batch={batch_id}", at, mode="overwrite")
         batch.unpersist()
 

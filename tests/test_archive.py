@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 from linkloom.operators import archive
-from linkloom.sources import warc
+from linkloom.sources import listing, warc
 
 SCHEMA = "url STRING, domain STRING, status_code INT, content_type STRING, body BINARY, error STRING, at TIMESTAMP"
 NASTY = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n\r\n\r\n\xff\xfe\x00 end"
@@ -201,3 +201,22 @@ def test_record_dates_are_utc_in_any_session(spark, results):
         assert "WARC-Date: 2024-05-06T07:08:09Z" in archive.with_record_text(one, "at").first()["header"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_files_with_empty_folders(spark, tmp_path):
+    for folder in ("a.com", "domain=b%3A80/run=1", "domain=b%3A80/run=2", "domain=b%3A80/notes", "empty", "_temporary", ".hidden", "unsorted"):
+        (tmp_path / folder).mkdir(parents=True)
+    sizes = {"a.com/x.gz": 0, "domain=b%3A80/run=1/y.gz": 1 << 20, "domain=b%3A80/run=2/y.gz": 3, "domain=b%3A80/notes/n.txt": 9, "a.com/_SUCCESS": 0, "root.gz": 5}
+    for name, size in sizes.items():
+        (tmp_path / name).write_bytes(b"x" * size)
+    rows = listing.list_files(spark, str(tmp_path))
+    got = {(r["domain"], r["run"], r["name"], r["bytes"], r["size_mb"]) for r in rows.collect()}
+    assert got == {
+        ("a.com", None, "x.gz", 0, "0.00 MB"), ("b:80", "1", "y.gz", 1 << 20, "1.00 MB"), ("b:80", "2", "y.gz", 3, "0.00 MB"),
+        ("empty", None, None, None, None), ("unsorted", None, None, None, None),
+    }
+    assert rows.count() == 5 and len(rows.filter("bytes = 3").first()["mod_time"]) == 19
+    (tmp_path / "empty" / "nothing").mkdir()
+    assert [tuple(r)[:3] for r in listing.list_files(spark, f"file:{tmp_path}/empty").collect()] in (
+        [("nothing", None, None), ("unsorted", None, None)], [("unsorted", None, None), ("nothing", None, None)]
+    )

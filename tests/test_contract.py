@@ -42,7 +42,7 @@ def test_only_binary_archives_use_python(spark):
     for name, query in QUERIES.items():
         text = plan(query(spark, FOLDER))
         uses = any(node in text for node in ("Python", "InPandas", "InArrow", "BatchScan"))
-        archives = {"warc_roundtrip", "archive_preview", "archive_manifest", "warc_source", "archive_fetch"}
+        archives = {"warc_roundtrip", "archive_preview", "archive_manifest", "warc_source", "archive_fetch", "archive_files", "store_overview"}
         assert uses == (name in archives), name
 
 

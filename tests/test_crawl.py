@@ -73,3 +73,38 @@ def test_robots_stop_the_walk(spark):
 def test_page_links(spark):
     pages = spark.createDataFrame([("https://h/a", "<a href=b><a href=/c#x><a href=mailto:x>"), ("https://h/n", "")], "url STRING, html STRING")
     assert {tuple(r) for r in crawl.page_links(pages).collect()} == {("https://h/a", "https://h/b"), ("https://h/a", "https://h/c")}
+
+
+def chain(spark):
+    links = spark.createDataFrame([("hub", f"p{i}") for i in range(300)] + [(f"p{i}", f"q{i}") for i in range(300)] + [(None, "x")], "src_url STRING, dst_url STRING")
+    urls = ["hub", *[f"p{i}" for i in range(300)], *[f"q{i}" for i in range(200)]]
+    captured = spark.createDataFrame([(u, 200, "", True) for u in urls], "url STRING, status_code INT, error STRING, has_body BOOLEAN")
+    return spark.createDataFrame([("hub", 3)], "url STRING, max_depth INT"), captured, links
+
+
+@pytest.mark.parametrize("rows_per_task", [10, 5_000_000])
+def test_large_levels_with_a_hub(spark, rows_per_task):
+    before = {t.name for t in spark.catalog.listTables()}
+    found = crawl.crawl(*chain(spark), small_level_bytes=0, rows_per_task=rows_per_task)
+    plain = crawl.crawl(*chain(spark))
+    assert found.count() == 601 and found.exceptAll(plain).count() == 0
+    assert found.filter("outcome = 'ERROR'").count() == 100
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_a_large_level_shuffles_only_itself(spark):
+    _, captured, links = chain(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    made = crawl.Buckets()
+    try:
+        edges = crawl.Edges(links, made)
+        sources = captured.select(captured["url"].alias("src_url"))
+        found = edges.followed(sources)
+        assert found.count() == 600
+        text = found._jdf.queryExecution().executedPlan().toString()
+        final = text.split("== Initial Plan ==")[0]
+        assert final.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in final
+        assert made.of(links, "src_url").count() == 600  # the link without a source leads nowhere
+    finally:
+        made.close()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -189,3 +189,77 @@ def test_bodies_stay_out_of_shuffles(spark):
     pages = tables.table(spark, "/root/testdata/sf0.001", "pages")
     plan = fetch.fetch(tables.frontier_rows(pages).select("url"), tables.snapshot(pages))._jdf.queryExecution().executedPlan().toString()
     assert "body" not in plan
+
+
+def files_of(folder):
+    return {str(f.relative_to(folder)): (f.stat().st_mtime_ns, f.read_bytes()) for f in folder.rglob("*.parquet")}
+
+
+def test_update_writes_only_touched_buckets(spark, rows, tmp_path):
+    path = str(tmp_path / "frontier")
+    many = spark.range(500).selectExpr("concat('https://h/', id) AS url", "'QUEUED' AS status", "id % 7 AS depth", "0L AS version")
+    stores.create_frontier(many.unionByName(many.withColumn("status", many["url"])), path, buckets=16)
+    assert stores.read_frontier(spark, path).count() == 500
+    before = files_of(tmp_path / "frontier" / "rows")
+    done = spark.createDataFrame([(u, "CRAWLED", 1, 5) for u in ("https://h/3", "https://h/new")], "url STRING, status STRING, depth BIGINT, version BIGINT")
+    late = spark.createDataFrame([("https://h/3", "FAILED", 1, 4)], done.schema)
+    touched = stores.update_frontier(spark, path, done)
+    after = files_of(tmp_path / "frontier" / "rows")
+    changed = {name.split("/")[0] for name in before.keys() ^ after.keys()}
+    assert 1 <= touched <= 2 and len(changed) == touched
+    assert all(after[name] == before[name] for name in before if name.split("/")[0] not in changed)
+    assert stores.update_frontier(spark, path, late) == 1 and stores.update_frontier(spark, path, done) == touched
+    table = stores.read_frontier(spark, path)
+    assert table.count() == 501 and table.filter("status = 'CRAWLED'").count() == 2
+    one = stores.read_frontier(spark, path, "https://h/3")
+    assert [(r["status"], r["version"]) for r in one.collect()] == [("CRAWLED", 5)]
+    scan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in scan and "xxhash64" not in scan
+    assert stores.read_frontier(spark, path, "https://h/none").count() == 0
+
+
+def test_update_with_odd_rows(spark, tmp_path):
+    path, columns = str(tmp_path / "odd"), "url STRING, status STRING, version BIGINT"
+    stores.create_frontier(spark.createDataFrame([], columns), path, buckets=4)
+    assert stores.read_frontier(spark, path).count() == 0
+    assert stores.update_frontier(spark, path, spark.createDataFrame([], columns)) == 0
+    odd = spark.createDataFrame([(None, "A", 1), (None, "B", 2), ("", None, None), ("u", "A", 1), ("u", "A", 1)], columns)
+    stores.update_frontier(spark, path, odd)
+    got = {(r["url"], r["status"], r["version"]) for r in stores.read_frontier(spark, path).collect()}
+    assert got == {(None, "B", 2), ("", None, None), ("u", "A", 1)}
+    with pytest.raises(ValueError, match="positive"):
+        stores.create_frontier(odd, str(tmp_path / "none"), buckets=0)
+
+
+def scanned_rows(df):
+    """Rows that the scan of a plan without adaptive execution gave."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_records_of_a_domain_skip_row_groups(spark, tmp_path):
+    rows = spark.range(8000).selectExpr(
+        "concat('https://d', id % 40, '/', id) AS url", "concat('d', id % 40) AS domain", "200 AS status_code", "1 AS depth",
+        "id * 1000000 AS fetch_time_ns", "'' AS error",
+    )
+    path, whole = str(tmp_path / "records"), str(tmp_path / "compact")
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8k"}
+    for name, value in small.items():  # several files, as large data would give
+        spark.conf.set(name, value)
+    try:
+        stores.append_crawl_records(rows.filter("id < 4000"), path)
+        stores.append_crawl_records(rows.filter("id >= 4000"), path)
+        stores.compact_crawl_records(spark, path, whole)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for place in (path, whole):
+            found = stores.domain_records(spark, place, "d7")
+            assert found.count() == 200 and found.filter("url NOT LIKE 'https://d7/%'").count() == 0
+            assert "EqualTo(domain,d7)" in found._jdf.queryExecution().executedPlan().toString()
+            assert 200 <= scanned_rows(stores.domain_records(spark, place, "d7")) < 4001
+            assert scanned_rows(stores.domain_records(spark, place, "d7777")) == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        for name in small:
+            spark.conf.unset(name)

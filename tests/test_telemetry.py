@@ -3,6 +3,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from linkloom.operators import telemetry
@@ -70,3 +72,25 @@ def test_event_texts(spark):
 def test_status_label(spark):
     rows = spark.createDataFrame([(0,), (200,)], "c INT").select(status_label(F.col("c")))
     assert [r[0] for r in rows.collect()] == ["ERROR", "200"]
+
+
+def plain_ticks(rows, every):
+    """Totals and gauges tick by tick, one crawl after the other."""
+    out = []
+    for crawl in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == crawl), key=lambda r: (r[1], r[2]))
+        busy = {r[1] // every for r in mine}
+        for tick in range(min(busy), max(busy) + 1):
+            known = [r for r in mine if r[1] // every <= tick]
+            out.append((crawl, tick, sum(r[3] or 0 for r in known), known[-1][4], tick not in busy))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("rows_per_task", [5, 5_000_000])
+def test_every_tick_has_a_row(spark, rows_per_task, monkeypatch):
+    monkeypatch.setattr(telemetry, "TICKS_PER_ARRAY", 3)
+    rows = [("hot", (k * k * 7) % 900, k, k % 3 or None, k) for k in range(40)] + [("one", -5, 1, 1, 9), ("two", 3, 1, 1, 1), ("two", 3, 2, 1, 2), ("two", 99, 3, None, None)]
+    log = spark.createDataFrame(rows, "crawl STRING, at_us BIGINT, event_id INT, pages INT, workers INT")
+    made = telemetry.stats_ticks(log, "crawl", "at_us", 10, ["pages"], ["workers"], "event_id", rows_per_task)
+    assert sorted((tuple(r) for r in made.collect()), key=str) == plain_ticks(rows, 10)
+    assert telemetry.stats_ticks(log.limit(0), "crawl", "at_us", 10, ["pages"], ["workers"], "event_id").count() == 0
