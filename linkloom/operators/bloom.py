@@ -43,7 +43,7 @@ def _hash(part: int) -> Column:
     return F.conv(F.substring("_digest", 8 * part + 1, 8), 16, 10).cast("bigint")
 
 
-def _with_bits(df: DataFrame, size: BloomSize, key: str) -> DataFrame:
+def with_bits(df: DataFrame, size: BloomSize, key: str) -> DataFrame:
     """Add ``block`` and ``bits``, the k bit positions of the key in its block."""
     hashed = df.withColumn("_digest", F.md5(key)).withColumns(
         {"block": _hash(0) % size.blocks, "_h1": _hash(1), "_h2": _hash(2).bitwiseOR(F.lit(1))}
@@ -54,7 +54,7 @@ def _with_bits(df: DataFrame, size: BloomSize, key: str) -> DataFrame:
 
 def build(df: DataFrame, size: BloomSize, key: str = "url") -> DataFrame:
     """The filter: one row per non-empty block with its bitmap and the number of keys added."""
-    hashed = _with_bits(df.select(key).distinct(), size, key)
+    hashed = with_bits(df.select(key).distinct(), size, key)
     bit = per_element(hashed, ["block"], F.col("bits"), "bit", "i")
     return bit.groupBy("block").agg(
         F.bitmap_construct_agg("bit").alias("bitmap"), F.count_if(F.col("i") == 0).alias("added")
@@ -75,7 +75,7 @@ def might_contain(df: DataFrame, bloom: DataFrame, size: BloomSize, key: str = "
     side = bloom.select(F.col("block").cast("int").alias("_block"), _words("bitmap").alias("words"))
     if size.blocks <= BROADCAST_BLOCKS:
         side = F.broadcast(side)
-    hashed = _with_bits(df, size, key).withColumn("_block", F.col("block").cast("int"))
+    hashed = with_bits(df, size, key).withColumn("_block", F.col("block").cast("int"))
     probed = hashed.join(side, "_block", "left")
     # Bitmaps number bits from the low end of each byte, words from the high end of the first byte.
     hit = F.lit(True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle, TimerValues
 
+from linkloom.operators.bloom import BLOCK_BITS, BloomSize, with_bits
+from linkloom.operators.dedup import not_seen
 from linkloom.operators.fetch import status_label
 from linkloom.operators.politeness import DEFAULT_DELAY_US
 from linkloom.operators.telemetry import stats_per_window
@@ -27,6 +30,75 @@ def new_urls(urls: DataFrame, at: str | None = None, keep: str | None = None) ->
     return seen.withWatermark(at, keep).dropDuplicatesWithinWatermark(["url"])
 
 
+class _BloomBlock(StatefulProcessor):
+    """The bitmap of one block of the filter."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.bitmap = handle.getValueState("bitmap", "bitmap BINARY")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        stored = self.bitmap.get()[0] if self.bitmap.exists() else bytes(BLOCK_BITS // 8)
+        bitmap = np.frombuffer(stored, np.uint8).copy()
+        for chunk in rows:
+            urls = chunk.drop_duplicates("url")
+            bits = np.stack(urls["bits"].to_list())
+            place, bit = bits >> 3, (1 << (bits & 7)).astype(np.uint8)
+            yield pd.DataFrame({"url": urls["url"], "maybe": (bitmap[place] & bit != 0).all(axis=1)})
+            np.bitwise_or.at(bitmap, place.ravel(), bit.ravel())
+        self.bitmap.update((bitmap.tobytes(),))
+
+    def close(self) -> None:
+        pass
+
+
+def flag_urls(urls: DataFrame, size: BloomSize) -> DataFrame:
+    """``(url, maybe)`` of the URLs as they come in; ``maybe`` is False where a URL certainly was not there before.
+
+    The state is a Bloom filter, 4 KB for each of its blocks however many URLs
+    come, where ``new_urls`` keeps every URL. Null and empty URLs are passed
+    over. Repeats are dropped inside an Arrow batch before the shuffle, so a hot
+    URL sends a row per batch; repeats further apart are maybe known. A filter
+    that outgrows its size calls ever more URLs maybe known, and never calls a
+    known one new. Needs the RocksDB state store.
+    """
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop_duplicates()
+
+    once = urls.filter(F.col("url") != "").select("url").mapInPandas(distinct, "url STRING")
+    return with_bits(once, size, "url").groupBy("block").transformWithStateInPandas(
+        statefulProcessor=_BloomBlock(), outputStructType="url STRING, maybe BOOLEAN", outputMode="Append", timeMode="None"
+    )
+
+
+def new_url_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Batch function that keeps each URL of ``flag_urls`` once, as files below ``path``; none is lost.
+
+    URLs that are certainly new are written; those maybe known are looked up
+    among the written ones. The lookup scans these and shuffles them only where
+    the batch is too large for Spark to broadcast. A repeated batch replaces its
+    own output.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        batch.filter("NOT maybe").select("url").write.mode("overwrite").parquet(f"{path}/batch={batch_id}/kind=new")
+        written = batch.sparkSession.read.schema("url STRING, batch BIGINT, kind STRING").parquet(path)
+        known = written.filter((F.col("batch") < batch_id) | (F.col("kind") == "new"))
+        doubtful = batch.filter("maybe").select("url").distinct()
+        hits = known.join(doubtful, "url", "left_semi")
+        found = not_seen(doubtful, hits, ["url"])
+        found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}/kind=checked")
+        batch.unpersist()
+
+    return save
+
+
+def stored_new_urls(urls: DataFrame, size: BloomSize, path: str, checkpoint: str) -> DataStreamWriter:
+    """Writer that stores the first occurrence of each URL with a state of fixed size."""
+    return flag_urls(urls, size).writeStream.foreachBatch(new_url_sink(path)).option("checkpointLocation", checkpoint)
+
+
 def stats(log: DataFrame, at: str, every: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
     """Counters per tumbling window."""
     return stats_per_window(log.withWatermark(at, late), at, every)

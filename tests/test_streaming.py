@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import politeness, telemetry
+from linkloom.operators.bloom import BLOCK_BITS, BloomSize
 from linkloom.sources import warc
 from linkloom.streaming import jobs
 
@@ -192,3 +193,29 @@ def test_hosts_are_forgotten_when_nothing_has_to_wait(spark, tmp_path):
     assert bag(spark.table("released").select("host", "id", "release_us")) == bag(
         politeness.plan(batch, "host", "at", "id", 500_000).select("host", "id", "release_us")
     )
+
+
+@pytest.mark.parametrize("size", [BloomSize(1, 1), BloomSize(4 * BLOCK_BITS, 5)])
+def test_new_urls_with_a_state_of_fixed_size(spark, tmp_path, size):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        folder, path, pick = str(tmp_path / "in"), str(tmp_path / "out"), random.Random(5)
+        for part in range(3):
+            rows = [(f"u{pick.randint(0, 4000 * (part + 1))}",) for _ in range(6000)] + [("hot",)] * 3000 + [("",), (None,)]
+            spark.createDataFrame(rows, "url STRING").coalesce(2).write.mode("append").parquet(folder)
+        source = spark.readStream.schema("url STRING").option("maxFilesPerTrigger", 2).parquet(folder)
+        query = jobs.stored_new_urls(source, size, path, str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(200)
+        assert query.exception() is None
+        states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert len(states) == 3 and max(states) <= size.blocks  # some 10,000 URLs came
+        stored = spark.read.parquet(path)
+        want = spark.read.parquet(folder).filter("url <> ''").distinct()
+        assert stored.count() == want.count() and stored.select("url").exceptAll(want).count() == 0
+        sure = stored.filter("kind = 'new'").count()
+        assert sure > 0.99 * want.count() if size.blocks > 1 else sure < 0.95 * want.count()
+        jobs.new_url_sink(path)(spark.createDataFrame([("hot", True), ("more", True), ("more", True)], "url STRING, maybe BOOLEAN"), 9)
+        jobs.new_url_sink(path)(spark.createDataFrame([("hot", True), ("more", True)], "url STRING, maybe BOOLEAN"), 9)
+        assert spark.read.parquet(path).filter("url IN ('hot', 'more')").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
