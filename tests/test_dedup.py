@@ -78,3 +78,24 @@ def test_repeated_sequence_numbers_flag_one_row(spark):
     seen = spark.createDataFrame([], "url STRING")
     flagged = dedup.flag_pushed(items, seen, ["url"], "seq").filter("pushed")
     assert sorted(r["url"] for r in flagged.collect()) == ["u", "v"] and dedup.push(items, seen, ["url"], "seq").count() == 2
+
+
+def test_bloom_with_blocks_too_large_for_a_task(spark, monkeypatch):
+    size = bloom.BloomSize.of(20_000, 0.01)
+    once = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://in/"), "id")).alias("url"))
+    often = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("https://hot/"), F.col("id") % 3)).alias("url"))
+    urls, others = once.union(often), spark.range(5000).select(F.concat(F.lit("https://out/"), "id").alias("url")).union(often)
+    plain = bloom.build(urls, size)
+    maybe = [sorted(map(tuple, bloom.might_contain(others, plain, size).fillna("").collect()))]
+    fresh = [sorted(map(tuple, bloom.dedup(others, once, size).fillna("").collect()))]
+    monkeypatch.setattr(bloom, "BROADCAST_BLOCKS", 0)
+    for most in (1_000_000, 3000):  # at the second the blocks of the URLs that repeat are large, and the null URLs are
+        monkeypatch.setattr(bloom, "LARGE_BLOCK_ROWS", most)
+        built = bloom.build(urls, size)
+        assert built.exceptAll(plain).count() == 0 and built.count() == plain.count()
+        assert built.agg(F.sum("added")).first()[0] == 10_002
+        maybe.append(sorted(map(tuple, bloom.might_contain(others, built, size).fillna("").collect())))
+        fresh.append(sorted(map(tuple, bloom.dedup(others, once, size).fillna("").collect())))
+    assert maybe[0] == maybe[1] == maybe[2] and len(maybe[0]) == 14_000
+    assert {m for u, m in maybe[0] if u == ""} == {False} and {m for u, m in maybe[0] if u.startswith("https://hot/")} == {True}
+    assert fresh[0] == fresh[1] == fresh[2] and len(fresh[0]) == 5003
