@@ -80,6 +80,24 @@ def test_repeated_sequence_numbers_flag_one_row(spark):
     assert sorted(r["url"] for r in flagged.collect()) == ["u", "v"] and dedup.push(items, seen, ["url"], "seq").count() == 2
 
 
+def most_and_tasks(df):
+    sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    return max(sizes), len(sizes)
+
+
+def test_bloom_tasks_follow_the_rows(spark, monkeypatch):
+    # far more tasks than shuffle partitions, and no task with more than some blocks
+    monkeypatch.setattr(bloom, "ROWS_PER_TASK", 2000)
+    monkeypatch.setattr(bloom, "BROADCAST_BLOCKS", 0)
+    size = bloom.BloomSize.of(200_000, 0.01)
+    urls = spark.range(200_000).select(F.concat(F.lit("https://in/"), "id").alias("url"))
+    built = bloom.build(urls, size)
+    blocks, tasks = most_and_tasks(built)
+    assert blocks <= 10 and tasks > 20 and built.count() == size.blocks
+    rows, tasks = most_and_tasks(bloom.might_contain(urls, built, size))
+    assert rows < 40_000 and tasks > 20
+
+
 def test_bloom_with_blocks_too_large_for_a_task(spark, monkeypatch):
     size = bloom.BloomSize.of(20_000, 0.01)
     once = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://in/"), "id")).alias("url"))
