@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.html import extract_links
 from linkloom.functions.urls import url_hostname
+from linkloom.operators import bloom
 from linkloom.operators.dedup import first_per_key
 from linkloom.operators.fetch import NOT_CAPTURED, is_error, outcome
 from linkloom.operators.ordered import ROWS_PER_TASK
@@ -19,6 +20,7 @@ from linkloom.operators.rows import per_element
 from linkloom.session import materialized, scratch_path
 
 SMALL_LEVEL_BYTES = 32 << 20
+SOURCE_GROUPS = 1 << 16
 
 
 def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -27,9 +29,21 @@ def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
     return per_element(named, ["src_url"], extract_links("html", "src_url"), "dst_url")
 
 
-def _with_outcome(level: DataFrame, captured: DataFrame, hosts: DataFrame | None, small: bool) -> DataFrame:
-    # A small level first cuts the captured pages down by a broadcast, so they need no shuffle.
-    near = captured.join(F.broadcast(level.select("url")), "url", "left_semi") if small else captured
+def _candidates(rows: DataFrame, key: str, urls: DataFrame, size: bloom.BloomSize) -> DataFrame:
+    """The rows whose key may be among ``urls``, by a broadcast filter: few others are left for the join."""
+    found = bloom.might_contain(rows, bloom.build(urls, size), size, key)
+    return found.filter("maybe").drop("maybe")
+
+
+def _with_outcome(
+    level: DataFrame, captured: DataFrame, hosts: DataFrame | None, small: bool, size: bloom.BloomSize | None = None
+) -> DataFrame:
+    # A small level first cuts the captured pages down by a broadcast, so they need no shuffle; a filter cuts down its shuffle.
+    near = captured
+    if small:
+        near = captured.join(F.broadcast(level.select("url")), "url", "left_semi")
+    elif size is not None:
+        near = _candidates(captured, "url", level.select("url"), size)
     known = level.join(near, "url", "left").withColumn("status_code", F.coalesce("status_code", F.lit(0))).withColumn(
         "error", F.when(F.col("has_body").isNull(), NOT_CAPTURED).otherwise(F.coalesce("error", F.lit("")))
     )
@@ -69,7 +83,11 @@ class Edges:
     """
 
     def __init__(self, links: DataFrame, made: Buckets, rows_per_task: int = ROWS_PER_TASK) -> None:
-        counted = links.groupBy("src_url").count().filter(F.col("count") > rows_per_task)
+        # Only the sources in a large group of sources are counted, so that few sources are shuffled for it.
+        group = F.pmod(F.xxhash64("src_url"), F.lit(SOURCE_GROUPS))
+        large = links.groupBy(group.alias("_group")).count().filter(F.col("count") > rows_per_task).select("_group")
+        in_large = links.withColumn("_group", group).join(F.broadcast(large), "_group", "left_semi")
+        counted = in_large.groupBy("src_url").count().filter(F.col("count") > rows_per_task)
         self.hubs = materialized(counted.select("src_url"))
         self.hub_links = None
         if not self.hubs.isEmpty():
@@ -99,8 +117,10 @@ def crawl(
     ``seeds`` has ``url, max_depth``; ``captured`` has ``url, status_code,
     error, has_body`` and any further columns, which are passed on; ``links``
     has ``src_url, dst_url``; ``hosts`` is the robots table. Captured pages and
-    links are read once per level, so they should be stored tables. The first
-    level that is too large to broadcast puts both in buckets of their URLs;
+    links are read once per level, so they should be stored tables. A level that
+    is too large to broadcast, but whose Bloom filter takes no more than a
+    quarter of that, shuffles only what passes the filter. The first level that
+    is larger still, if it may be followed, puts both in buckets of their URLs;
     from there on a level shuffles only itself.
 
     A URL is followed again when it is reached with more depth left under
@@ -127,14 +147,21 @@ def _crawl(
     edges: Edges | None = None
     while True:
         level = materialized(level)
-        rows, url_bytes = level.agg(F.count(F.lit(1)), F.sum(F.octet_length("url").cast("bigint"))).first()
+        rows, url_bytes, most_left = level.agg(
+            F.count(F.lit(1)), F.sum(F.octet_length("url").cast("bigint")), F.max(F.col("max_depth") - F.col("depth"))
+        ).first()
         if rows == 0:
             break
-        small = url_bytes + 32 * rows <= small_level_bytes
-        if not small and edges is None:
-            captured, edges = made.of(captured, "url"), Edges(links, made, rows_per_task)
-        visited = materialized(_with_outcome(level, captured, hosts, small).drop("allowed", "crawl_delay"))
+        small, ends = url_bytes + 32 * rows <= small_level_bytes, most_left is None or most_left <= 0
+        size = None if small or edges is not None else bloom.BloomSize.of(rows)
+        if size is not None and (4 * size.bits > 8 * small_level_bytes or size.blocks > bloom.BROADCAST_BLOCKS):
+            size = None
+            if not ends:
+                captured, edges = made.of(captured, "url"), Edges(links, made, rows_per_task)
+        visited = materialized(_with_outcome(level, captured, hosts, small, size).drop("allowed", "crawl_delay"))
         levels.append(visited)
+        if ends:
+            break
         left = level.select("url", (F.col("max_depth") - F.col("depth")).alias("left"))
         seen = left if seen is None else materialized(
             seen.unionByName(left).groupBy("url").agg(F.max("left").alias("left"))
@@ -142,7 +169,12 @@ def _crawl(
         ok = ~F.col("outcome").isin("SKIPPED", "BLOCKED", "ERROR")
         expand = visited.filter(ok & ~is_error() & F.col("has_body") & (F.col("depth") < F.col("max_depth")))
         sources = expand.select(F.col("url").alias("src_url"), "depth", "max_depth")
-        followed = links.join(F.broadcast(sources), "src_url") if small else edges.followed(sources)
+        if small:
+            followed = links.join(F.broadcast(sources), "src_url")
+        elif size is not None:
+            followed = _candidates(links, "src_url", sources.select(F.col("src_url").alias("url")), size).join(sources, "src_url")
+        else:
+            followed = edges.followed(sources)
         reached = followed.groupBy(F.col("dst_url").alias("url")).agg(
             F.max("max_depth").alias("max_depth"), (F.max("depth") + 1).alias("depth")
         )

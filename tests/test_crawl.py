@@ -108,3 +108,35 @@ def test_a_large_level_shuffles_only_itself(spark):
     finally:
         made.close()
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_level_with_a_filter_needs_no_buckets(spark, monkeypatch):
+    plain = crawl.crawl(*chain(spark))
+    filtered = []
+    candidates = crawl._candidates
+    monkeypatch.setattr(crawl, "_candidates", lambda *a: filtered.append(a) or candidates(*a))
+    monkeypatch.setattr(crawl.Buckets, "of", lambda *a: pytest.fail("buckets"))
+    found = crawl.crawl(*chain(spark), small_level_bytes=8000)
+    assert found.count() == plain.count() == 601 and found.exceptAll(plain).count() == 0
+    assert len(filtered) == 3  # the pages and the links of the second level, the pages of the last
+    for rows, key, urls, size in filtered:
+        left = candidates(rows, key, urls, size)
+        exact = rows.join(urls.select(urls["url"].alias(key)).distinct(), key, "left_semi")
+        assert exact.exceptAll(left).count() == 0 and left.count() <= exact.count() + 20
+    # a large last level is followed by nothing
+    seeds, captured, links = chain(spark)
+    last = crawl.crawl(seeds.withColumn("max_depth", seeds["max_depth"] - 2), captured, links, small_level_bytes=0)
+    assert [tuple(r) for r in last.select("url", "depth", "outcome").collect()] == [("hub", 1, "200")]
+
+
+@pytest.mark.parametrize("groups", [1, 1 << 16])
+def test_hubs_are_exact_in_any_group(spark, monkeypatch, groups):
+    monkeypatch.setattr(crawl, "SOURCE_GROUPS", groups)
+    _, captured, links = chain(spark)
+    made = crawl.Buckets()
+    try:
+        edges = crawl.Edges(links, made, rows_per_task=10)
+        assert [r["src_url"] for r in edges.hubs.collect()] == ["hub"]
+        assert edges.followed(captured.select(captured["url"].alias("src_url"))).count() == 600
+    finally:
+        made.close()
